@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_count
+from . import bpe, chat, packing, token_count, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_url_filter": url_filter.query,
+    "op6_chat": chat.query,
     "op7_bpe": bpe.query,
     "op8_token_counts": token_count.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat": chat.SQL,
+}
