@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, token_count, url_filter
+from . import bpe, chat, langid, packing, quality, token_count, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_url_filter": url_filter.query,
+    "op4_langid": langid.query,
+    "op5_quality": quality.query,
     "op6_chat": chat.query,
     "op7_bpe": bpe.query,
     "op8_token_counts": token_count.query,
