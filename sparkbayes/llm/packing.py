@@ -15,6 +15,7 @@ the id and the text are not used.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,37 +25,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import blocks_of
+from .bpe import WordBPE, blocks_of, byte_chars
 from .common import Memo, ready, stored, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """The library's ids of whole texts as little-endian unsigned 32-bit bytes; blocks without white space are kept in a memo."""
-
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    """The library's ids of whole texts as little-endian unsigned 32-bit bytes; blocks without white space are kept in a memo.
+
+    New blocks are normalised and cut into pre-tokens many at a time, and the library merges them all in one call.
+    The last token of each pre-token, and no other, ends in the word-end suffix, which gives the blocks' bounds back.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000):
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        added = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(added)))) if added else None
+        self.words = regex.compile(f"{WordBPE.PATTERN}|\n")
+        self.letters = {b: c for b, c in enumerate(byte_chars()) if c != chr(b) and b != 32}
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith(self.whole.model.end_of_word_suffix)]] = True
         self.memo = Memo(self._block, limit)
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
     def _block(self, block: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(block, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        blocks = blocks_of(text)
-        new = [b for b in {*blocks} if b not in self.memo and b not in self.memo.old]
-        if len(new) > 1:
-            for b, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[b] = self._bytes(got.ids)
-        out = b"".join(map(self.memo.__getitem__, blocks))
-        self.memo.trim()
+        return np.array(self.whole.encode(block, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, blocks: set[str]) -> None:
+        """Put blocks into the memo."""
+        old, plain = self.memo.old, []
+        for b in blocks:
+            if (known := old.get(b)) is not None:
+                self.memo[b] = known
+            elif "<|" not in b or not self.special.search(b):
+                plain.append(b)
+        if not plain:
+            return
+        text = unicodedata.normalize("NFC", "\n".join(plain))
+        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        cut = self.words.findall(text)
+        lines = np.array([w == "\n" for w in cut], dtype=bool)
+        upto = np.append(np.cumsum(~lines)[lines], len(cut) - int(lines.sum()))  # pre-tokens up to each block's end
+        line = " ".join([w for w in cut if w != "\n"])
+        if not line.isascii() or not line.isprintable():
+            line = line.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        raw, lo = ids.tobytes(), 0
+        for b, at in zip(plain, (4 * ends[upto]).tolist(), strict=True):
+            self.memo[b] = raw[lo:at]
+            lo = at
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        known = self.memo
+        cut = [blocks_of(t) for t in texts]
+        found = [[*map(known.get, blocks)] for blocks in cut]
+        self.learn({b for blocks, values in zip(cut, found, strict=True) for b, v in zip(blocks, values, strict=True) if v is None})
+        out = []
+        for blocks, values in zip(cut, found, strict=True):
+            if None in values:
+                values = [known[b] if v is None else v for b, v in zip(blocks, values, strict=True)]
+            values.append(end)
+            out.append(b"".join(values))
+        known.trim()
         return out
 
 
@@ -77,9 +119,9 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                rows = batch.slice(lo, 1000)
-                ids = [coder.encode(t or "") + end for t in rows.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 500):
+                rows = batch.slice(lo, 500)
+                ids = coder.encode([t or "" for t in rows.column(1).to_pylist()], end)
                 starts = []
                 for x in ids:
                     starts.append(at)
