@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, packing, quality, token_count, url_filter
+from . import bpe, chat, html_extract, langid, packing, quality, token_count, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_url_filter": url_filter.query,
+    "op3_html": html_extract.query,
     "op4_langid": langid.query,
     "op5_quality": quality.query,
     "op6_chat": chat.query,
