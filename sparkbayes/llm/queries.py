@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_extract, langid, packing, quality, token_count, url_filter
+from . import bpe, chat, html_extract, langid, packing, quality, token_count, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,8 +13,10 @@ QUERIES = {
     "op6_chat": chat.query,
     "op7_bpe": bpe.query,
     "op8_token_counts": token_count.query,
+    "op10_topk": topk.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat": chat.SQL,
+    "op10_topk": topk.SQL,
 }
