@@ -51,6 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def cut_blocks(texts) -> tuple[list[str], list[int], list[int]]:
+    """An Arrow array's texts cut at ASCII white space: (different blocks, numbers of all blocks in order, bounds of the texts)."""
+    import pyarrow.compute as pc
+
+    cut = pc.ascii_split_whitespace(texts.fill_null("") if texts.null_count else texts)
+    coded = cut.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().tolist(), cut.offsets.to_numpy().tolist()
+
+
 class Memo(dict):
     """A function's results by argument, kept in two generations of at most ``limit`` entries each.
 

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WordBPE, blocks_of, byte_chars
-from .common import Memo, ready, stored, tokenizer_path
+from .bpe import WordBPE, byte_chars
+from .common import Memo, cut_blocks, ready, stored, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """The library's ids of whole texts as little-endian unsigned 32-bit bytes; blocks without white space are kept in a memo.
+    """The library's ids of whole texts as little-endian unsigned bytes, ``width`` an id; blocks without white space are kept in a memo.
 
     New blocks are normalised and cut into pre-tokens many at a time, and the library merges them all in one call.
     The last token of each pre-token, and no other, ends in the word-end suffix, which gives the blocks' bounds back.
@@ -55,10 +55,13 @@ class Encoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith(self.whole.model.end_of_word_suffix)]] = True
+        self.width = 2 if len(self.ends) <= 1 << 16 else 4  # bytes of an id between the passes
+        self.kind = f"<u{self.width}"
         self.memo = Memo(self._block, limit)
+        self.pieces: dict[str, bytes] = {}
 
     def _block(self, block: str) -> bytes:
-        return np.array(self.whole.encode(block, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.whole.encode(block, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def learn(self, blocks: set[str]) -> None:
         """Put blocks into the memo."""
@@ -73,31 +76,41 @@ class Encoder:
         text = unicodedata.normalize("NFC", "\n".join(plain))
         text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
         cut = self.words.findall(text)
-        lines = np.array([w == "\n" for w in cut], dtype=bool)
-        upto = np.append(np.cumsum(~lines)[lines], len(cut) - int(lines.sum()))  # pre-tokens up to each block's end
-        line = " ".join([w for w in cut if w != "\n"])
+        cut.append("\n")
+        if len(self.pieces) > self.memo.limit // 2:
+            self.pieces = {}
+        self.merge({w for w in cut if w not in self.pieces})
+        values = [*map(self.pieces.__getitem__, cut)]
+        upto = np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values)))
+        bounds = upto[np.fromiter(map("\n".__eq__, cut), dtype=bool, count=len(cut))].tolist()
+        raw, lo = b"".join(values), 0
+        for b, at in zip(plain, bounds, strict=True):
+            self.memo[b] = raw[lo:at]
+            lo = at
+
+    def merge(self, words: set[str]) -> None:
+        """Put pre-tokens into their memo: the library merges all of them in one call."""
+        known = self.pieces
+        known["\n"] = b""  # what parts blocks has no ids
+        new = [w for w in words if w != "\n"]
+        if not new:
+            return
+        line = " ".join(new)
         if not line.isascii() or not line.isprintable():
-            line = line.encode().decode("latin-1").translate(self.letters)
-        ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            line = " ".join([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new])
+        ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.kind)
         raw, lo = ids.tobytes(), 0
-        for b, at in zip(plain, (4 * ends[upto]).tolist(), strict=True):
-            self.memo[b] = raw[lo:at]
+        for w, at in zip(new, (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+            known[w] = raw[lo:at]
             lo = at
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        blocks, numbers, bounds = cut_blocks(texts)
         known = self.memo
-        cut = [blocks_of(t) for t in texts]
-        found = [[*map(known.get, blocks)] for blocks in cut]
-        self.learn({b for blocks, values in zip(cut, found, strict=True) for b, v in zip(blocks, values, strict=True) if v is None})
-        out = []
-        for blocks, values in zip(cut, found, strict=True):
-            if None in values:
-                values = [known[b] if v is None else v for b, v in zip(blocks, values, strict=True)]
-            values.append(end)
-            out.append(b"".join(values))
+        self.learn({b for b in blocks if b not in known})
+        values = [*map(known.__getitem__, blocks)]
         known.trim()
-        return out
+        return [b"".join([*map(values.__getitem__, numbers[lo:hi]), end]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -113,29 +126,29 @@ def _encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
-    """(part, local_start, doc_id, ids): each document's ids with the end id, placed within the task that encoded it."""
-    end = int(end_id).to_bytes(4, "little")
+    """(part, local_start, n, doc_id, ids): each document's ids with the end id, placed within the task that encoded it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
+        end = int(end_id).to_bytes(coder.width, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                ids = coder.encode([t or "" for t in rows.column(1).to_pylist()], end)
+            for lo in range(0, batch.num_rows, 2000):
+                rows = batch.slice(lo, 2000)
+                ids = coder.encode(rows.column(1), end)
                 starts = []
                 for x in ids:
                     starts.append(at)
-                    at += len(x) // 4
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), rows.column(0), pa.array(ids, pa.binary())], names=["part", "local_start", "doc_id", "ids"])
+                    at += len(x) // coder.width
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // coder.width for x in ids], pa.int64()), rows.column(0), pa.array(ids, pa.binary())], names=["part", "local_start", "n", "doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, local_start long, doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, local_start long, n long, doc_id long, ids binary")
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens: see the module; ``ids`` are the piece's ids."""
     spark = ready(docs.sparkSession)
     ids = stored(encoded(docs, doc_id, text, tokenizer_path("word_bpe_49k.json", path), end_id), "packing")
-    totals = ids.groupBy("part").agg(F.sum(F.length("ids") / 4).cast("long").alias("n"))
+    totals = ids.groupBy("part").agg(F.sum("n").alias("n"))
     base, total = {}, 0  # one number for each task that wrote a part of the table: bounded by the input's splits
     for part, n in sorted(totals.collect()):
         base[part], total = total, total + n
@@ -144,8 +157,10 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for part, local, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "doc_id", "ids")), strict=True):
-                at, n, done = bases.value[part] + local, len(raw) // 4, 0
+            for part, local, n, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "n", "doc_id", "ids")), strict=True):
+                if len(raw) < 4 * n:
+                    raw = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
+                at, done = bases.value[part] + local, 0
                 while done < n:
                     sequence, offset = divmod(at + done, length)
                     take = min(n - done, length - offset)
