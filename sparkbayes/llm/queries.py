@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_extract, langid, packing, quality, token_count, topk, url_filter
+from . import bpe, chat, html_extract, jaccard, langid, packing, quality, token_count, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat": chat.query,
     "op7_bpe": bpe.query,
     "op8_token_counts": token_count.query,
+    "op9_jaccard_join": jaccard.query,
     "op10_topk": topk.query,
 }
 
