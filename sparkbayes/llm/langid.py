@@ -194,11 +194,11 @@ class Scorer:
 _scorers: dict[bytes, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", *, keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; without ``text`` unless it is to be kept."""
     ready(docs.sparkSession)
-    pass_on = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    plain = docs.select(*pass_on, text)
+    pass_on = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
+    plain = docs.select(*pass_on, *([] if keep_text else [text]))
     if model is None:
         return plain.select(*pass_on, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits places by the number of languages
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             got = [scorer.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pass_on], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*pass_on, "lang_pred", "score"])
 
-    fields = [f for f in plain.schema if f.name != text]
+    fields = [plain.schema[c] for c in pass_on]
     return plain.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

@@ -84,11 +84,11 @@ def statistics(text: str) -> tuple[int, ...]:
 CLASSES = bytes(ord("U") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else ord(".") for b in range(256))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with COUNTS."""
+def measure(docs: DataFrame, text: str = "text", *, keep_text: bool = False) -> DataFrame:
+    """``docs`` with COUNTS; without ``text`` unless it is to be kept."""
     ready(docs.sparkSession)
-    pass_on = [c for c in docs.columns if c not in (text, *COUNTS)]
-    plain = docs.select(*pass_on, text)
+    pass_on = [c for c in docs.columns if c not in COUNTS and (keep_text or c != text)]
+    plain = docs.select(*pass_on, *([] if keep_text else [text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +96,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pass_on], *columns], names=[*pass_on, *COUNTS])
 
-    fields = [f for f in plain.schema if f.name != text]
+    fields = [plain.schema[c] for c in pass_on]
     return plain.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
@@ -229,9 +229,9 @@ def verdict(rules: list[Conjunction]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, rules: list[Conjunction], text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with COUNTS, ``base_failed`` and ``kept``."""
-    seen = measure(docs, text)
+def judge(docs: DataFrame, rules: list[Conjunction], text: str = "text", *, keep_text: bool = False) -> DataFrame:
+    """``docs`` with COUNTS, ``base_failed`` and ``kept``; without ``text`` unless it is to be kept."""
+    seen = measure(docs, text, keep_text=keep_text)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return seen.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
 
