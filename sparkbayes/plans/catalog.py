@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_densities
+
+QUERIES: dict = {**queries_densities.QUERIES}
+ORACLES: dict[str, str] = {**queries_densities.ORACLES}
