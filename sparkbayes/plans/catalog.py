@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_densities
+from . import queries_densities, queries_statespace
 
-QUERIES: dict = {**queries_densities.QUERIES}
-ORACLES: dict[str, str] = {**queries_densities.ORACLES}
+FAMILIES = [queries_densities, queries_statespace]
+QUERIES: dict = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}

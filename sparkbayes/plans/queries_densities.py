@@ -391,7 +391,7 @@ def hmm_smoothed_prob(spark, sf_dir):
 
 @register(
     "laplace_poisson_rate",
-    """SELECT round(ln(sum(dx * exp(l - top))) + top, 4) AS logp FROM (SELECT *, max(l) OVER () AS top FROM (
+    """SELECT round(ln(sum(dx * exp(l - top))) + max(top), 4) AS logp FROM (SELECT *, max(l) OVER () AS top FROM (
       SELECT 0.0001::DOUBLE AS dx, n * avg_x * x - n * exp(x) - g - 0.5::DOUBLE * ((x - 2) / 2) ** 2 - ln(2 * sqrt(2 * pi())) AS l
       FROM (SELECT count(*) AS n, avg(p_size)::DOUBLE AS avg_x, sum(lgamma(p_size + 1.0::DOUBLE)) AS g FROM part), (SELECT 3.0::DOUBLE + i * 0.0001::DOUBLE AS x FROM range(0, 5000) r(i))))""",
 )
