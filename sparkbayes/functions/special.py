@@ -128,7 +128,7 @@ def np_erfinv(y: np.ndarray | float) -> np.ndarray:
     x = np.sign(y) * np.sqrt(np.maximum(np.sqrt(first * first - ln / a) - first, 0))
     for _ in range(4):
         x = x - (np_erf(x) - y) / (2 / math.sqrt(math.pi) * np.exp(-x * x))
-    return np.where(np.abs(y) >= 1, np.sign(y) * np.inf, x)
+    return np.where(np.abs(y) >= 1, np.where(y > 0, np.inf, -np.inf), x)
 
 
 def np_logsumexp(x: np.ndarray, axis: int | None = None) -> np.ndarray:
