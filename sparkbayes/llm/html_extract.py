@@ -1,7 +1,7 @@
 """Main text of web pages by a maximum-scoring subsequence (operator 3).
 
 A page is read once as a sequence of tags and texts. Every word scores what its surroundings are worth (plain, in a
-link, or in an element that marks an article), every tag a penalty, and one linear scan finds the contiguous region
+link, or in an element that marks an article, links included), every tag a penalty, and one linear scan finds the contiguous region
 of highest total. The weights are learned: pages that mark their own article are the labelled ones, what the mark
 encloses is content and the rest is not, and a token's weight is its smoothed log odds between the two, kept
 positive for words outside links and negative for tags.
@@ -102,13 +102,14 @@ def closing(page: str, name: str, start: int) -> tuple[int, bool]:
     return len(page), False
 
 
-def pieces(page: str) -> list[Piece]:
+def pieces(page: str, *, skip: bool = True) -> list[Piece]:
+    """A page's tags and texts; elements beside the article are passed over, unless for counting."""
     out: list[Piece] = []
     at, links, marked, size = 0, 0, [], len(page)
 
     def said(text: str) -> None:
         if text:
-            out.append(Piece("link" if links else "marked" if marked else "word", text))
+            out.append(Piece("marked" if marked else "link" if links else "word", text))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -129,7 +130,7 @@ def pieces(page: str) -> list[Piece]:
             continue
         given = attributes(m[3]) if not close and m[3] else {}
         mark = not close and marks(name, given)
-        if not close and name not in VOID and beside(name, given, bool(marked)):
+        if skip and not close and name not in VOID and beside(name, given, bool(marked)):
             end, closed = closing(page, name, at)
             if not closed:
                 after = re.compile(r"<(?:article|main)\b", re.I).search(page, at) or (None if name == "footer" else re.compile(r"<(?:div|p|section|h[1-6])\b", re.I).search(page, at))
@@ -197,7 +198,7 @@ def extract(page: str | None, weights: Weights) -> str:
 def counted(page: str) -> tuple[Counter, Counter] | None:
     """Tokens inside and outside of what a page marks as its article; None if it marks none."""
     inside, outside, depth, any_mark = Counter(), Counter(), 0, False
-    for p in pieces(page):
+    for p in pieces(page, skip=False):
         if p.cross:
             depth, any_mark = 1 - depth, True
             continue
@@ -236,10 +237,8 @@ def train(pages: DataFrame, column: str = "html", *, sample: int = 300, smooth:
     odds = {k: math.log((inside[k] + smooth) / (a + smooth * len(kinds))) - math.log((outside[k] + smooth) / (b + smooth * len(kinds))) for k in kinds}
     by = dict(PRIOR)
     for k, v in odds.items():
-        by[k] = min(4.0, max(0.5, v)) if k == "word" else min(-0.1, v) if k == "link" else -0.01 if v > 0 else min(-0.01, v / 10)
+        by[k] = min(4.0, max(0.5, v)) if k == "word" else min(-0.1, max(-1.0, v)) if k == "link" else -0.01 if v > 0 else min(-0.01, v / 10)
     by["marked"] = by["word"] + PRIOR["marked"]
-    if outside["link"] == 0 or inside["link"] > 0 and odds.get("link", -1) > 0:
-        by["link"] = 0.1
     return Weights(by)
 
 
