@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .special import NEG_INF, Value, betaln, col, erf, gamma_p, lgamma, log1mexp, log_bessel_i, normal_logp, softplus, uniform
+from .special import NEG_INF, Value, betaln, col, erf, gamma_draw, gamma_p, lgamma, log1mexp, log_bessel_i, normal_logp, softplus, uniform
 
 
 
@@ -80,6 +80,11 @@ class GenExtreme(Distribution):
         need(not number(self.sigma) or self.sigma > 0, "sigma > 0")
         need(not number(self.xi) or -1 < self.xi < 1, "-1 < xi < 1")
 
+    @staticmethod
+    def of_opposite_sign(mu: Value, sigma: Value, c: Value) -> GenExtreme:
+        """From the shape of the convention in which a positive one bounds the upper tail."""
+        return GenExtreme(mu, sigma, -c)
+
     def check(self) -> Column:
         return (col(self.sigma) > 0) & (col(self.xi) > -1) & (col(self.xi) < 1)
 
@@ -258,6 +263,9 @@ class Chi(Distribution):
         x = col(x)
         return bounded(x > 0, F.log(gamma_p(col(self.nu) / 2, x * x / 2)))
 
+    def draw(self, key: Column, seed: int = 0) -> Column:
+        return F.sqrt(2 * gamma_draw(col(self.nu) / 2, key, seed))
+
 
 @dataclass(frozen=True)
 class Maxwell(Distribution):
@@ -275,6 +283,9 @@ class Maxwell(Distribution):
         z = col(x) / col(self.a)
         return bounded(z > 0, F.log(erf(z / math.sqrt(2)) - math.sqrt(2 / math.pi) * z * F.exp(-z * z / 2)))
 
+    def draw(self, key: Column, seed: int = 0) -> Column:
+        return col(self.a) * Chi(3.0).draw(key, seed)
+
 
 class Discrete(Distribution):
     """Draws by search in a table of the distribution function, made once on the driver from literal parameters."""
@@ -419,6 +430,13 @@ class JointCategorical:
         inside = reduce(lambda a, s: a & (s >= 0) & (s < self.k), states, F.lit(True))
         return bounded(inside, F.log(F.get(table, self.flat(*states).cast("int"))))
 
+    def draw(self, key: Column, seed: int = 0) -> Column:
+        """The states of all places, as an array."""
+        bounds = F.array(*[F.lit(float(c)) for c in np.cumsum(self.p)[:-1]])
+        u = uniform(key, seed)
+        flat = F.size(F.filter(bounds, lambda c: c <= u))
+        return F.array(*[F.pmod(F.floor(flat / self.k**i), F.lit(self.k)).cast("int") for i in reversed(range(self.n))])
+
     def support_point(self) -> list[int]:
         at, out = int(np.argmax(self.p)), []
         for _ in range(self.n):

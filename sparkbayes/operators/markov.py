@@ -7,6 +7,7 @@ over the sequence's sorted array. A fold holds one sequence at a time, never the
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -214,6 +215,41 @@ def hmm_kernel(logs: np.ndarray, p: np.ndarray, init: np.ndarray, n_lags: int =
     return alpha, beta, float(np_logsumexp(alpha[-1]))
 
 
+def conditional_chain(logs: np.ndarray, p: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden order-1 chain given its emissions is a chain again: (first state's probabilities, transitions of each step)."""
+    from ..functions.special import np_logsumexp
+
+    alpha, beta, total = hmm_kernel(logs, p, init)
+    first = np.exp(alpha[0] + beta[0] - total)
+    with np.errstate(divide="ignore"):
+        joint = np.log(p)[None] + (logs[1:] + beta[1:])[:, None, :]
+    return first, np.exp(joint - np_logsumexp(joint, axis=2)[..., None])
+
+
+def hmm_draws(df: DataFrame, sequence: str, order: list[str], value: str, log_emission, p, init, draws: int, *, seed: int = 0) -> DataFrame:
+    """(sequence, draw, t, state): paths of the hidden chain drawn given each sequence."""
+    p, init = np.asarray(p, dtype=float), np.asarray(init, dtype=float)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for s, v in zip(batch[sequence], batch["values"], strict=True):
+                first, steps = conditional_chain(log_emission(np.asarray(v, dtype=float)), p, init)
+                rng = np.random.default_rng([seed, zlib.crc32(repr(s).encode())])
+                state = (rng.uniform(size=(draws, 1)) > np.cumsum(first)[None, :-1]).sum(axis=1)
+                paths = [state]
+                for step in steps:
+                    state = (rng.uniform(size=(draws, 1)) > np.cumsum(step, axis=1)[state][:, :-1]).sum(axis=1)
+                    paths.append(state)
+                out += [(s, k, t, int(x[k])) for t, x in enumerate(paths) for k in range(draws)]
+            yield pd.DataFrame(out, columns=[sequence, "draw", "t", "state"])
+
+    kind = dict(df.dtypes)[sequence]
+    return sequences(df, sequence, order, value).mapInPandas(run, f"{sequence} {kind}, draw int, t int, state int")
+
+
 def enumerate_hmm(logs: np.ndarray, p: np.ndarray, init: np.ndarray) -> float:
     """Brute force over all paths of an order-1 chain, for tests."""
     k, total = logs.shape[1], 0.0

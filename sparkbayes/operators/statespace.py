@@ -341,6 +341,38 @@ def smoothed_draws(df: DataFrame, model: StateSpace, series: str, time: list[str
     return per_series(df, series, time, observed, kernel, "draw int, t int, state array<double>")
 
 
+def posterior_outputs(df: DataFrame, draws: DataFrame, build: Callable[[dict], StateSpace], series: str, time: list[str], observed: list[str], *, outputs: tuple[str, ...] = ("filtered", "predicted", "smoothed"), steps: int = 0, seed: int = 0) -> DataFrame:
+    """(series, draw, output, t, state, observed): states drawn under each row of parameters, and with ``steps`` a forecast path.
+
+    draws: a column ``draw`` and the parameters that ``build`` turns into a model; as many rows as the posterior has.
+    Each series meets every draw, which is what is asked for: series times draws are dealt over the tasks.
+    """
+    params = [c for c in draws.columns if c != "draw"]
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(t) for t in time], F.array(*[F.col(o).cast("double") for o in observed]).alias("_y"))))
+    whole = df.groupBy(series).agg(rows.alias("_r")).select(series, F.transform("_r", lambda x: x["_y"]).alias("ys"))
+    pairs = whole.crossJoin(draws).repartition(F.col(series), F.col("draw"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(len(b)):
+                model = build({k: float(b[k].iloc[i]) for k in params})
+                y = np.array([np.asarray(v, dtype=float) for v in b["ys"].iloc[i]])
+                rng = np.random.default_rng([seed, int(b["draw"].iloc[i]), len(y)])
+                f = kalman(model, y)
+                made = {"filtered": (f.filtered, f.filtered_cov), "predicted": (f.predicted, f.predicted_cov)}
+                for name in outputs:
+                    x = simulation_smoother(model, y, rng) if name == "smoothed" else np.array([a + psd_root(P) @ rng.standard_normal(model.m) for a, P in zip(*made[name], strict=True)])
+                    seen = [model.at("d", t) + model.at("Z", t) @ v + psd_root(model.at("H", t)) @ rng.standard_normal(model.p) for t, v in enumerate(x)]
+                    out += [(b[series].iloc[i], int(b["draw"].iloc[i]), name, t, v, w) for t, (v, w) in enumerate(zip(x, seen, strict=True))]
+                if steps:
+                    x, seen = simulate(model, steps, rng, x0=f.filtered[-1], P0=f.filtered_cov[-1], append_x0=False)
+                    out += [(b[series].iloc[i], int(b["draw"].iloc[i]), "forecast", len(y) + t, v, w) for t, (v, w) in enumerate(zip(x, seen, strict=True))]
+            yield pd.DataFrame(out, columns=[series, "draw", "output", "t", "state", "observed"])
+
+    return pairs.mapInPandas(run, f"{series} {kind_of(df, series)}, draw long, output string, t int, state array<double>, observed array<double>")
+
+
 def simulate_table(spark, model: StateSpace, draws: int, steps: int, *, seed: int = 0) -> DataFrame:
     """(draw, t, state, observed): unconditional draws, one generator for each."""
 

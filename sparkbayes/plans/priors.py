@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
-from ..functions.special import Value, col, normal, uniform
+from ..functions.special import Value, col, gamma_draw, normal, uniform
 
 #: Names of distributions and their parameters, in order.
 KNOWN: dict[str, tuple[str, ...]] = {
@@ -242,20 +242,6 @@ class Prior:
         return f'Prior("{self.distribution}", {", ".join(f"{k}={v}" for k, v in self.parameters.items())})'
 
 
-def gamma_draw(alpha: Column, key: Column, seed: int, tries: int = 8) -> Column:
-    """A gamma variable by Marsaglia and Tsang: the first accepted of a few proposals by key; shapes below one are boosted."""
-    boosted = F.when(alpha < 1, alpha + 1).otherwise(alpha)
-    d = boosted - 1.0 / 3
-    c = 1 / F.sqrt(9 * d)
-    value = d
-    for i in range(tries - 1, -1, -1):
-        x, u = normal(key, seed + 1009 * i), uniform(key, seed + 1009 * i + 503)
-        v = F.pow(1 + c * x, F.lit(3))
-        ok = (1 + c * x > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
-        value = F.when(ok, d * v).otherwise(value)
-    return F.when(alpha < 1, value * F.pow(uniform(key, seed + 77), 1 / alpha)).otherwise(value)
-
-
 @dataclass(frozen=True)
 class Censored:
     """A prior whose values beyond the bounds are seen at the bounds."""

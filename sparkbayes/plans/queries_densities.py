@@ -170,6 +170,12 @@ def distribution_draws(spark, sf_dir):
     return rows.select("o_orderkey", *[d.draw(key, seed=3).alias(n) for n, d in made.items()])
 
 
+@register("continuous_draws")
+def continuous_draws(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.Chi(3.0).draw(key, 1).alias("chi"), D.Maxwell(2.0).draw(key, 2).alias("maxwell"), D.JointCategorical.of(p=_PAIR / _PAIR.sum()).draw(key, 3).alias("pair"))
+
+
 # --- histograms --------------------------------------------------------------------------------------------------
 
 
@@ -389,6 +395,25 @@ def hmm_smoothed_prob(spark, sf_dir):
     return got.where("state = 1").select("user_id", "t", r(F.col("prob")).alias("prob"))
 
 
+@register("hmm_path_draws")
+def hmm_path_draws(spark, sf_dir):
+    rows = states(spark, sf_dir).withColumn("y", F.log("value"))
+    logs = lambda y: -0.5 * (y[:, None] - np.array([3.0, 5.0])) ** 2 - 0.5 * math.log(2 * math.pi)
+    return markov.hmm_draws(rows, "user_id", ["ts", "event_id"], "y", logs, [[0.9, 0.1], [0.2, 0.8]], [0.6, 0.4], 3, seed=1)
+
+
+@register(
+    "windowed_events",
+    """SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1, 2""",
+)
+def windowed_events(spark, sf_dir):
+    """Hourly statistics by event type; the same operator runs on a stream."""
+    from ..streaming import online
+
+    got = online.windowed(table(spark, sf_dir, "events"), "ts", "value", size="1 hour", keys=["event_type"])
+    return got.select(F.col("window.start").alias("start"), "event_type", "n", r(F.col("mean")).alias("mean"), r(F.col("sd")).alias("sd"))
+
+
 @register(
     "laplace_poisson_rate",
     """SELECT round(ln(sum(dx * exp(l - top))) + max(top), 4) AS logp FROM (SELECT *, max(l) OVER () AS top FROM (

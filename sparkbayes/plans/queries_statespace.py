@@ -209,3 +209,10 @@ def statespace_simulate(spark, sf_dir):
 @register("simulation_smoother")
 def simulation_smoother(spark, sf_dir):
     return S.smoothed_draws(monthly(spark, sf_dir), level_model(400.0, 25.0), "series", ["m"], ["y"], 20, seed=2)
+
+
+@register("statespace_posterior_draws")
+def statespace_posterior_draws(spark, sf_dir):
+    """Filtered, predicted, smoothed and forecast draws of monthly orders under draws of the two variances."""
+    draws = spark.range(10).select(F.col("id").alias("draw"), (400.0 + 20 * F.col("id")).alias("h"), (25.0 + F.col("id")).alias("q"))
+    return S.posterior_outputs(monthly(spark, sf_dir), draws, lambda p: level_model(p["h"], p["q"]), "series", ["m"], ["y"], steps=6, seed=3)

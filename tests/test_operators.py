@@ -84,6 +84,22 @@ def test_hidden_chain_against_all_paths():
             assert math.isclose(np.exp(alpha[t] + beta[t] - total).reshape(k, -1).sum(axis=1)[1], want)
 
 
+def test_hidden_paths_are_drawn_by_their_probabilities(spark):
+    rng = np.random.default_rng(3)
+    p, init, logs = rng.dirichlet(np.ones(2), size=2), np.array([0.3, 0.7]), rng.normal(size=(4, 2))
+    first, steps = markov.conditional_chain(logs, p, init)
+    total = markov.enumerate_hmm(logs, p, init)
+    for path in itertools.product(range(2), repeat=4):
+        joint = math.log(init[path[0]]) + sum(math.log(p[a, b]) for a, b in itertools.pairwise(path)) + sum(logs[t, s] for t, s in enumerate(path))
+        given = math.log(first[path[0]]) + sum(math.log(steps[t][a, b]) for t, (a, b) in enumerate(itertools.pairwise(path)))
+        assert math.isclose(joint - total, given)
+    df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate([0.1, 1.2, 0.9])], "q int, t int, y double")
+    emission = lambda y: -0.5 * (y[:, None] - np.array([0.0, 1.0])) ** 2
+    drawn = {r[0]: r[1] for r in markov.hmm_draws(df, "q", ["t"], "y", emission, [[0.7, 0.3], [0.2, 0.8]], [0.5, 0.5], 4000).groupBy("t").agg(F.avg("state")).collect()}
+    exact = {r["t"]: r["prob"] for r in markov.hmm_smoothed(df, "q", ["t"], "y", emission, [[0.7, 0.3], [0.2, 0.8]], [0.5, 0.5]).where("state = 1").collect()}
+    assert all(abs(drawn[t] - exact[t]) < 0.03 for t in exact)
+
+
 def test_smoothed_states_sum_to_one(spark):
     df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate([0.1, 1.2, 0.9, -0.2])], "q int, t int, y double")
     logs = lambda y: -0.5 * (y[:, None] - np.array([0.0, 1.0])) ** 2

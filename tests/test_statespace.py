@@ -160,3 +160,19 @@ def test_varmax_and_factor_models_filter():
     f = M.dynamic_factor(np.array([[1.0], [0.5], [-0.3]]), [np.array([[0.7]])], error_ar=[np.eye(3) * 0.2])
     y = S.simulate(f, 8, RNG)[1]
     assert np.isclose(S.kalman(f, y, "standard", jitter=0).loglike.sum(), S.direct_logp(f, y), atol=1e-6)
+
+
+def test_posterior_outputs(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(s, t, float(t + s)) for s in (1, 2) for t in range(6)], "s int, t int, y double")
+    draws = spark.range(300).select(F.col("id").alias("draw"), F.lit(1.0).alias("h"))
+
+    def build(p):
+        return S.StateSpace(T=[[1.0]], Z=[[1.0]], R=[[1.0]], H=[[p["h"]]], Q=[[1.0]], x0=[0.0], P0=[[10.0]])
+
+    got = S.posterior_outputs(df, draws, build, "s", ["t"], ["y"], steps=2).withColumn("x", F.get("state", F.lit(0)))
+    mean = {(r[0], r[1], r[2]): r[3] for r in got.groupBy("s", "output", "t").agg(F.avg("x")).collect()}
+    f = S.kalman(build({"h": 1.0}), np.arange(6.0) + 1)
+    assert abs(mean[1, "filtered", 3] - f.filtered[3, 0]) < 0.2 and abs(mean[1, "forecast", 7] - f.filtered[-1, 0]) < 0.35
+    assert abs(mean[1, "smoothed", 3] - S.smooth(build({"h": 1.0}), f)[0][3, 0]) < 0.2 and got.count() == 2 * 300 * (3 * 6 + 2)
