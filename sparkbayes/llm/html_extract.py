@@ -91,21 +91,27 @@ class Piece:
     cross: bool = False
 
 
-def closing(page: str, name: str, start: int) -> tuple[int, bool]:
-    """Where the element opened before ``start`` ends, and whether it is closed at all."""
-    depth = 1
-    for m in TOKEN.finditer(page, start):
-        if m[2] and m[2].lower() == name and not (m[3] or "").endswith("/"):
-            depth += -1 if m[1] else 1
-            if not depth:
-                return m.end(), True
-    return len(page), False
+def closings(page: str) -> dict[int, int]:
+    """Where each closed element ends, by where its opening tag ends; one pass over the tags."""
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for m in TOKEN.finditer(page):
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if not m[1]:
+            if not m[3].endswith("/"):
+                opened.setdefault(name, []).append(m.end())
+        elif opened.get(name):
+            out[opened[name].pop()] = m.end()
+    return out
 
 
 def pieces(page: str, *, skip: bool = True) -> list[Piece]:
     """A page's tags and texts; elements beside the article are passed over, unless for counting."""
     out: list[Piece] = []
     at, links, marked, size = 0, 0, [], len(page)
+    ends: dict[int, int] | None = None
 
     def said(text: str) -> None:
         if text:
@@ -131,8 +137,10 @@ def pieces(page: str, *, skip: bool = True) -> list[Piece]:
         given = attributes(m[3]) if not close and m[3] else {}
         mark = not close and marks(name, given)
         if skip and not close and name not in VOID and beside(name, given, bool(marked)):
-            end, closed = closing(page, name, at)
-            if not closed:
+            if ends is None:
+                ends = closings(page)
+            end = ends.get(at)
+            if end is None:
                 after = re.compile(r"<(?:article|main)\b", re.I).search(page, at) or (None if name == "footer" else re.compile(r"<(?:div|p|section|h[1-6])\b", re.I).search(page, at))
                 end = after.start() if after else size
             at = end
