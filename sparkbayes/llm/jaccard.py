@@ -15,7 +15,8 @@ Texts with equal sets are one node. Nodes with a common key are candidates, and
 so pairs inside a component needn't be looked at: in a few rounds one pivot per key, the node with the fewest tokens
 of its own, is verified against the other components' members of the key. What then is left, pairs of one key in
 different components of which at most one is the key's largest, is verified in full. Every pair at or above the
-threshold ends in one component. No key's group comes to a single task, and nothing but the bit maps to the driver.
+threshold ends in one component. Wherever two sets meet at a key, the places of its tokens bound their overlap, as if
+no smaller common key existed; a pair out of reach is left to its smaller keys. No key's group comes to a single task, and nothing but the bit maps to the driver.
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and are linked with nothing; a text of
 fewer words than a shingle has its whole word sequence as its only token; repeated rows are one node, each with
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_blocks, ready, stored
@@ -144,8 +145,8 @@ def bit_maps(counted: DataFrame, bits: int, bucket_bits: int, frequent: int) ->
     return bytes(maps[0]), bytes(maps[1])
 
 
-def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits: int, k: int, percent: int, long: int) -> tuple[np.ndarray, int] | None:
-    """A set's index keys and its number of tokens that are not frequent; None if it can have no partner."""
+def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits: int, k: int, percent: int, long: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """A set's index keys, the most tokens it can share with a set that it shares no smaller key with, and its number of tokens that are not frequent; None if it can have no partner."""
     n = len(tokens)
     need = -(-percent * n // 100)
     reach = n - need + 1
@@ -158,9 +159,10 @@ def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits:
     is_frequent = (frequent[byte] & bit) != 0
     rare = tokens[is_shared & ~is_frequent]
     if dead + len(rare) >= reach:
-        return rare[: reach - dead], dead + len(rare)
+        return rare[: reach - dead], n - dead - np.arange(reach - dead), dead + len(rare)
     common = tokens[is_shared & is_frequent]
-    keys = [rare]
+    before = dead + len(rare)
+    keys, most = [rare], [n - dead - np.arange(len(rare))]
     if n < long:
         some = common[: reach - 1 + k - dead - len(rare)]
         left, right = np.triu_indices(len(some), 1)
@@ -168,13 +170,15 @@ def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits:
         if k != 2:
             raise ValueError("combinations of two are indexed")
         keys.append(combined)
+        most.append(n - before - right + 1)
     if 100 * n >= percent * long:
-        keys.append(common[: reach - dead - len(rare)])
-    return np.concatenate(keys), dead + len(rare)
+        keys.append(common[: reach - before])
+        most.append(n - before - np.arange(len(keys[-1])))
+    return np.concatenate(keys), np.concatenate(most), before
 
 
 def indexed(docs: DataFrame, maps, width: int, bits: int, k: int, percent: int, long: int) -> DataFrame:
-    """(doc_id, sid, n, keys, tokens, own) per row; keys and tokens once a task for each set that may have partners."""
+    """(doc_id, sid, n, keys, most, tokens, own) per row; what follows n once a task for each set that may have partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, frequent = (np.frombuffer(x, np.uint8) for x in maps.value)
@@ -182,7 +186,7 @@ def indexed(docs: DataFrame, maps, width: int, bits: int, k: int, percent: int,
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                sids, ns, keys, toks, owns = [], [], [], [], []
+                sids, ns, keys, most, toks, owns = [], [], [], [], [], []
                 for tokens in sets(part.column(1), width):
                     sid = identity(tokens) if len(tokens) else None
                     sids.append(sid)
@@ -196,15 +200,17 @@ def indexed(docs: DataFrame, maps, width: int, bits: int, k: int, percent: int,
                         alive = (shared[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8))) != 0
                         keys.append(got[0].view(np.int64))
                         toks.append(tokens[alive].view(np.int64))
-                        owns.append(got[1])
+                        most.append(got[1])
+                        owns.append(got[2])
                     else:
                         keys.append(None)
+                        most.append(None)
                         toks.append(None)
                         owns.append(None)
                 lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.binary()), pa.array(ns, pa.int64()), pa.array(keys, lists), pa.array(toks, lists), pa.array(owns, pa.int64())], names=["doc_id", "sid", "n", "keys", "tokens", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.binary()), pa.array(ns, pa.int64()), pa.array(keys, lists), pa.array(most, lists), pa.array(toks, lists), pa.array(owns, pa.int64())], names=["doc_id", "sid", "n", "keys", "most", "tokens", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, n long, keys array<long>, tokens array<long>, own long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, n long, keys array<long>, most array<long>, tokens array<long>, own long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,6 +230,12 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def possible(n: Column, most: Column, n2: Column, most2: Column, percent: int) -> Column:
+    """Whether two sets can reach the threshold if the key at hand is their smallest common one; those that do meet at that key too."""
+    both = F.least(most, most2)
+    return 100 * both >= percent * (n + n2 - both)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those at or above the threshold."""
     left = nodes.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
@@ -259,29 +271,31 @@ def clusters(
     maps = spark.sparkContext.broadcast(bit_maps(counts(rows, width, bucket_bits, frequent), bits, bucket_bits, frequent))
     all_rows = stored(indexed(rows, maps, width, bits, k, percent, long), "jaccard-rows")
     alive = all_rows.where(F.col("keys").isNotNull())
-    nodes = stored(alive.groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"), F.first("own").alias("own")), "jaccard-nodes")
-    entries = nodes.select("sid", "n", "own", F.explode("keys").alias("key"))
+    nodes = stored(alive.groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("most").alias("most"), F.first("tokens").alias("tokens"), F.first("own").alias("own")), "jaccard-nodes")
+    entries = nodes.select("sid", "n", "own", F.explode(F.arrays_zip("keys", "most")).alias("e")).select("sid", "n", "own", F.col("e.keys").alias("key"), F.col("e.most").alias("most"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     entries = stored(entries.join(several, "key", "left_semi"), "jaccard-index")
     roots = nodes.select("sid", F.col("sid").alias("root"))
     done = None
     for step in range(rounds + 1):
         at = entries.join(roots, "sid")
-        orders = F.struct(*(["own"] if step == 0 else []), F.xxhash64("sid", F.lit(step)).alias("h"), "sid", "root", "n")
+        orders = F.struct(*(["own"] if step == 0 else []), F.xxhash64("sid", F.lit(step)).alias("h"), "sid", "root", "n", "most")
         keys = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(orders).alias("p")).where("r0 <> r1")
         keys = stored(keys.select("key", "p"), f"jaccard-open-{step}")
         if not keys.head(1):
             break
         if step < rounds:
-            met = at.join(keys, "key").where(F.col("root") != F.col("p.root"))
-            found = met.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"), F.col("n").alias("x"), F.col("p.n").alias("y"))
+            near = possible(F.col("n"), F.col("most"), F.col("p.n"), F.col("p.most"), percent)
+            met = at.join(keys, (at["key"] == keys["key"]) & (F.col("root") != F.col("p.root")) & near)
+            found = met.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))
         else:
             in_key = at.join(keys.select("key"), "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-            mixed_keys = at.join(in_key.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "key")
-            few = mixed_keys.where(F.col("root") != F.col("top")).select("key", F.col("sid").alias("s"), F.col("root").alias("r"), F.col("n").alias("y"))
-            met = mixed_keys.join(few, "key").where((F.col("root") != F.col("r")) & ((F.col("root") == F.col("top")) | (F.col("sid") < F.col("s"))))
-            found = met.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b"), F.col("n").alias("x"), "y")
-        pairs = found.where(F.least("x", "y") * 100 >= percent * F.greatest("x", "y")).select("a", "b").distinct()
+            every = at.join(in_key.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "key")
+            few = every.where(F.col("root") != F.col("top")).select(F.col("key").alias("k"), F.col("sid").alias("s"), F.col("root").alias("r"), F.col("n").alias("x"), F.col("most").alias("y"))
+            near = possible(F.col("n"), F.col("most"), F.col("x"), F.col("y"), percent)
+            met = every.join(few, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r")) & ((F.col("root") == F.col("top")) | (F.col("sid") < F.col("s"))) & near)
+            found = met.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b"))
+        pairs = found.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"jaccard-pairs-{step}")
