@@ -251,7 +251,7 @@ def clusters(
     text: str = "text",
     width: int = 5,
     percent: int = 80,
-    frequent: int = 64,
+    frequent: int = 1000,
     k: int = 2,
     long: int = 2000,
     most_bits: int = 28,
