@@ -237,9 +237,11 @@ def possible(n: Column, most: Column, n2: Column, most2: Column, percent: int) -
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those at or above the threshold."""
-    left = nodes.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    right = nodes.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    """Of pairs (a, b) those at or above the threshold; only nodes of a pair bring their tokens."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets_ = nodes.select("id", "tokens", "n").join(used, "id", "left_semi")
+    left = sets_.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    right = sets_.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -271,30 +273,33 @@ def clusters(
     maps = spark.sparkContext.broadcast(bit_maps(counts(rows, width, bucket_bits, frequent), bits, bucket_bits, frequent))
     all_rows = stored(indexed(rows, maps, width, bits, k, percent, long), "jaccard-rows")
     alive = all_rows.where(F.col("keys").isNotNull())
-    nodes = stored(alive.groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("most").alias("most"), F.first("tokens").alias("tokens"), F.first("own").alias("own")), "jaccard-nodes")
-    entries = nodes.select("sid", "n", "own", F.explode(F.arrays_zip("keys", "most")).alias("e")).select("sid", "n", "own", F.col("e.keys").alias("key"), F.col("e.most").alias("most"))
+    merged_rows = alive.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "keys", "most", "tokens", "own")])
+    nodes = stored(merged_rows.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
+    each = F.explode(F.arrays_zip("keys", "most")).alias("e")
+    entries = nodes.select("id", "n", "own", each).select("id", F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), F.col("e.keys").alias("key"), F.col("e.most").cast("int").alias("most"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     entries = stored(entries.join(several, "key", "left_semi"), "jaccard-index")
-    roots = nodes.select("sid", F.col("sid").alias("root"))
+    roots = nodes.select("id", F.col("id").alias("root"))
     done = None
     for step in range(rounds + 1):
-        at = entries.join(roots, "sid")
-        orders = F.struct(*(["own"] if step == 0 else []), F.xxhash64("sid", F.lit(step)).alias("h"), "sid", "root", "n", "most")
+        at = entries.join(roots, "id")
+        orders = F.struct(*(["own"] if step == 0 else []), F.xxhash64("id", F.lit(step)).alias("h"), "id", "root", "n", "most")
         keys = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(orders).alias("p")).where("r0 <> r1")
-        keys = stored(keys.select("key", "p"), f"jaccard-open-{step}")
-        if not keys.head(1):
+        still = at.join(keys.select("key", F.col("p.id").alias("p_id"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.most").alias("p_most")), "key")
+        still = stored(still, f"jaccard-open-{step}")
+        if not still.head(1):
             break
+        entries = still.select("id", "n", "own", "key", "most")  # a key inside one component has nothing left to find
         if step < rounds:
-            near = possible(F.col("n"), F.col("most"), F.col("p.n"), F.col("p.most"), percent)
-            met = at.join(keys, (at["key"] == keys["key"]) & (F.col("root") != F.col("p.root")) & near)
-            found = met.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))
+            near = possible(F.col("n"), F.col("most"), F.col("p_n"), F.col("p_most"), percent)
+            found = still.where((F.col("root") != F.col("p_root")) & near).select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
         else:
-            in_key = at.join(keys.select("key"), "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-            every = at.join(in_key.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "key")
-            few = every.where(F.col("root") != F.col("top")).select(F.col("key").alias("k"), F.col("sid").alias("s"), F.col("root").alias("r"), F.col("n").alias("x"), F.col("most").alias("y"))
+            in_key = still.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+            every = still.select("id", "n", "key", "most", "root").join(in_key.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top")), "key")
+            few = every.where(F.col("root") != F.col("top")).select(F.col("key").alias("k"), F.col("id").alias("s"), F.col("root").alias("r"), F.col("n").alias("x"), F.col("most").alias("y"))
             near = possible(F.col("n"), F.col("most"), F.col("x"), F.col("y"), percent)
-            met = every.join(few, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r")) & ((F.col("root") == F.col("top")) | (F.col("sid") < F.col("s"))) & near)
-            found = met.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b"))
+            met = every.join(few, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r")) & ((F.col("root") == F.col("top")) | (F.col("id") < F.col("s"))) & near)
+            found = met.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
         pairs = found.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -302,12 +307,13 @@ def clusters(
         done = pairs if done is None else done.unionByName(pairs)
         links = stored(verified(pairs, nodes, percent), f"jaccard-links-{step}")
         if links.head(1):
-            known = roots.select(F.col("sid").alias("a"), F.col("root").alias("ra"))
+            known = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
             ends = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
             merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            roots = stored(roots.join(merged.withColumnRenamed("root", "up"), F.col("root") == F.col("node"), "left").select("sid", F.coalesce("up", "root").alias("root")), f"jaccard-roots-{step}")
+            roots = stored(roots.join(merged.withColumnRenamed("root", "up"), F.col("root") == F.col("node"), "left").select("id", F.coalesce("up", "root").alias("root")), f"jaccard-roots-{step}")
+    of_root = nodes.select("sid", "id").join(roots, "id").join(nodes.select(F.col("id").alias("root"), F.col("sid").alias("root_sid")), "root").select("sid", F.col("root_sid").alias("root"))
     own = all_rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"))
-    linked = own.join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
+    linked = own.join(of_root, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = linked.join(least, "root").select("sid", "component_id")
     full = all_rows.where(F.col("sid").isNotNull()).join(labels, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
