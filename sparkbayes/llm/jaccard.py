@@ -1,9 +1,9 @@
 """Exact Jaccard join on word shingles by token-combination prefixes (operator 9).
 
-Tokens are 64-bit hashes of shingles. One pass counts in how many different texts each token is; two bit maps of
-fixed size carry the result to every task: tokens that at least two texts may share, and frequent ones, which more
-than ``frequent`` texts may share. False bits cost work and never a link. All sets are ordered alike: unshared
-tokens, then rare ones, then frequent ones, by hash within each class.
+Tokens are 64-bit hashes of shingles. One pass counts in how many different texts each token is; bit maps of fixed
+size carry the result to every task, one for each class: tokens that at least 2, 4, 16 .. texts may share, and
+frequent ones, which more than ``frequent`` texts may share. False bits cost work and never a link. All sets are
+ordered alike: unshared tokens, then rare ones by class, then frequent ones, by hash within each class.
 
 Two sets with an overlap of at least o share their k smallest common tokens within the first n - o + k places of
 both. With k = 1, that place range without frequent tokens is indexed by its single rare tokens; a set whose first
@@ -114,53 +114,70 @@ def counts(docs: DataFrame, width: int, bucket_bits: int, frequent: int) -> Data
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
-def bit_maps(counted: DataFrame, bits: int, bucket_bits: int, frequent: int) -> tuple[bytes, bytes]:
-    """Bits of the shared and of the frequent tokens, by the first ``bits`` bits of a token."""
-    span = 1 << (bits - bucket_bits)
+def levels_of(frequent: int) -> list[int]:
+    """Least numbers of texts of the classes above the unshared tokens; the last class is the frequent one."""
+    return [*(x for x in (2, 4, 16, 64, 256) if x <= frequent), frequent + 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
 
+def map_bits(bits: int, bucket_bits: int, level: int) -> int:
+    """Tokens that many texts share are few: maps beyond the first have a sixteenth of its bits."""
+    return bits if level == 0 else max(bits - 4, bucket_bits + 3)
+
+
+def bit_maps(counted: DataFrame, bits: int, bucket_bits: int, frequent: int) -> list[bytes]:
+    """For each level the bits of the tokens that so many texts may share, by a token's first bits."""
+    import zlib
+
+    levels = levels_of(frequent)
+    wide = [map_bits(bits, bucket_bits, k) for k in range(len(levels))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tails = np.sort(np.concatenate([np.cumsum(np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint64).astype(np.uint32) for b in blobs]))
                 out = []
-                for least in (2, frequent + 1):
+                for least, w in zip(levels, wide, strict=True):
                     hit = tails[least - 1 :][tails[least - 1 :] == tails[: len(tails) - least + 1]] if len(tails) >= least else tails[:0]
-                    cells = np.zeros(span, dtype=np.uint8)
-                    cells[(hit.astype(np.uint64) >> np.uint64(32 - bits + bucket_bits)).astype(np.int64)] = 1
+                    cells = np.zeros(1 << (w - bucket_bits), dtype=np.uint8)
+                    cells[(hit.astype(np.uint64) >> np.uint64(32 - w + bucket_bits)).astype(np.int64)] = 1
                     out.append(zlib.compress(np.packbits(cells).tobytes(), 1) if len(hit) else b"")
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array(out[:1], pa.binary()), pa.array(out[1:], pa.binary())], names=["bucket", "shared", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out], pa.list_(pa.binary()))], names=["bucket", "maps"])
 
-    import zlib
-
-    size = (1 << bits) // 8
-    maps = bytearray(size), bytearray(size)
+    maps = [bytearray((1 << w) // 8) for w in wide]
     grouped = counted.groupBy("bucket").agg(F.collect_list("blob").alias("blobs"))
-    for row in grouped.mapInArrow(run, "bucket int, shared binary, frequent binary").collect():
-        for to, packed in zip(maps, row[1:], strict=True):
+    for row in grouped.mapInArrow(run, "bucket int, maps array<binary>").collect():
+        for to, packed in zip(maps, row[1], strict=True):
             if packed:
                 raw = zlib.decompress(packed)
                 to[row[0] * len(raw) : (row[0] + 1) * len(raw)] = raw
-    return bytes(maps[0]), bytes(maps[1])
+    return [bytes(m) for m in maps]
+
+
+def marked(tokens: np.ndarray, bit_map: np.ndarray) -> np.ndarray:
+    """Whether each token's bit is set in a map of a power of two of bits."""
+    bits = (8 * len(bit_map)).bit_length() - 1
+    cell = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    return (bit_map[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8))) != 0
 
 
-def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits: int, k: int, percent: int, long: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-    """A set's index keys, the most tokens it can share with a set that it shares no smaller key with, and its number of tokens that are not frequent; None if it can have no partner."""
+def keys_of(tokens: np.ndarray, maps: list[np.ndarray], k: int, percent: int, long: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray] | None:
+    """A set's index keys, the most tokens it can share with a set that it shares no smaller key with, its number of tokens that no or few other texts share, and its shared tokens; None if it can have no partner."""
     n = len(tokens)
     need = -(-percent * n // 100)
     reach = n - need + 1
-    cell = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-    byte, bit = cell >> 3, np.uint8(128) >> (cell & 7).astype(np.uint8)
-    is_shared = (shared[byte] & bit) != 0
-    dead = n - int(is_shared.sum())
+    shared = tokens[marked(tokens, maps[0])]
+    dead = n - len(shared)
     if dead >= reach or n < 2:
         return None
-    is_frequent = (frequent[byte] & bit) != 0
-    rare = tokens[is_shared & ~is_frequent]
+    level = np.zeros(len(shared), dtype=np.int8)
+    for i, m in enumerate(maps[1:], 1):
+        level[marked(shared, m)] = i
+    own = dead + int((level == 0).sum())
+    order = np.lexsort((shared, level))
+    rare = shared[order[level[order] < len(maps) - 1]]
     if dead + len(rare) >= reach:
-        return rare[: reach - dead], n - dead - np.arange(reach - dead), dead + len(rare)
-    common = tokens[is_shared & is_frequent]
+        return rare[: reach - dead], n - dead - np.arange(reach - dead), own, shared
+    common = shared[order[level[order] == len(maps) - 1]]
     before = dead + len(rare)
     keys, most = [rare], [n - dead - np.arange(len(rare))]
     if n < long:
@@ -174,14 +191,14 @@ def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray, bits:
     if 100 * n >= percent * long:
         keys.append(common[: reach - before])
         most.append(n - before - np.arange(len(keys[-1])))
-    return np.concatenate(keys), np.concatenate(most), before
+    return np.concatenate(keys), np.concatenate(most), own, shared
 
 
-def indexed(docs: DataFrame, maps, width: int, bits: int, k: int, percent: int, long: int) -> DataFrame:
+def indexed(docs: DataFrame, maps, width: int, k: int, percent: int, long: int) -> DataFrame:
     """(doc_id, sid, n, keys, most, tokens, own) per row; what follows n once a task for each set that may have partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, frequent = (np.frombuffer(x, np.uint8) for x in maps.value)
+        bit_maps_ = [np.frombuffer(x, np.uint8) for x in maps.value]
         seen: set[bytes] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -194,12 +211,10 @@ def indexed(docs: DataFrame, maps, width: int, bits: int, k: int, percent: int,
                     got = None
                     if sid is not None and sid not in seen:
                         seen.add(sid)
-                        got = keys_of(tokens, shared, frequent, bits, k, percent, long)
+                        got = keys_of(tokens, bit_maps_, k, percent, long)
                     if got is not None and len(got[0]):
-                        cell = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-                        alive = (shared[cell >> 3] & (np.uint8(128) >> (cell & 7).astype(np.uint8))) != 0
                         keys.append(got[0].view(np.int64))
-                        toks.append(tokens[alive].view(np.int64))
+                        toks.append(got[3].view(np.int64))
                         most.append(got[1])
                         owns.append(got[2])
                     else:
@@ -262,7 +277,7 @@ def clusters(
     """(doc_id, n_shingles, component_id) per row.
 
     percent: least Jaccard similarity in hundredths. frequent: texts that share a token which is not rare. long: see
-    the module. most_bits: the bit maps have 2**most_bits bits at most, each (a broadcast of 64 MB by default).
+    the module. most_bits: the first bit map has 2**most_bits bits at most, the others a sixteenth (a broadcast of 42 MB by default).
     rounds: of pivots, before all that is left is verified.
     """
     spark = ready(docs.sparkSession)
@@ -271,7 +286,7 @@ def clusters(
     bucket_bits = min(16, max(6, math.ceil(math.log2(max(1, size) / 6 / 500_000 + 1))))
     bits = min(most_bits, max(bucket_bits + 3, 16, math.ceil(math.log2(8 * size / 6 + 1))))
     maps = spark.sparkContext.broadcast(bit_maps(counts(rows, width, bucket_bits, frequent), bits, bucket_bits, frequent))
-    all_rows = stored(indexed(rows, maps, width, bits, k, percent, long), "jaccard-rows")
+    all_rows = stored(indexed(rows, maps, width, k, percent, long), "jaccard-rows")
     alive = all_rows.where(F.col("keys").isNotNull())
     merged_rows = alive.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "keys", "most", "tokens", "own")])
     nodes = stored(merged_rows.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")

@@ -79,12 +79,14 @@ def test_keys_hold_the_common_prefix():
     sets = [np.unique(np.concatenate([base[rng.random(120) > 0.08], rng.choice(pool[120:], 6)])) for _ in range(40)]
     bits = 16
     for frequent_share in (0.0, 0.5, 1.0):
-        shared, frequent = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 13, np.uint8)
+        shared, some, frequent = np.full(1 << 13, 255, np.uint8), np.zeros(1 << 9, np.uint8), np.zeros(1 << 13, np.uint8)
+        for t in base[::3]:
+            some[int(t >> np.uint64(52)) >> 3] |= 128 >> (int(t >> np.uint64(52)) & 7)
         for t in base[: int(120 * frequent_share)]:
             c = int(t >> np.uint64(64 - bits))
             frequent[c >> 3] |= 128 >> (c & 7)
         for long in (50, 2000):
-            keys = [J.keys_of(s, shared, frequent, bits, 2, 80, long) for s in sets]
+            keys = [J.keys_of(s, [shared, some, frequent], 2, 80, long) for s in sets]
             for i in range(40):
                 for j in range(i):
                     both = len(np.intersect1d(sets[i], sets[j]))
