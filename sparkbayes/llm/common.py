@@ -48,7 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so lost executors cost no earlier stage."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def cut_blocks(texts) -> tuple[list[str], list[int], list[int]]:

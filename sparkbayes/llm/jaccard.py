@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_blocks, ready, stored
+from .common import cut_blocks, discard, ready, stored
 
 FLUSH = 2_000_000
 SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -235,13 +235,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "stars-large")
+        large, before = stored(large, "stars-large"), now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars-small")
+        discard(*[t for t in (large, before) if hasattr(t, "_stored_at")])
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).head())
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._stored_at = now._stored_at
+            return out
         mark = seen
 
 
@@ -290,11 +293,15 @@ def clusters(
     alive = all_rows.where(F.col("keys").isNotNull())
     merged_rows = alive.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "keys", "most", "tokens", "own")])
     nodes = stored(merged_rows.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
+    slim = stored(all_rows.select("doc_id", "sid", "n"), "jaccard-texts")
+    discard(all_rows)
+    all_rows = slim
     each = F.explode(F.arrays_zip("keys", "most")).alias("e")
     entries = nodes.select("id", "n", "own", each).select("id", F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), F.col("e.keys").alias("key"), F.col("e.most").cast("int").alias("most"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     entries = stored(entries.join(several, "key", "left_semi"), "jaccard-index")
     roots = nodes.select("id", F.col("id").alias("root"))
+    used = [nodes, entries]
     done = None
     for step in range(rounds + 1):
         at = entries.join(roots, "id")
@@ -302,6 +309,7 @@ def clusters(
         keys = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(orders).alias("p")).where("r0 <> r1")
         still = at.join(keys.select("key", F.col("p.id").alias("p_id"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.most").alias("p_most")), "key")
         still = stored(still, f"jaccard-open-{step}")
+        used.append(still)
         if not still.head(1):
             break
         entries = still.select("id", "n", "own", "key", "most")  # a key inside one component has nothing left to find
@@ -321,12 +329,16 @@ def clusters(
         pairs = stored(pairs, f"jaccard-pairs-{step}")
         done = pairs if done is None else done.unionByName(pairs)
         links = stored(verified(pairs, nodes, percent), f"jaccard-links-{step}")
+        used += [pairs, links]
         if links.head(1):
             known = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
             ends = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
             merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            used += [merged, roots] if step else [merged]
             roots = stored(roots.join(merged.withColumnRenamed("root", "up"), F.col("root") == F.col("node"), "left").select("id", F.coalesce("up", "root").alias("root")), f"jaccard-roots-{step}")
     of_root = nodes.select("sid", "id").join(roots, "id").join(nodes.select(F.col("id").alias("root"), F.col("sid").alias("root_sid")), "root").select("sid", F.col("root_sid").alias("root"))
+    of_root = stored(of_root, "jaccard-roots")
+    discard(*[t for t in used if hasattr(t, "_stored_at")])
     own = all_rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"))
     linked = own.join(of_root, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
