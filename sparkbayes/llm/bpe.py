@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, ready, tokenizer_path
+from .common import Memo, held, ready, tokenizer_path
 
 
 def byte_chars() -> list[str]:
@@ -130,15 +130,6 @@ def blocks_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-_loaded: dict[str, WordBPE] = {}
-
-
-def _coder(path: str) -> WordBPE:
-    if path not in _loaded:
-        _loaded[path] = WordBPE(path)
-    return _loaded[path]
-
-
 def encode_decode(df: DataFrame, text: str = "text", *, path: str | None = None) -> DataFrame:
     """``df`` with ``ids_text`` (decimal ids joined by a space), ``n_tokens`` and ``decoded``; columns so named are replaced."""
     at = tokenizer_path("word_bpe_49k.json", path)
@@ -149,7 +140,7 @@ def encode_decode(df: DataFrame, text: str = "text", *, path: str | None = None)
     schema = pa.schema([("ids_text", pa.string()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(at)
+        coder = held(("bpe", at), lambda: WordBPE(at))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

@@ -69,6 +69,17 @@ def cut_blocks(texts) -> tuple[list[str], list[int], list[int]]:
     return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().tolist(), cut.offsets.to_numpy().tolist()
 
 
+_slot: dict = {}
+
+
+def held(key, make: Callable):
+    """What an operator keeps in a Python worker between batches and tasks. A worker outlives its stage, so it keeps one operator's state at a time."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 class Memo(dict):
     """A function's results by argument, kept in two generations of at most ``limit`` entries each.
 

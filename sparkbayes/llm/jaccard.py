@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_blocks, discard, ready, stored
+from .common import held as keep
 
 FLUSH = 2_000_000
 SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
@@ -95,6 +96,7 @@ def counts(docs: DataFrame, width: int, bucket_bits: int, frequent: int) -> Data
         return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("jaccard", lambda: None)
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         total = 0
@@ -198,6 +200,7 @@ def indexed(docs: DataFrame, maps, width: int, k: int, percent: int, long: int)
     """(doc_id, sid, n, keys, most, tokens, own) per row; what follows n once a task for each set that may have partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("jaccard", lambda: None)
         bit_maps_ = [np.frombuffer(x, np.uint8) for x in maps.value]
         seen: set[bytes] = set()
         for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, ready
+from .common import held, ready
 
 
 def grams(word: str, most: int) -> list[str]:
@@ -191,9 +191,6 @@ class Scorer:
         return self.model.languages[best], float(min(1.0, p[best]))
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text", *, keep_text: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; without ``text`` unless it is to be kept."""
     ready(docs.sparkSession)
@@ -205,10 +202,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", *, keep_te
     mark = zlib.crc32(model.weights.tobytes()).to_bytes(4, "big") + repr((model.languages, model.temperature)).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(sent.value)
-        scorer = _scorers[mark]
+        scorer = held(("langid", mark), lambda: Scorer(sent.value))
         for batch in batches:
             got = [scorer.predict(t) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pass_on], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*pass_on, "lang_pred", "score"])

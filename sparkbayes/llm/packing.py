@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordBPE, byte_chars
-from .common import Memo, cut_blocks, ready, stored, tokenizer_path
+from .common import Memo, cut_blocks, held, ready, stored, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -113,16 +113,11 @@ class Encoder:
         return [b"".join([*map(values.__getitem__, numbers[lo:hi]), end]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held(("packing", path), lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:

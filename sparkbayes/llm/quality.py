@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import held, ready
 
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
@@ -91,6 +91,7 @@ def measure(docs: DataFrame, text: str = "text", *, keep_text: bool = False) ->
     plain = docs.select(*pass_on, *([] if keep_text else [text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality", lambda: None)
         for batch in batches:
             got = [statistics(t or "") for t in batch.column(text).to_pylist()]
             columns = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * len(COUNTS)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Merges, byte_chars
-from .common import Memo, ready, tokenizer_path
+from .common import Memo, held, ready, tokenizer_path
 
 # Unicode's White_Space characters.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -165,15 +165,6 @@ class Counter:
         return total
 
 
-_loaded: dict[str, Counter] = {}
-
-
-def _counter(path: str) -> Counter:
-    if path not in _loaded:
-        _loaded[path] = Counter(path)
-    return _loaded[path]
-
-
 def count_tokens(df: DataFrame, text: str = "text", *, path: str | None = None) -> DataFrame:
     """``df`` without its text, with ``n_bytes`` (UTF-8) and ``n_tokens``."""
     at = tokenizer_path("byte_bpe_50k.json", path)
@@ -182,7 +173,7 @@ def count_tokens(df: DataFrame, text: str = "text", *, path: str | None = None)
     plain = df.select(*pass_on, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(at)
+        counter = held(("token_count", at), lambda: Counter(at))
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             out = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())]
