@@ -38,7 +38,7 @@ class Encoder:
     The last token of each pre-token, and no other, ends in the word-end suffix, which gives the blocks' bounds back.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
