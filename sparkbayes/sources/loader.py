@@ -1,7 +1,7 @@
 """Parquet sources and mini-batches of them, and saved models.
 
 A batch is a group of rows with one number. Without shuffling, a table's partitions pass as they are; with it, rows
-are dealt to batches by the order of a hash of row and epoch, within buckets, so no step sorts the whole table.
+are dealt to batches by the order of a hash of a row's place and the epoch, within buckets, so no step sorts the whole table.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 import math
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,20 +44,34 @@ def check_columns(schema: T.StructType, columns: list[str]) -> None:
         raise ValueError(f"columns {wrong} are neither numbers nor booleans")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with ``_id``, a row's partition and place; written once, as rows and their totals must be read from the same places."""
+    there = df.withColumn("_id", F.monotonically_increasing_id())
+    return there.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else there.localCheckpoint()
+
+
+def dealt(rows: DataFrame, batch_size: int, *, seed: int = 0, epoch: int = 0, buckets: int | None = None) -> DataFrame:
+    """``placed`` rows with ``batch`` instead of ``_id``."""
+    n = rows.count()
+    buckets = buckets or min(10_000, max(1, n // (100 * batch_size)))
+    hashed = rows.withColumn("_h", F.xxhash64("_id", F.lit(seed), F.lit(epoch))).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    totals = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a bucket
+    before = totals.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_id")) - 1)
+    numbered = inside.join(before, "_b").withColumn("_r", F.col("_r") + F.col("_before")).where(F.col("_r") < n - n % batch_size)
+    return numbered.withColumn("batch", F.expr(f"_r div {batch_size}")).select(*[c for c in rows.columns if c != "_id"], "batch")
+
+
 def batches(df: DataFrame, batch_size: int, *, seed: int = 0, epoch: int = 0, buckets: int | None = None) -> DataFrame:
-    """``df`` with ``batch``, in an order that seed and epoch set; a bucket's rows beyond its last full batch are left out.
+    """``df`` with ``batch``, in an order that seed and epoch set; only the rows beyond the last full batch of all are left out.
 
-    Rows are dealt to buckets by hash and numbered inside them, so each window is over one bucket; equal rows get
-    places side by side. buckets: about one for every hundred batches if not given.
+    Rows are dealt to buckets by a hash of their places, not their values, and numbered inside them from the total of
+    the buckets before, so each window is over one bucket and a batch may span two. The order is the same again where
+    ``df`` gives its rows in the same partitions and order. buckets: about one for every hundred batches, and 10,000
+    at most, if not given.
     """
-    n = df.count()
-    buckets = buckets or max(1, n // (100 * batch_size))
-    order = F.xxhash64(*df.columns, F.lit(seed), F.lit(epoch))
-    dealt = df.withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy("_h", *df.columns)
-    numbered = dealt.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_b")))
-    full = numbered.where(F.col("_r") < F.col("_n") - F.col("_n") % batch_size)
-    return full.withColumn("batch", F.concat_ws("-", "_b", F.floor(F.col("_r") / batch_size))).drop("_h", "_b", "_r", "_n")
+    return dealt(placed(df), batch_size, seed=seed, epoch=epoch, buckets=buckets)
 
 
 @dataclass
@@ -73,6 +87,7 @@ class DataLoader:
     seed: int = 0
     total_size: int | str | None = "auto"
     epoch: int = 0
+    _rows: DataFrame | None = field(default=None, init=False, repr=False)
 
     def __post_init__(self):
         check_columns(self.df.schema, self.df.columns)
@@ -108,9 +123,10 @@ class DataLoader:
                     yield np.array(held)
                     held = []
             return
-        dealt = batches(self.df, self.batch_size, seed=self.seed, epoch=self.epoch)
+        self._rows = self._rows or placed(self.df)
+        shuffled = dealt(self._rows, self.batch_size, seed=self.seed, epoch=self.epoch)
         values = F.collect_list(F.array(*[F.col(c).cast("double") for c in self.df.columns]))
-        for row in dealt.groupBy("batch").agg(values.alias("rows")).toLocalIterator(prefetchPartitions=True):
+        for row in shuffled.groupBy("batch").agg(values.alias("rows")).toLocalIterator(prefetchPartitions=True):
             yield np.array(row["rows"], dtype=float)
 
 

@@ -165,6 +165,16 @@ def test_loader(spark, tmp_path):
         loader.DataLoader(df.limit(0), 10)
 
 
+def test_batches_lose_less_than_one_and_mix_equal_rows(spark):
+    df = spark.range(10_000).select((F.col("id") % 3).alias("v"), F.lit(1.0).alias("w")).repartition(5)
+    got = {r["batch"]: r for r in loader.batches(df, 64, buckets=20).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).collect()}
+    assert sorted(got) == list(range(10_000 // 64)) and {r["n"] for r in got.values()} == {64}
+    assert all(0.4 < r["mean"] < 1.6 for r in got.values())
+    data = loader.DataLoader(df, 300, shuffle=True)
+    assert [len(list(data)), len(list(data))] == [len(data)] * 2
+    assert loader.batches(df.limit(63), 64).count() == 0 and loader.batches(df.limit(64), 64, buckets=9).count() == 64
+
+
 def test_streams(spark, tmp_path):
     at = f"file://{tmp_path}/in"
     rows = [(1, 0, 1.0), (1, 1, 2.0), (2, 0, 5.0), (1, 2, None), (1, 3, 3.0)]
