@@ -8,7 +8,12 @@ positive for words outside links and negative for tags.
 
 Before the scan, elements that hold no article text by their name, role or class (menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are passed over with all they hold. Such an
-element that is never closed ends before the next article or main element, else at its own next block.
+element that is never closed ends before the next article or main element, else at its own next block; a raw element
+(select, svg, ...; not script) that is never closed ends at the next block. No element is passed over that marks an
+article or encloses one whose class doesn't say otherwise (inside an article: with more than half of that one's
+words), and none that class or id names (or a form) with more than half of the page's words; nor one whose class also
+has a whole name for the article. Without such a name its words then score less, and the region lies in it or outside.
+Names like has-sidebar or no-comments say what an element has and count for nothing.
 
 Texts of the region are decoded and their white space (a line break tag counts as such) becomes single blanks;
 blocks are joined by one line end.
@@ -23,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,6 +48,7 @@ BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Parts of class names and ids that name something beside the article.
@@ -52,8 +59,11 @@ HARD = {
 }
 SOFT = {"header", "footer", "banner", "masthead", "topbar"}
 OWN = {"article", "post", "entry", "content", "story", "main", "body", "text"}
-PRIOR = {"word": 1.0, "link": -1.0, "marked": 4.0, "tag": -0.05}
-CROSS = -1e6  # into or out of an element that marks an article
+#: First parts of names that say what an element has or lacks, not what it is.
+HAVING = {"has", "have", "having", "with", "without", "no", "not", "hide", "show"}
+LOW = 0.25  # of a word's score, in an element whose class names something beside the article
+PRIOR = {"word": 1.0, "link": -1.0, "marked": 4.0, "low": LOW, "tag": -0.05}
+CROSS = -1e6  # into or out of an element that marks an article, or whose words score less
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -69,53 +79,129 @@ def marks(name: str, given: dict[str, str]) -> bool:
     return name in ("article", "main") or given.get("role") in ("main", "article") or "articlebody" in given.get("itemprop", "").lower()
 
 
-def beside(name: str, given: dict[str, str], inside: bool) -> bool:
-    """Whether an element holds no article text. inside: in an element that marks an article."""
+def named(given: dict[str, str]) -> tuple[set[str], bool]:
+    """The parts of an element's class names and ids, and whether one whole name is for the article."""
+    said: set[str] = set()
+    own = False
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        now = parts(name)
+        first = re.match(r"[A-Za-z][a-z]*", name)
+        if first and len(now) > 1 and first[0].lower() in HAVING:
+            continue
+        said |= now
+        own = own or bool(now & OWN) and not now & (HARD | SOFT)
+    return said, own
+
+
+def beside(name: str, given: dict[str, str], inside: bool) -> str:
+    """Why an element holds no article text: its "tag" (name, role or being hidden), its "class", or "" if it may hold some. inside: in an element that marks an article."""
     if name in DROPPED or given.get("role") in ROLES:
-        return True
+        return "tag"
     if name == "header" and not inside:
-        return True
+        return "tag"
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True
+        return "tag"
     if name in ("body", "html", "main"):
-        return False
-    named = parts(f"{given.get('class', '')} {given.get('id', '')}") if "class" in given or "id" in given else set()
-    return bool(named & HARD) or bool(named & SOFT) and not inside and not named & OWN
+        return ""
+    said = named(given)[0] if "class" in given or "id" in given else set()
+    return "class" if said & HARD or said & SOFT and not inside and not said & OWN else ""
 
 
 @dataclass
 class Piece:
-    kind: str  # word, link, marked or a tag's name
+    kind: str  # word, link, marked, low or a tag's name
     text: str = ""
     block: bool = False
     cross: bool = False
 
 
-def closings(page: str) -> dict[int, int]:
-    """Where each closed element ends, by where its opening tag ends; one pass over the tags."""
-    opened: dict[str, list[int]] = {}
-    out: dict[int, int] = {}
-    for m in TOKEN.finditer(page):
+class Raws:
+    """Where the raw elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def end(self, name: str, at: int) -> int | None:
+        """The end of one that opened before ``at``; None for a head that is never closed, as what follows is read."""
+        if name not in self.found:
+            tags = [(m.start(), m.end(), bool(m[1])) for m in re.finditer(rf"<(/?){name}\b[^>]*>", self.page, re.I)]
+            self.found[name] = [x[:2] for x in tags if x[2]], [x[0] for x in tags if not x[2]]
+        ends, opened = self.found[name]
+        i = bisect_left(ends, (at, 0))
+        start, end = ends[i] if i < len(ends) else (len(self.page), None)
+        if name == "script":
+            return end or len(self.page)
+        block = NEXT_BLOCK.search(self.page, at, start)
+        # An end with another opening before it, behind a block, is that one's.
+        if end and (block is None or bisect_left(opened, block.start()) == bisect_left(opened, start)):
+            return end
+        return None if name == "head" else block.start() if block else len(self.page)
+
+
+@dataclass
+class Outline:
+    """What elements hold, by where their opening tags end; words are those outside raw elements."""
+
+    ends: dict[int, int] = field(default_factory=dict)
+    words: dict[int, int] = field(default_factory=dict)
+    marks: dict[int, int] = field(default_factory=dict)
+    total: int = 0
+
+
+def outline(page: str) -> Outline:
+    """One pass over the tags."""
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    out, raws = Outline(), Raws(page)
+    at, marked, size = 0, 0, len(page)
+    while at < size:
+        m = TOKEN.search(page, at)
+        out.total += len(page[at : m.start() if m else size].split())
+        if m is None:
+            break
+        at = m.end()
         if not m[2]:
             continue
         name = m[2].lower()
-        if not m[1]:
-            if not m[3].endswith("/"):
-                opened.setdefault(name, []).append(m.end())
-        elif opened.get(name):
-            out[opened[name].pop()] = m.end()
+        if m[1]:
+            if opened.get(name):
+                start, words, before = opened[name].pop()
+                out.ends[start], out.words[start], out.marks[start] = at, out.total - words, marked - before
+            continue
+        if m[3].endswith("/"):
+            continue
+        if name in RAW:
+            at = at if (end := raws.end(name, at)) is None else end
+            continue
+        given = attributes(m[3]) if m[3] else {}
+        marked += marks(name, given) and beside(name, given, True) == ""
+        opened.setdefault(name, []).append((at, out.total, marked))
     return out
 
 
+def kept(name: str, given: dict[str, str], why: str, at: int, page: Outline, around: int | None) -> bool:
+    """Whether an element is read although it looks to be beside the article. around: words of the marked element around it, if any."""
+    words = page.words.get(at, 0)
+    if 2 * words > page.total and (why == "class" or name in ("form", "fieldset")):
+        return True
+    if page.marks.get(at) and (around is None or 2 * words > around):
+        return True
+    return why == "class" and (marks(name, given) or named(given)[1] and (around is None or 2 * words > around))
+
+
 def pieces(page: str, *, skip: bool = True) -> list[Piece]:
     """A page's tags and texts; elements beside the article are passed over, unless for counting."""
     out: list[Piece] = []
-    at, links, marked, size = 0, 0, [], len(page)
-    ends: dict[int, int] | None = None
+    at, links, size = 0, 0, len(page)
+    marked: list[tuple[str, int | None]] = []  # names of open marked elements, and their words
+    lowered: list[tuple[int, int]] = []  # ends of elements whose words score less, and the marked elements around each
+    seen: Outline | None = None
+    raws = Raws(page)
 
     def said(text: str) -> None:
         if text:
-            out.append(Piece("marked" if marked else "link" if links else "word", text))
+            low = bool(lowered)
+            raised = bool(marked) and (not low or len(marked) > lowered[-1][1])
+            out.append(Piece("link" if links and (low or not marked) else ("word" if raised else "low") if low else "marked" if marked else "word", text))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -124,35 +210,46 @@ def pieces(page: str, *, skip: bool = True) -> list[Piece]:
             break
         said(page[at : m.start()])
         at = m.end()
+        left = False
+        while lowered and at >= lowered[-1][0]:
+            lowered.pop()
+            left = True
         if not m[2]:
             continue
         name, close = m[2].lower(), bool(m[1])
         if not close and name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-            if name == "head" and end is None:
+            end = raws.end(name, at)
+            if end is None:
                 continue
-            at = end.end() if end else size
+            at = end
             out.append(Piece(name, block=False))
             continue
         given = attributes(m[3]) if not close and m[3] else {}
         mark = not close and marks(name, given)
-        if skip and not close and name not in VOID and beside(name, given, bool(marked)):
-            if ends is None:
-                ends = closings(page)
-            end = ends.get(at)
-            if end is None:
-                after = re.compile(r"<(?:article|main)\b", re.I).search(page, at) or (None if name == "footer" else re.compile(r"<(?:div|p|section|h[1-6])\b", re.I).search(page, at))
-                end = after.start() if after else size
-            at = end
-            out.append(Piece(f"beside:{name}", block=True))
-            continue
+        why = beside(name, given, bool(marked)) if skip and not close and name not in VOID else ""
+        start = at
+        if why:
+            seen = seen or outline(page)
+            if not kept(name, given, why, at, seen, marked[-1][1] if marked else None):
+                end = seen.ends.get(at)
+                if end is None:
+                    after = re.compile(r"<(?:article|main)\b", re.I).search(page, at) or (None if name == "footer" else re.compile(r"<(?:div|p|section|h[1-6])\b", re.I).search(page, at))
+                    end = after.start() if after else size
+                at = end
+                out.append(Piece(f"beside:{name}", block=True))
+                continue
         if name == "a":
             links = 0 if close else 1
         if mark:
-            marked.append(name)
-        cross = mark
-        if close and name in marked:
-            while marked and marked.pop() != name:
+            if skip:
+                seen = seen or outline(page)
+            marked.append((name, seen.words.get(start) if seen else None))
+        if why and name not in ("form", "fieldset") and not named(given)[1]:
+            lowered.append((seen.ends.get(start, start), len(marked)))
+            left = True
+        cross = mark or left
+        if close and any(name == x for x, _ in marked):
+            while marked and marked.pop()[0] != name:
                 pass
             cross = True
         out.append(Piece(name, block=name in BLOCKS, cross=cross))
@@ -247,6 +344,7 @@ def train(pages: DataFrame, column: str = "html", *, sample: int = 300, smooth:
     for k, v in odds.items():
         by[k] = min(4.0, max(0.5, v)) if k == "word" else min(-0.1, max(-1.0, v)) if k == "link" else -0.01 if v > 0 else min(-0.01, v / 10)
     by["marked"] = by["word"] + PRIOR["marked"]
+    by["low"] = by["word"] * LOW
     return Weights(by)
 
 

@@ -64,6 +64,29 @@ def test_main_text(i):
     assert got == want or i == 9 and got.startswith("one\nTWO")
 
 
+LONG = "<h1>Title here</h1>" + "<p>" + "some words of the article " * 6 + "</p>"
+LONG_TEXT = "Title here\n" + " ".join(["some words of the article"] * 6)
+WRAPPED = [
+    f"<body><nav>Home About</nav><div class='content-area with-sidebar'>{LONG}</div><div class='sidebar'>more things</div>",
+    f"<div id='page' class='no-sidebar'>{LONG}</div>",
+    f"<div id='page' class='share'>{LONG}</div><footer>me</footer>",
+    f"<body><p>teaser</p><article class='post has-comments'>{LONG}</article>",
+    f"<body><article class='entry share'>{LONG}</article><div class='comments'>one two</div>",
+    f"<body><div class='widget'><article>{LONG}</article></div><p>few words</p>",
+    f"<form id='aspnetForm'><div>{LONG}</div></form>",
+    f"<div id='cookie'>we use them</div><main><div class='page-sidebar'><article>{LONG}</article></div></main>",
+    f"<div class='content'>{LONG}</div><div id='comments'>" + "<p>nice one</p>" * 24 + "</div>",
+    f"<div class='content'>{LONG}</div><section class='comments'><article class='comment'>nice</article></section>",
+    *[f"<article><{x} id='q'>{LONG}</article>" for x in ("select", "svg", "noscript", "object")],
+    f"<article><select><option><p></p>{LONG}</article><select><option>x</select>",
+]
+
+
+@pytest.mark.parametrize("i", range(len(WRAPPED)))
+def test_names_beside_the_article_and_unclosed_elements_lose_no_text(i):
+    assert H.extract(WRAPPED[i], H.Weights()).removeprefix("x\n") == LONG_TEXT
+
+
 def test_region_is_the_best_of_all(spark):
     """Against all contiguous regions."""
     import random
