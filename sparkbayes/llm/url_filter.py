@@ -1,18 +1,19 @@
 """URL verdicts from a path-template tree (operator 2); DataFrame functions only.
 
 Each path becomes a shape: runs of digits and long hexadecimal words are variable on sight. The shapes of a host,
-counted, form a tree of segments. Top down, at every node, a segment that few of the node's pages have becomes a
-wildcard, and siblings whose labelled block rates don't differ significantly (two-proportion z between neighbours in
-order of rate) become one branch. A leaf is a template; its purity is its labelled block rate, smoothed towards the
-share of its host's pages that are labelled block, and that towards the share among all labelled pages. Templates at
+counted, form a tree of segments. Top down, at every node, a segment of a page or two becomes a wildcard, every other
+one is a branch, and siblings whose labelled block rates don't differ significantly (two-proportion z between a branch
+and the group so far, in order of rate) become one branch; one without labels stays alone. A leaf is a template; its purity is its labelled block rate, smoothed towards that
+of the node above and so on; a host's is the share of all its pages that are labelled block, smoothed towards the
+share among all labelled pages. Templates at
 or above ``reject`` are blocked. Labels are what the rules say of the pages they cover, or ``label`` where given.
 
 The tree holds one row per host and shape and is written to the shared folder level by level, so plans stay small.
 The pages meet it in one join on (host, shape), which Spark splits where one of them holds many of the rows.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, and the verdict of that template
-like any other; an empty table gives an empty table; equal urls get equal verdicts; a path deeper than ``depth``
-keeps its tail's shape as one segment; other columns pass through unless named like a result, which replaces them.
+like any other; an empty table gives an empty table; equal urls get equal verdicts; below ``depth`` levels the tree
+goes on to the deepest path, but a node of few pages ends in ``*`` and one of a single shape in that shape; other columns pass through unless named like a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import stored
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
+LISTED = 8  # names that a merged branch spells out
+
 RULES: list[Rule] = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -45,38 +48,89 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return name, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """The path's segments, at most ``depth`` of them, with what varies on sight generalised."""
-    plain = F.regexp_replace(F.regexp_replace(path, "(?i)\\b(?=[a-f]*[0-9])[0-9a-f]{12,}\\b", "<hex>"), "[0-9]+", "<n>")
-    parts = F.split(plain, "/", depth + 1)  # the first part, before the leading slash, is empty
-    return F.array_join(parts, "/")
-
-
-def grow(shapes: DataFrame, depth: int, support: float, least: int, z: float) -> DataFrame:
-    """(host, shape, n, labelled, blocked) with the ``template`` of each row."""
-    at = shapes.withColumn("template", F.lit("")).withColumn("_parts", F.split("shape", "/", depth + 1))
-    for level in range(1, depth + 1):
-        at = stored(at.withColumn("_seg", F.coalesce(F.get("_parts", F.lit(level)), F.lit("<end>"))), f"url-tree-{level}")
-        branches = at.groupBy("host", "template", "_seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        branches = stored(branches, f"url-branches-{level}")
-        node = branches.groupBy("host", "template").agg(F.sum("n").alias("_all"))
-        seen = branches.join(node, ["host", "template"])
-        own = (F.col("n") >= least) & (F.col("n") >= support * F.col("_all")) | F.col("_seg").isin("<end>", "", "<n>", "<hex>")
-        seen = seen.withColumn("_name", F.when(own, F.col("_seg")).otherwise(F.lit("*")))
-        merged = seen.groupBy("host", "template", "_name").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("b")).where("m > 0")
-        # Siblings in order of rate: a node has at most 1/support named branches and a few fixed ones.
-        order = Window.partitionBy("host", "template").orderBy(F.col("b") / F.col("m"), "_name")
-        pooled = (F.col("b") + F.lag("b").over(order)) / (F.col("m") + F.lag("m").over(order))
-        apart = F.abs(F.col("b") / F.col("m") - F.lag("b").over(order) / F.lag("m").over(order))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / F.lag("m").over(order)))
-        alike = merged.withColumn("_cut", F.when(apart <= z * error, 0).otherwise(1)).withColumn("_group", F.sum("_cut").over(order))
-        joint = Window.partitionBy("host", "template", "_group")
-        names = F.sort_array(F.collect_set("_name").over(joint))
-        alike = alike.select("host", "template", "_name", F.when(F.size(names) > 1, F.concat(F.lit("("), F.array_join(names, "|"), F.lit(")"))).otherwise(F.col("_name")).alias("_branch"))
-        to = seen.select("host", "template", "_seg", "_name").join(alike, ["host", "template", "_name"], "left")
-        to = to.select("host", "template", "_seg", F.concat("template", F.lit("/"), F.coalesce("_branch", "_name")).alias("_next"))
-        at = at.join(to, ["host", "template", "_seg"]).drop("template", "_seg").withColumnRenamed("_next", "template")
-    return at.drop("_parts")
+def shape(path: Column) -> Column:
+    """The path's segments with what varies on sight generalised."""
+    return F.regexp_replace(F.regexp_replace(path, "(?i)\\b(?=[a-f]*[0-9])[0-9a-f]{12,}\\b", "<hex>"), "[0-9]+", "<n>")
+
+
+def joined(seen: DataFrame, z: float, weight: float) -> DataFrame:
+    """(host, template, _name, n, labelled, blocked) with the ``_group`` of each labelled branch, null without labels.
+
+    Siblings are first added up by rate and size, so that a node has at most some thousand classes however many
+    segments it has. In order of rate, a class joins the group before it unless one branch of its size, smoothed
+    towards the node's rate, differs significantly from the whole group.
+    """
+    known = seen.where("labelled > 0")
+    rate = known.groupBy("host", "template").agg((F.sum("blocked") / F.sum("labelled")).alias("_p"))
+    known = known.join(rate, ["host", "template"]).withColumn("_rate", (F.col("blocked") + weight * F.col("_p")) / (F.col("labelled") + weight))
+    known = known.withColumn("_r", F.round(100 * F.col("_rate")).cast("int")).withColumn("_size", F.floor(F.log2("labelled")).cast("int"))
+    keys = ["host", "template", "_r", "_size"]
+    classes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum("labelled").alias("m"), F.sum("blocked").alias("b"), F.first("_p").alias("_p"))
+    # One branch of a class: its mean labels and blocked labels, with the prior's.
+    each = F.struct((F.col("b") / F.col("k") + weight * F.col("_p")).alias("b1"), (F.col("m") / F.col("k") + weight).alias("m1"), F.col("b").cast("double").alias("b"), F.col("m").cast("double").alias("m"), "_p", "_r", "_size")
+    ordered = classes.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("_r", "_size", each.alias("c")))).alias("_all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        c = x["c"]
+        b0, m0 = acc["b"] + weight * c["_p"], acc["m"] + weight
+        pooled = (b0 + c["b1"]) / (m0 + c["m1"])
+        apart = F.abs(c["b1"] / c["m1"] - b0 / m0) > z * F.sqrt(pooled * (1 - pooled) * (1 / m0 + 1 / c["m1"]))
+        new = (acc["m"] > 0) & apart
+        g = acc["g"] + new.cast("int")
+        return F.struct(F.when(new, c["b"]).otherwise(acc["b"] + c["b"]).alias("b"), F.when(new, c["m"]).otherwise(acc["m"] + c["m"]).alias("m"), g.alias("g"), F.concat(acc["gs"], F.array(g)).alias("gs"))
+
+    start = F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("m"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("gs"))
+    groups = ordered.select("host", "template", F.explode(F.arrays_zip(F.col("_all"), F.aggregate("_all", start, step, lambda acc: acc["gs"]).alias("_gs"))).alias("x"))
+    groups = groups.select("host", "template", F.col("x._all._r").alias("_r"), F.col("x._all._size").alias("_size"), F.col("x._gs").alias("_group"))
+    found = known.join(groups, keys).select("host", "template", "_name", "_group")
+    return seen.join(found, ["host", "template", "_name"], "left")
+
+
+def named(branches: DataFrame) -> DataFrame:
+    """(host, template, _name) with ``_branch``: a group's names while they are few, else its first name and their number."""
+    groups = branches.where("_group IS NOT NULL").groupBy("host", "template", "_group").agg(F.count(F.lit(1)).alias("_k"), F.min("_name").alias("_first"))
+    to = branches.join(groups, ["host", "template", "_group"], "left")
+    few = to.where(F.col("_k").between(2, LISTED)).groupBy("host", "template", "_group").agg(F.concat(F.lit("("), F.array_join(F.sort_array(F.collect_list("_name")), "|"), F.lit(")")).alias("_list"))
+    many = F.concat(F.lit("("), F.col("_first"), F.lit("|+"), F.col("_k") - 1, F.lit(")"))
+    to = to.join(few, ["host", "template", "_group"], "left")
+    return to.select("host", "template", "_name", F.coalesce("_list", F.when(F.col("_k") > LISTED, many), "_name").alias("_branch"))
+
+
+def grow(shapes: DataFrame, depth: int, least: int, z: float, weight: float) -> DataFrame:
+    """(host, shape, n, labelled, blocked, above) with the ``template`` of each row; ``above`` becomes the smoothed block rate of the node above."""
+    node = ["host", "template"]
+    given = [c for c in shapes.columns if c != "above"]
+    parts = F.split("shape", "/")
+    at = stored(shapes.withColumn("template", F.lit("")), "url-tree")
+    done, level = [], 0
+    while True:
+        level += 1
+        if level > depth:
+            # A node that one shape or few pages make up has nothing left to tell apart.
+            open_ = at.groupBy(*node).agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"), F.max(F.size(parts)).alias("_d"))
+            open_ = open_.withColumn("_open", (F.col("_k") > 1) & (F.col("_n") >= least) & (F.col("_d") > level)).select(*node, "_k", "_open")
+            at = stored(at.join(open_, node), f"url-nodes-{level}")
+            tail = F.array_join(F.slice(parts, level + 1, F.greatest(F.size(parts) - level, F.lit(0))), "/")
+            rest = F.when(F.size(parts) <= level, "").when(F.col("_k") == 1, F.concat(F.lit("/"), tail)).otherwise("/*")
+            done.append(at.where(~F.col("_open")).select(*shapes.columns, F.concat("template", rest).alias("template")))
+            at = at.where("_open").select(*shapes.columns, "template")
+            if at.isEmpty():
+                break
+        seg = at.withColumn("_seg", F.coalesce(F.get(parts, F.lit(level)), F.lit("<end>")))
+        branches = stored(seg.groupBy(*node, "_seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.first("above").alias("above")), f"url-branches-{level}")
+        base = F.sum("n" if level == 1 else "labelled")
+        share = branches.groupBy(*node).agg(((F.sum("blocked") + weight * F.first("above")) / (base + weight)).alias("above"))
+        own = (F.col("n") >= least) | F.col("_seg").isin("<end>", "", "<n>", "<hex>")
+        called = branches.withColumn("_name", F.when(own, F.col("_seg")).otherwise(F.lit("*")))
+        seen = called.groupBy(*node, "_name").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        to = named(stored(joined(seen, z, weight), f"url-groups-{level}"))
+        to = called.select(*node, "_seg", "_name").join(to, [*node, "_name"]).join(share, node)
+        to = to.select(*node, "_seg", F.col("above").alias("_above"), F.concat("template", F.lit("/"), "_branch").alias("_next"))
+        at = stored(seg.join(to, [*node, "_seg"]).select(*given, F.col("_above").alias("above"), F.col("_next").alias("template")), f"url-tree-{level}")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def judge(
@@ -86,7 +140,6 @@ def judge(
     rules: list[Rule] = RULES,
     label: str | None = None,
     depth: int = 4,
-    support: float = 0.01,
     least: int = 3,
     z: float = 1.96,
     weight: float = 4.0,
@@ -94,7 +147,7 @@ def judge(
 ) -> DataFrame:
     """``pages`` with host, path, rule, template, purity and verdict.
 
-    depth: segments of a path in the tree. support, least: share of its node's pages and number of pages that a
+    depth: levels that every template has; the tree goes on below them where paths do. least: number of pages that a
     named branch has. z: standard errors below which branches are alike. weight: labels that the prior counts as.
     """
     made = ["host", "path", "rule", "template", "purity", "verdict"]
@@ -102,16 +155,14 @@ def judge(
     host, path = host_path(F.col("_url"))
     rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("_says", says).withColumn("shape", shape(F.col("path"), depth))
+    rows = rows.withColumn("rule", name).withColumn("_says", says).withColumn("shape", shape(F.col("path")))
     known = F.col("_says") if label is None else F.coalesce("_says", label)
     shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(known).alias("labelled"), F.count(F.when(known == "block", 1)).alias("blocked"))
-    grown = stored(grow(shapes, depth, support, least, z), "url-templates")
-    total = grown.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("_prior"))
-    hosts = grown.groupBy("host").agg(F.sum("n").alias("_hn"), F.sum("blocked").alias("_hb"))
-    templates = grown.groupBy("host", "template").agg(F.sum("labelled").alias("_tn"), F.sum("blocked").alias("_tb"))
-    scored = grown.select("host", "shape", "template").join(templates, ["host", "template"]).join(hosts, "host").crossJoin(F.broadcast(total))  # total: one row
-    above = (F.col("_hb") + weight * F.col("_prior")) / (F.col("_hn") + weight)
-    scored = scored.select("host", "shape", "template", ((F.col("_tb") + weight * above) / (F.col("_tn") + weight)).alias("purity"))
+    shapes = stored(shapes, "url-shapes")
+    total = shapes.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("above"))
+    grown = stored(grow(shapes.crossJoin(F.broadcast(total)), depth, least, z, weight), "url-templates")  # total: one row
+    templates = grown.groupBy("host", "template").agg(((F.sum("blocked") + weight * F.first("above")) / (F.sum("labelled") + weight)).alias("purity"))
+    scored = grown.select("host", "shape", "template").join(templates, ["host", "template"])
     out = rows.join(scored, ["host", "shape"], "left")
     verdict = F.coalesce(F.col("_says"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     columns = [c for c in rows.columns if c not in ("_url", "_says", "shape", *made)]

@@ -37,6 +37,18 @@ def test_variable_segments_become_wildcards_and_alike_branches_merge(spark):
     assert {r["template"] for r in got} == {"/(a|b)/*/<end>/<end>", "/c/*/<end>/<end>"}
 
 
+def test_small_sections_of_a_hot_host_keep_their_own_evidence(spark):
+    """A section far below one per cent, blocked throughout, is a branch; an unlabelled one beside it isn't judged by it."""
+    rows = [("big%d/p%d" % (i % 20, i), "allow") for i in range(4000)] + [("de/%d" % i, "block") for i in range(30)] + [("de/x%d" % i, None) for i in range(5)] + [("it/x%d" % i, None) for i in range(25)]
+    rows += [("small%d/%d" % (i, j), "block" if j < i % 3 else "allow") for i in range(300) for j in range(3)]
+    rows += [("a/b/c/d/%s/e%d/f" % ("bad" if i % 2 else "good", i), "block" if i % 2 else "allow") for i in range(200)] + [("a/b/c/d/bad/z/y", None), ("a/b/c/d/good/z/y", None)]
+    df = spark.createDataFrame([("http://h.org/" + u, x) for u, x in rows], "url string, label string")
+    got = {r["url"][13:]: r for r in U.judge(df, rules=[], label="label").collect()}
+    assert all(got["de/x%d" % i]["verdict"] == "block" for i in range(5)) and all(got["it/x%d" % i]["verdict"] == "allow" for i in range(25))
+    assert got["a/b/c/d/bad/z/y"]["verdict"] == "block" and got["a/b/c/d/good/z/y"]["verdict"] == "allow"
+    assert got["it/x1"]["template"].startswith("/it/") and got["de/x1"]["template"].startswith("/de/")
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = U.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
