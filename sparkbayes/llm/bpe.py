@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held, ready, tokenizer_path
+from .common import Memo, held, ready, slices, tokenizer_path
 
 
 def byte_chars() -> list[str]:
@@ -43,7 +43,7 @@ class Merges:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self.decoder = spec["decoder"]
+        self.decoder = spec.get("decoder")
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -79,17 +79,19 @@ class WordBPE:
     # What the tokenizer file sets as its pre-tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         import regex
 
         self.merges = Merges(path)
+        if self.merges.decoder:
+            raise ValueError("a tokenizer file without a decoder is expected")
         self.words = regex.compile(self.PATTERN)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")")
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
         chars, vocab, end = byte_chars(), self.merges.vocab, self.merges.suffix
         self.inner = [vocab[c] for c in chars]
         self.last = [vocab[c + end] for c in chars]
-        self.pieces = Memo(self._word, limit)
-        self.blocks = Memo(self._block, limit)
+        self.pieces = Memo(self._word, most_bytes // 3)
+        self.blocks = Memo(self._block, 2 * most_bytes // 3)
 
     def _word(self, word: str) -> tuple[int, ...]:
         raw = word.encode()
@@ -98,7 +100,7 @@ class WordBPE:
     def ids(self, text: str) -> list[int]:
         """Ids of any text, not through the memo of blocks."""
         out: list[int] = []
-        parts = self.cut.split(text) if "<|" in text else [text]
+        parts = self.cut.split(text) if self.cut else [text]
         for part in parts:
             if part in self.merges.special:
                 out.append(self.merges.special[part])
@@ -142,8 +144,7 @@ def encode_decode(df: DataFrame, text: str = "text", *, path: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = held(("bpe", at), lambda: WordBPE(at))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, text):
                 got = [coder.encode_text(t or "") for t in part.column(text).to_pylist()]
                 out = [[x[0] for x in got], [x[0].count(" ") + 1 if x[0] else 0 for x in got], [x[1] for x in got]]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], *(pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True))], names=[*pass_on, *schema.names])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_blocks, discard, ready, stored
+from .common import cut_blocks, discard, ready, slices, stored
 from .common import held as keep
 
 FLUSH = 2_000_000
@@ -53,9 +53,9 @@ def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Each text's sorted different tokens."""
     words, numbers, bounds = cut_blocks(pc.ascii_lower(texts.fill_null("")))
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-    at = np.array(numbers, dtype=np.int64)
+    at = numbers.astype(np.int64)
     flat = hashes[at] if len(at) else np.zeros(0, dtype=np.uint64)
-    ends = np.array(bounds, dtype=np.int64)
+    ends = bounds.astype(np.int64) - int(bounds[0])
     if "" in words:  # what stands before leading and behind trailing white space
         real = at != words.index("")
         flat, ends = flat[real], np.append(0, np.cumsum(real))[ends]
@@ -101,8 +101,8 @@ def counts(docs: DataFrame, width: int, bucket_bits: int, frequent: int) -> Data
         held: list[np.ndarray] = []
         total = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                for tokens in sets(batch.column(0).slice(lo, 2000), width):
+            for part in slices(batch, 0):
+                for tokens in sets(part.column(0), width):
                     if len(tokens) and (own := identity(tokens)) not in seen:
                         seen.add(own)
                         held.append(tokens)
@@ -204,8 +204,7 @@ def indexed(docs: DataFrame, maps, width: int, k: int, percent: int, long: int)
         bit_maps_ = [np.frombuffer(x, np.uint8) for x in maps.value]
         seen: set[bytes] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for part in slices(batch, 1):
                 sids, ns, keys, most, toks, owns = [], [], [], [], [], []
                 for tokens in sets(part.column(1), width):
                     sid = identity(tokens) if len(tokens) else None

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordBPE, byte_chars
-from .common import Memo, cut_blocks, held, ready, stored, tokenizer_path
+from .common import Memo, cut_blocks, held, ready, slices, stored, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -38,7 +38,7 @@ class Encoder:
     The last token of each pre-token, and no other, ends in the word-end suffix, which gives the blocks' bounds back.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -50,6 +50,7 @@ class Encoder:
         self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         added = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(added)))) if added else None
+        self.marks = {t[0] for t in added if t}
         self.words = regex.compile(f"{WordBPE.PATTERN}|\n")
         self.letters = {b: c for b, c in enumerate(byte_chars()) if c != chr(b) and b != 32}
         vocab = self.whole.get_vocab()
@@ -57,19 +58,25 @@ class Encoder:
         self.ends[[i for s, i in vocab.items() if s.endswith(self.whole.model.end_of_word_suffix)]] = True
         self.width = 2 if len(self.ends) <= 1 << 16 else 4  # bytes of an id between the passes
         self.kind = f"<u{self.width}"
-        self.memo = Memo(self._block, limit)
-        self.pieces: dict[str, bytes] = {}
+        self.memo = Memo(self._block, most_bytes // 2)
+        self.pieces = Memo(lambda word: b"", most_bytes // 2)
+        self.pieces.put("\n", b"")  # what parts blocks has no ids
 
     def _block(self, block: str) -> bytes:
         return np.array(self.whole.encode(block, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def learn(self, blocks: set[str]) -> None:
+    def plain(self, block: str) -> bool:
+        return self.special is None or not any(m in block for m in self.marks) or not self.special.search(block)
+
+    def learn(self, blocks: list[str]) -> None:
         """Put blocks into the memo."""
-        old, plain = self.memo.old, []
+        memo, plain = self.memo, []
         for b in blocks:
-            if (known := old.get(b)) is not None:
-                self.memo[b] = known
-            elif "<|" not in b or not self.special.search(b):
+            if b in memo:
+                continue
+            if (known := memo.old.get(b)) is not None:
+                memo.put(b, known)
+            elif self.plain(b):
                 plain.append(b)
         if not plain:
             return
@@ -77,22 +84,23 @@ class Encoder:
         text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
         cut = self.words.findall(text)
         cut.append("\n")
-        if len(self.pieces) > self.memo.limit // 2:
-            self.pieces = {}
         self.merge({w for w in cut if w not in self.pieces})
         values = [*map(self.pieces.__getitem__, cut)]
         upto = np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values)))
         bounds = upto[np.fromiter(map("\n".__eq__, cut), dtype=bool, count=len(cut))].tolist()
         raw, lo = b"".join(values), 0
         for b, at in zip(plain, bounds, strict=True):
-            self.memo[b] = raw[lo:at]
+            memo.put(b, raw[lo:at])
             lo = at
 
     def merge(self, words: set[str]) -> None:
-        """Put pre-tokens into their memo: the library merges all of them in one call."""
-        known = self.pieces
-        known["\n"] = b""  # what parts blocks has no ids
-        new = [w for w in words if w != "\n"]
+        """Put pre-tokens into their memo: the library merges all that are new in one call."""
+        known, new = self.pieces, []
+        for w in words:
+            if (old := known.old.get(w)) is not None:
+                known.put(w, old)
+            else:
+                new.append(w)
         if not new:
             return
         line = " ".join(new)
@@ -101,16 +109,35 @@ class Encoder:
         ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.kind)
         raw, lo = ids.tobytes(), 0
         for w, at in zip(new, (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-            known[w] = raw[lo:at]
+            known.put(w, raw[lo:at])
             lo = at
 
-    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, each text's number of ids): every text's ids and the id ``end``."""
         blocks, numbers, bounds = cut_blocks(texts)
-        known = self.memo
-        self.learn({b for b in blocks if b not in known})
-        values = [*map(known.__getitem__, blocks)]
-        known.trim()
-        return [b"".join([*map(values.__getitem__, numbers[lo:hi]), end]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        self.learn(blocks)
+        values = [*map(self.memo.__getitem__, blocks)]
+        self.memo.trim()
+        self.pieces.trim()
+        self.pieces.setdefault("\n", b"")
+        flat = np.append(np.frombuffer(b"".join(values), dtype=self.kind), np.array([end], dtype=self.kind))
+        sizes = np.append(np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width, 1)
+        starts = np.cumsum(sizes) - sizes
+        numbers = np.insert(numbers.astype(np.int64), bounds[1:] - bounds[0], len(values))
+        each = sizes[numbers]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(starts[numbers] - (upto - each), each) + np.arange(upto[-1])]
+        return ids, np.diff(np.append(0, upto[np.flatnonzero(numbers == len(values))]))
+
+
+def binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Slices of one array after another, so many items each, as a binary column."""
+    flat = np.ascontiguousarray(flat)
+    ends = np.append(0, np.cumsum(sizes)) * flat.itemsize
+    if ends[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
+    raw = flat.tobytes()
+    return pa.array([raw[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
 
 def _encoder(path: str) -> Encoder:
@@ -125,16 +152,12 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
-        end = int(end_id).to_bytes(coder.width, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                rows = batch.slice(lo, 2000)
-                ids = coder.encode(rows.column(1), end)
-                starts = []
-                for x in ids:
-                    starts.append(at)
-                    at += len(x) // coder.width
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // coder.width for x in ids], pa.int64()), rows.column(0), pa.array(ids, pa.binary())], names=["part", "local_start", "n", "doc_id", "ids"])
+            for rows in slices(batch, 1):
+                ids, sizes = coder.encode(rows.column(1), end_id)
+                upto = at + np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(upto - sizes), pa.array(sizes), rows.column(0), binaries(ids, sizes)], names=["part", "local_start", "n", "doc_id", "ids"])
+                at = int(upto[-1])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, local_start long, n long, doc_id long, ids binary")
 
@@ -151,20 +174,21 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for part, local, n, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "n", "doc_id", "ids")), strict=True):
-                if len(raw) < 4 * n:
-                    raw = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
-                at, done = bases.value[part] + local, 0
-                while done < n:
-                    sequence, offset = divmod(at + done, length)
-                    take = min(n - done, length - offset)
-                    rows.append((doc, done, take, raw[4 * done : 4 * (done + take)], n, sequence, offset))
-                    done += take
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=names)
-
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            for rows in slices(batch, 4):
+                part, local, n = (rows.column(c).to_numpy() for c in ("part", "local_start", "n"))
+                numbers, where = np.unique(part, return_inverse=True)
+                at = np.array([bases.value[x] for x in numbers.tolist()], dtype=np.int64)[where] + local
+                each = (at + n - 1) // length - at // length + 1
+                doc = np.repeat(np.arange(len(n)), each)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+                sequence = (at // length)[doc] + nth
+                start = np.maximum(sequence * length - at[doc], 0)
+                size = np.minimum((sequence + 1) * length - at[doc], n[doc]) - start
+                raw = b"".join(rows.column("ids").to_pylist())
+                ids = np.frombuffer(raw, dtype=f"<u{len(raw) // int(n.sum())}").astype("<u4")
+                columns = [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), binaries(ids, size), pa.array(n[doc]), pa.array(sequence), pa.array(at[doc] + start - sequence * length)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
     short = total % length
     last = short if short & (short - 1) == 0 else length  # a length that is a power of two stands unpadded
     pieces = ids.mapInArrow(cut, PIECE)

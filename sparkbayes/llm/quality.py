@@ -8,9 +8,11 @@ and the next rule is learned, until a rule is no better than chance. The rules b
 
 Training takes a bounded sample: the ``sample`` labelled documents that come first by a hash of their id.
 
-Defined cases: a null or empty text has no words and all statistics 0; repeated rows are judged one by one; ties
-between thresholds go to the earlier statistic and the smaller threshold; with no labels the list is empty and only
-the base rules decide; an empty table gives an empty table; columns named like a result are replaced.
+Defined cases: a null or empty text has no words and all statistics 0; a text of any length is read whole; repeated
+rows are judged one by one; of an id with several labels the least counts, of a labelled id with several texts the one
+of the least statistics; ties between thresholds go to the earlier statistic and the smaller threshold; with no labels
+the list is empty and only the base rules decide; an empty table gives an empty table; columns named like a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ready
+from .common import held, ready, slices
 
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
@@ -93,9 +95,9 @@ def measure(docs: DataFrame, text: str = "text", *, keep_text: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("quality", lambda: None)
         for batch in batches:
-            got = [statistics(t or "") for t in batch.column(text).to_pylist()]
-            columns = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pass_on], *columns], names=[*pass_on, *COUNTS])
+            for part in slices(batch, text):
+                got = [statistics(t or "") for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], *(pa.array(x, pa.int64()) for x in zip(*got, strict=True))], names=[*pass_on, *COUNTS])
 
     fields = [plain.schema[c] for c in pass_on]
     return plain.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
@@ -210,13 +212,15 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 12, mo
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = 6000) -> list[Conjunction]:
     """Rules from the first ``sample`` labelled documents by hash of their id (quality 0: bad)."""
-    known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(quality).alias(quality))
-    chosen = known.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)  # at most ``sample`` pairs of numbers
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
-    seen = measure(rows, text).select(doc_id, quality, *[c.alias(f"f_{k}") for k, c in features().items()]).orderBy(doc_id).toPandas()
+    known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(quality).cast("int").alias("_q")).groupBy("_id").agg(F.min("_q").alias("_q"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most ``sample`` pairs of numbers
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    made = features()
+    seen = measure(rows, "_text").select("_id", "_q", F.struct(*[c.alias(f"f_{k}") for k, c in made.items()]).alias("f"))
+    seen = seen.groupBy("_id", "_q").agg(F.min("f").alias("f")).select("_id", "_q", "f.*").orderBy("_id").toPandas()  # a row per chosen id, however often it is met
     if seen.empty:
         return []
-    return learn({k: seen[f"f_{k}"].to_numpy() for k in FEATURES}, seen[quality].to_numpy() == 0)
+    return learn({k: seen[f"f_{k}"].to_numpy() for k in FEATURES}, seen["_q"].to_numpy() == 0)
 
 
 def verdict(rules: list[Conjunction]) -> Column:

@@ -56,7 +56,7 @@ class Transducer:
             self.token[node] = i
             if len(raw) == 1:
                 self.single[raw[0]] = i
-        self.fits = Memo(self._fits, 300_000)
+        self.fits = Memo(self._fits, 24 << 20)
         self.reset()
 
     def reset(self) -> None:
@@ -106,7 +106,7 @@ class Counter:
     # The pattern by which the tokenizer file's byte-level pre-tokenizer cuts a text.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         import regex
 
         merges = Merges(path)
@@ -114,8 +114,8 @@ class Counter:
         self.words = regex.compile(self.PATTERN)
         self.special = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
         self.hints = tuple(merges.special)
-        self.pieces = Memo(lambda word: self.machine.count(word.encode()), limit)
-        self.blocks = Memo(lambda block: sum(map(self.pieces.__getitem__, self.words.findall(block))), limit)
+        self.pieces = Memo(lambda word: self.machine.count(word.encode()), most_bytes // 2)
+        self.blocks = Memo(lambda block: sum(map(self.pieces.__getitem__, self.words.findall(block))), most_bytes // 2)
 
     def run(self, text: str) -> int:
         """Tokens of a stretch that begins and ends at synchronising places."""

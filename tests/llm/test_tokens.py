@@ -44,7 +44,7 @@ def test_bpe_query(spark, sf_dir, word):
 
 
 def test_memo_generations():
-    coder = bpe.WordBPE(tokenizer_path("word_bpe_49k.json"), limit=3)
+    coder = bpe.WordBPE(tokenizer_path("word_bpe_49k.json"), most_bytes=500)
     texts = ["one two three four five", "five six one", "two two"]
     assert [coder.encode_text(t)[0] for t in texts] == [bpe.WordBPE(tokenizer_path("word_bpe_49k.json")).encode_text(t)[0] for t in texts]
 
