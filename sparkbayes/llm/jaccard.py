@@ -1,6 +1,6 @@
 """Exact Jaccard join on word shingles by token-combination prefixes (operator 9).
 
-Tokens are 64-bit hashes of shingles. One pass counts in how many different texts each token is; bit maps of fixed
+Tokens are 64-bit hashes of shingles, and sets are compared by them: two shingles of one hash would count as equal. One pass counts in how many different texts each token is; bit maps of fixed
 size carry the result to every task, one for each class: tokens that at least 2, 4, 16 .. texts may share, and
 frequent ones, which more than ``frequent`` texts may share. False bits cost work and never a link. All sets are
 ordered alike: unshared tokens, then rare ones by class, then frequent ones, by hash within each class.
@@ -19,7 +19,7 @@ threshold ends in one component. Wherever two sets meet at a key, the places of
 no smaller common key existed; a pair out of reach is left to its smaller keys. No key's group comes to a single task, and nothing but the bit maps to the driver.
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and are linked with nothing; a text of
-fewer words than a shingle has its whole word sequence as its only token; repeated rows are one node, each with
+any length is read whole; one of fewer words than a shingle has its whole word sequence as its only token; repeated rows are one node, each with
 its own row in the result; component_id is the least non-null id; an empty table gives an empty table; other columns
 are not used.
 """
@@ -231,23 +231,24 @@ def indexed(docs: DataFrame, maps, width: int, k: int, percent: int, long: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each edge's component, by alternating large and small stars until nothing changes."""
-    now, mark = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    """(node, root): the least node of each edge's component, by alternating large and small stars until all edges form stars.
+
+    Edges are stars when every node but the centres leads to one other node, and that one leads nowhere.
+    """
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, before = stored(large, "stars-large"), now
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "stars-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars-small")
-        discard(*[t for t in (large, before) if hasattr(t, "_stored_at")])
-        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).head())
-        if seen == mark:
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, now = now, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars-small")
+        discard(large, before)
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("leads"), F.lit(0).alias("led")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("leads"), F.lit(1).alias("led")))
+        if not ends.groupBy("x").agg(F.sum("leads").alias("leads"), F.max("led").alias("led")).where("leads > 1 OR leads + led > 1").head(1):
             out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             out._stored_at = now._stored_at
             return out
-        mark = seen
 
 
 def possible(n: Column, most: Column, n2: Column, most2: Column, percent: int) -> Column:
@@ -300,13 +301,9 @@ def clusters(
     all_rows = slim
     each = F.explode(F.arrays_zip("keys", "most")).alias("e")
     entries = nodes.select("id", "n", "own", each).select("id", F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), F.col("e.keys").alias("key"), F.col("e.most").cast("int").alias("most"))
-    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    entries = stored(entries.join(several, "key", "left_semi"), "jaccard-index")
-    roots = nodes.select("id", F.col("id").alias("root"))
-    used = [nodes, entries]
-    done = None
+    used, done, roots = [nodes], None, None
     for step in range(rounds + 1):
-        at = entries.join(roots, "id")
+        at = entries.withColumn("root", F.col("id")) if roots is None else entries.join(roots, "id")
         orders = F.struct(*(["own"] if step == 0 else []), F.xxhash64("id", F.lit(step)).alias("h"), "id", "root", "n", "most")
         keys = at.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(orders).alias("p")).where("r0 <> r1")
         still = at.join(keys.select("key", F.col("p.id").alias("p_id"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.most").alias("p_most")), "key")
@@ -333,14 +330,18 @@ def clusters(
         links = stored(verified(pairs, nodes, percent), f"jaccard-links-{step}")
         used += [pairs, links]
         if links.head(1):
-            known = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-            ends = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-            merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            used += [merged, roots] if step else [merged]
-            roots = stored(roots.join(merged.withColumnRenamed("root", "up"), F.col("root") == F.col("node"), "left").select("id", F.coalesce("up", "root").alias("root")), f"jaccard-roots-{step}")
+            ends = links
+            if roots is not None:
+                known = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+                ends = links.join(known, "a").join(known.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            merged = components(ends)
+            before = nodes.select("id", F.col("id").alias("root")) if roots is None else roots
+            roots = stored(before.join(merged.withColumnRenamed("root", "up"), F.col("root") == F.col("node"), "left").select("id", F.coalesce("up", "root").alias("root")), f"jaccard-roots-{step}")
+            discard(merged, before)
+    roots = nodes.select("id", F.col("id").alias("root")) if roots is None else roots
     of_root = nodes.select("sid", "id").join(roots, "id").join(nodes.select(F.col("id").alias("root"), F.col("sid").alias("root_sid")), "root").select("sid", F.col("root_sid").alias("root"))
     of_root = stored(of_root, "jaccard-roots")
-    discard(*[t for t in used if hasattr(t, "_stored_at")])
+    discard(*used, roots)
     own = all_rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("least"))
     linked = own.join(of_root, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
