@@ -1,5 +1,6 @@
 """The Jaccard join and the top-k search against brute force."""
 
+import math
 import random
 import re
 
@@ -102,11 +103,13 @@ def test_stars(spark):
 
 
 def top(rows, k, every):
-    v = {i: np.floor(256 * np.array([np.float64(np.float32(y)) for y in x])).astype(np.int64) for i, x in rows if x is not None and all(y is not None and np.isfinite(y) for y in x) and len(x) == 8}
+    """By Python's integers, shorter vectors as if zeros followed."""
+    v = {i: [math.floor(256 * float(np.float32(y))) for y in x] for i, x in rows if x is not None and all(y is not None and np.isfinite(y) for y in x)}
     out = []
     for q in v:
         if q % every == 0:
-            ranked = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k]
+            score = {c: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v[q], v[c], strict=False)))) for c in v if c != q}
+            ranked = sorted((-s, c) for c, s in score.items())[:k]
             out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(ranked)]
     return sorted(out)
 
@@ -123,11 +126,22 @@ def test_search(spark, size):
     rows[42] = (42, rows[40][1])
     rows[50] = (50, [0.0] * 8)
     rows[51] = (51, [1.0] * 5)
+    rows[52] = (52, [])
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     got = sorted(tuple(r) for r in K.search(df, F.col("vec_id") % 10 == 0, size=size).collect())
     assert got == top(rows, 5, 10)
 
 
+@pytest.mark.parametrize("size", [5, 2048])
+def test_search_of_great_components(spark, size):
+    """No finite vector is left out, however great; products beyond 64 bits are exact or end at a long's range."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * rng.choice([1, 2e5, 1e9])).astype("float32").tolist()) for i in range(60)] + [(60, [200000.0, 1.0]), (61, [3e38, -3e38, 1.0, 0.0]), (62, [1e30, 0.0, 0.0, 0.0]), (70, [-3e38] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in K.search(df, F.col("vec_id") % 10 == 0, size=size).collect())
+    assert got == top(rows, 5, 10)
+
+
 def test_search_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in K.search(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 256 * 11)]
