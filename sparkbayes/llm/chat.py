@@ -10,12 +10,16 @@ a backslash. Then no control string is left, and dropping one backslash behind e
 to right, gives the text back. The loss mask is run lengths in order: per turn (skipped, under loss, skipped).
 
 Defined cases: null text and null role are empty; rows of a conversation that have the same turn number are ordered
-by role, then text; a conversation id of null is one more conversation; a record whose fingerprint no mapping knows,
-or that is no JSON, has null turns and a null layout; an empty table gives no conversations; other columns are not used.
+by role, then text, and repeated rows are turns of their own; a conversation id of null is one more conversation; texts
+and conversations of any length are formatted whole; an optional field (a system prompt, an input) that is empty gives
+no turn; a record whose fingerprint no mapping knows (one with further fields than a layout lists, with an empty list,
+or that is no JSON) has null turns and a null layout; an empty table gives no conversations; other columns, also ones
+named like a result, are not used.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,19 +40,24 @@ class Layout:
     role: str = ""
     text: str = ""
     roles: tuple[tuple[str, str], ...] = ()
+    optional: tuple[str, ...] = ()
+    extra: tuple[str, ...] = ()  # paths that belong to the layout and hold nothing to be said
 
     def paths(self) -> str:
-        if self.list:
-            return ",".join(sorted((f"{self.list}[].{self.role}", f"{self.list}[].{self.text}")))
-        return ",".join(sorted(f for f, _ in self.fields))
+        own = (f"{self.list}[].{self.role}", f"{self.list}[].{self.text}") if self.list else tuple(f for f, _ in self.fields)
+        return ",".join(sorted((*own, *self.extra)))
+
+    def mark(self) -> str:
+        """The layout's fingerprint."""
+        return hashlib.sha256(self.paths().encode()).hexdigest()
 
     def turns(self, get) -> Column:
-        """Canonical turns; ``get(path, type)`` reads a field."""
+        """Canonical turns; ``get(path, type)`` reads a field. An optional field that is empty gives no turn."""
         if not self.list:
-            said = [F.struct(F.lit(r).alias("role"), F.coalesce(get(f, "string"), F.lit("")).alias("text")) for f, r in self.fields]
-            spoken = F.array(*said)
-            optional = [r for f, r in self.fields if r == "system" or f == "input"]
-            return F.filter(spoken, lambda t: (t["text"] != "") | ~t["role"].isin("system")) if optional else spoken
+            texts = [F.coalesce(get(f, "string"), F.lit("")) for f, _ in self.fields]
+            said = [F.struct(F.lit(r).alias("role"), t.alias("text")) for (_, r), t in zip(self.fields, texts, strict=True)]
+            spoken = [F.when(t != "", x) if f in self.optional else x for (f, _), t, x in zip(self.fields, texts, said, strict=True)]
+            return F.filter(F.array(*spoken), lambda t: t.isNotNull()) if self.optional else F.array(*spoken)
         rows = get(self.list, f"array<struct<{self.role}:string,{self.text}:string>>")
         names = F.create_map(*[F.lit(x) for pair in self.roles for x in pair]) if self.roles else None
 
@@ -67,9 +76,12 @@ LAYOUTS = [
     Layout("prompt_response", fields=(("prompt", "user"), ("response", "assistant"))),
     Layout("prompt_completion", fields=(("prompt", "user"), ("completion", "assistant"))),
     Layout("question_answer", fields=(("question", "user"), ("answer", "assistant"))),
-    Layout("system_prompt_response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    Layout("system_prompt_response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Layout("instruction_output", fields=(("instruction", "user"), ("output", "assistant"))),
-    Layout("instruction_input_output", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant"))),
+    Layout("instruction_input_output", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")), optional=("input",)),
+    Layout("messages", list="messages", role="role", text="content", extra=("messages[].name",)),
+    Layout("conversations", list="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant")), extra=("id",)),
+    Layout("instruction_input_output", fields=(("instruction", "user"), ("input", "user"), ("output", "assistant")), optional=("input",), extra=("text",)),
 ]
 
 
@@ -82,10 +94,6 @@ def paths_of(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint_text(paths: str | Column) -> Column:
-    return F.sha2(F.lit(paths) if isinstance(paths, str) else paths, 256)
-
-
 def fingerprint_json(record: Column) -> Column:
     """The fingerprint of one JSON record; fields of an object in a list at most one level down carry its path."""
     schema = F.schema_of_variant(F.try_parse_json(record))
@@ -98,22 +106,21 @@ def fingerprint_json(record: Column) -> Column:
         nested = F.regexp_extract(part, "ARRAY<OBJECT<(.*)>>$", 1)
         return F.when(nested != "", F.transform(F.split(nested, ", "), lambda f: F.concat(name, F.lit("[]."), F.trim(F.split_part(f, F.lit(":"), F.lit(1)))))).otherwise(F.array(name))
 
-    return fingerprint_text(F.array_join(F.sort_array(F.flatten(F.transform(parts, paths))), ","))
+    return F.sha2(F.array_join(F.sort_array(F.flatten(F.transform(parts, paths))), ",").cast("binary"), 256)
 
 
 def canonical(df: DataFrame, key: str, record: str | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """(key, layout, turns) of typed columns, or with ``record`` of a column of JSON records."""
     if record is None:
         own = T.StructType([f for f in df.schema.fields if f.name != key])
-        mark, paths = None, ",".join(sorted(paths_of(own)))
-        found = [x for x in layouts if x.paths() == paths]
-        if not found:
+        found = {x.mark(): x for x in layouts}.get(hashlib.sha256(",".join(sorted(paths_of(own))).encode()).hexdigest())
+        if found is None:
             return df.select(F.col(key), F.lit(None).cast("string").alias("layout"), F.lit(None).cast(TURNS).alias("turns"))
-        return df.select(F.col(key), F.lit(found[0].name).alias("layout"), found[0].turns(lambda f, kind: F.col(f)).cast(TURNS).alias("turns"))
+        return df.select(F.col(key), F.lit(found.name).alias("layout"), found.turns(lambda f, kind: F.col(f)).cast(TURNS).alias("turns"))
     rows = df.withColumn("_mark", fingerprint_json(F.col(record))).withColumn("_record", F.try_parse_json(record))
     layout = turns = F.lit(None)
     for x in layouts:
-        mark = F.col("_mark") == fingerprint_text(x.paths())
+        mark = F.col("_mark") == F.lit(x.mark())
         layout = F.when(mark, F.lit(x.name)).otherwise(layout)
         turns = F.when(mark, x.turns(lambda f, kind: F.try_variant_get("_record", f"$.{f}", kind))).otherwise(turns)
     return rows.select(F.col(key), layout.cast("string").alias("layout"), turns.cast(TURNS).alias("turns"))

@@ -37,6 +37,12 @@ RECORDS = [
     ('{"question":"q","answer":"a"}', "question_answer", [("user", "q"), ("assistant", "a")]),
     ('{"system":"s","prompt":"q","response":"a"}', "system_prompt_response", [("system", "s"), ("user", "q"), ("assistant", "a")]),
     ('{"instruction":"i","output":"a"}', "instruction_output", [("user", "i"), ("assistant", "a")]),
+    ('{"instruction":"i","input":"x","output":"a"}', "instruction_input_output", [("user", "i"), ("user", "x"), ("assistant", "a")]),
+    ('{"instruction":"i","input":"","output":"a"}', "instruction_input_output", [("user", "i"), ("assistant", "a")]),
+    ('{"instruction":"","input":null,"output":""}', "instruction_input_output", [("user", ""), ("assistant", "")]),
+    ('{"system":"","prompt":"q","response":""}', "system_prompt_response", [("user", "q"), ("assistant", "")]),
+    ('{"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a","name":"m"}]}', "messages", [("user", "q"), ("assistant", "a")]),
+    ('{"messages":[]}', None, None),
     ('{"other":1}', None, None),
     ("not json", None, None),
     (None, None, None),
@@ -56,6 +62,14 @@ def test_typed_layouts(spark):
     assert C.canonical(df.withColumnRenamed("prompt", "x"), "id").head()["turns"] is None
 
 
+def test_repeated_turns_clashing_names_and_long_conversations(spark):
+    rows = [(1, 0, "user", "b", 1), (1, 0, "user", "a", 1), (1, 0, "assistant", "z", 1), (1, 0, "user", "a", 1)] + [(2, i, "assistant" if i % 2 else "user", "w " * 2000, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, messages int")
+    got = {r["conv_id"]: r for r in C.read_back(C.format_turns(C.canonical(C.gather(df, "conv_id", "turn", "role", "text"), "conv_id"))).collect()}
+    assert [tuple(t) for t in got[1]["read_turns"]] == [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]
+    assert len(got[2]["read_turns"]) == 300 and got[2]["read_loss"] == "w " * 2000 * 150
+
+
 def test_query_against_sql(spark, sf_dir):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
