@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: ``ready`` lowers the session's setting to this, as texts may be long.
+BATCH, MOST_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def tokenizer_path(name: str, path: str | None = None) -> str:
     """Where a public tokenizer's file is: ``path``, or the installed package's copy of ``name``."""
     if path:
@@ -23,11 +27,14 @@ def tokenizer_path(name: str, path: str | None = None) -> str:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also when the driver found it through sys.path only."""
+    """Let Python workers import this package also when the driver found it through sys.path only, and bound what they get at a time."""
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    now = spark.conf.get(BATCH)
+    if now.removesuffix("b").isdigit() and int(now.removesuffix("b")) > MOST_BATCH:
+        spark.conf.set(BATCH, str(MOST_BATCH))
     return spark
 
 
@@ -64,7 +71,7 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def slices(batch, column: str | int, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator:
+def slices(batch, column: str | int, most_bytes: int = 2 << 20, most_rows: int = 2000) -> Iterator:
     """An Arrow batch in slices of at most so many rows and bytes of text; a text longer than that is alone in its slice."""
     import numpy as np
     import pyarrow.compute as pc
@@ -127,7 +134,7 @@ class Memo(dict):
     ``trim`` between rows turns a young generation of half the bytes into the old one; an entry met again moves back.
     """
 
-    ENTRY = 110  # bytes of an entry's place in the table and of its objects' heads
+    ENTRY = 200  # bytes of an entry's place in the table and of its objects' heads
 
     def __init__(self, compute: Callable, most_bytes: int = 32 << 20):
         super().__init__()
@@ -144,6 +151,19 @@ class Memo(dict):
         self[key] = value
         self.size += self.ENTRY + self.bytes_of(key) + self.bytes_of(value)
 
+    def add(self, keys: list, values: list) -> None:
+        """Many strings and their bytes at a time."""
+        self.update(zip(keys, values, strict=True))
+        self.size += self.ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
+    def moved(self, keys) -> dict:
+        """What the old generation has of ``keys``, put into the young one."""
+        old = self.old
+        found = {k: old[k] for k in keys if k in old} if old else {}
+        if found:
+            self.add([*found], [*found.values()])
+        return found
+
     @staticmethod
     def bytes_of(x) -> int:
         return len(x) if isinstance(x, (str, bytes)) else 40 * len(x) if isinstance(x, tuple) else 0

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,75 +43,72 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path = path
         self.merger = Tokenizer.from_file(path)
         self.merger.normalizer = None
         self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        added = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        added = {t.content for t in self.merger.get_added_tokens_decoder().values()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(added)))) if added else None
-        self.marks = {t[0] for t in added if t}
         self.words = regex.compile(f"{WordBPE.PATTERN}|\n")
         self.letters = {b: c for b, c in enumerate(byte_chars()) if c != chr(b) and b != 32}
-        vocab = self.whole.get_vocab()
+        vocab = self.merger.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith(self.whole.model.end_of_word_suffix)]] = True
+        self.ends[[i for s, i in vocab.items() if s.endswith(self.merger.model.end_of_word_suffix)]] = True
         self.width = 2 if len(self.ends) <= 1 << 16 else 4  # bytes of an id between the passes
         self.kind = f"<u{self.width}"
         self.memo = Memo(self._block, most_bytes // 2)
         self.pieces = Memo(lambda word: b"", most_bytes // 2)
-        self.pieces.put("\n", b"")  # what parts blocks has no ids
+        self.pieces["\n"] = b""  # what parts blocks has no ids
+
+    @cached_property
+    def whole(self):
+        """The library as it is, for blocks that hold a special string."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     def _block(self, block: str) -> bytes:
         return np.array(self.whole.encode(block, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def plain(self, block: str) -> bool:
-        return self.special is None or not any(m in block for m in self.marks) or not self.special.search(block)
-
     def learn(self, blocks: list[str]) -> None:
-        """Put blocks into the memo."""
-        memo, plain = self.memo, []
-        for b in blocks:
-            if b in memo:
-                continue
-            if (known := memo.old.get(b)) is not None:
-                memo.put(b, known)
-            elif self.plain(b):
-                plain.append(b)
+        """Put blocks into the memo; ones that hold a special string are left to ``whole``."""
+        memo = self.memo
+        new = [b for b in blocks if b not in memo]
+        moved = memo.moved(new)
+        plain = [b for b in new if b not in moved] if moved else new
+        joined = "\n".join(plain)
+        if self.special is not None and self.special.search(joined):
+            plain = [b for b in plain if not self.special.search(b)]
+            joined = "\n".join(plain)
         if not plain:
             return
-        text = unicodedata.normalize("NFC", "\n".join(plain))
+        text = unicodedata.normalize("NFC", joined)
         text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
         cut = self.words.findall(text)
         cut.append("\n")
-        self.merge({w for w in cut if w not in self.pieces})
+        self.merge({*cut} - self.pieces.keys())
         values = [*map(self.pieces.__getitem__, cut)]
         upto = np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values)))
         bounds = upto[np.fromiter(map("\n".__eq__, cut), dtype=bool, count=len(cut))].tolist()
-        raw, lo = b"".join(values), 0
-        for b, at in zip(plain, bounds, strict=True):
-            memo.put(b, raw[lo:at])
-            lo = at
+        raw = b"".join(values)
+        memo.add(plain, [raw[lo:hi] for lo, hi in zip([0, *bounds], bounds, strict=False)])
 
     def merge(self, words: set[str]) -> None:
         """Put pre-tokens into their memo: the library merges all that are new in one call."""
-        known, new = self.pieces, []
-        for w in words:
-            if (old := known.old.get(w)) is not None:
-                known.put(w, old)
-            else:
-                new.append(w)
+        known = self.pieces
+        moved = known.moved(words)
+        new = [w for w in words if w not in moved]
         if not new:
             return
         line = " ".join(new)
         if not line.isascii() or not line.isprintable():
             line = " ".join([w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in new])
         ids = np.array(self.merger.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.kind)
-        raw, lo = ids.tobytes(), 0
-        for w, at in zip(new, (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-            known.put(w, raw[lo:at])
-            lo = at
+        raw, bounds = ids.tobytes(), (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        known.add(new, [raw[lo:hi] for lo, hi in zip([0, *bounds], bounds, strict=False)])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, each text's number of ids): every text's ids and the id ``end``."""
