@@ -49,51 +49,51 @@ def gev_logp_by_flag(spark, sf_dir):
 
 @register(
     "genextreme",
-    """WITH v AS (SELECT DISTINCT p_size AS x, (p_size - 20.0::DOUBLE) / 15.0::DOUBLE AS z FROM part)
-    SELECT x, round(-ln(15.0::DOUBLE) - 6 * ln(1 + z / 5) - pow(1 + z / 5, -5.0::DOUBLE), 6) AS logp, round(-pow(1 + z / 5, -5.0::DOUBLE), 6) AS logcdf,
+    """WITH v AS (SELECT p_partkey, p_size AS x, (p_size - 20.0::DOUBLE) / 15.0::DOUBLE AS z FROM part)
+    SELECT p_partkey, x, round(-ln(15.0::DOUBLE) - 6 * ln(1 + z / 5) - pow(1 + z / 5, -5.0::DOUBLE), 6) AS logp, round(-pow(1 + z / 5, -5.0::DOUBLE), 6) AS logcdf,
       round(20 + 15 * (pow(-ln((x + 0.0::DOUBLE) / 51), -0.2::DOUBLE) - 1) / 0.2::DOUBLE, 6) AS icdf, round(20 + 15 * (pow(1.2::DOUBLE, -0.2::DOUBLE) - 1) / 0.2::DOUBLE, 6) AS mode, round(-z - ln(15.0::DOUBLE) - exp(-z), 6) AS gumbel_logp FROM v""",
 )
 def genextreme(spark, sf_dir):
     d, x = D.GenExtreme(20.0, 15.0, 0.2), F.col("x")
-    v = table(spark, sf_dir, "part").select(F.col("p_size").alias("x")).distinct()
-    return v.select("x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.icdf(x / 51)).alias("icdf"), r(d.support_point()).alias("mode"), r(D.GenExtreme(20.0, 15.0).logp(x)).alias("gumbel_logp"))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"))
+    return v.select("p_partkey", "x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.icdf(x / 51)).alias("icdf"), r(d.support_point()).alias("mode"), r(D.GenExtreme(20.0, 15.0).logp(x)).alias("gumbel_logp"))
 
 
 @register(
     "genpareto",
-    """WITH v AS (SELECT DISTINCT p_size AS x, p_size / 12.0::DOUBLE AS z FROM part)
-    SELECT x, round(-ln(12.0::DOUBLE) - (1 / 0.3::DOUBLE + 1) * ln(1 + 0.3::DOUBLE * z), 6) AS logp, round(ln(1 - pow(1 + 0.3::DOUBLE * z, -1 / 0.3::DOUBLE)), 6) AS logcdf,
+    """WITH v AS (SELECT p_partkey, p_size AS x, p_size / 12.0::DOUBLE AS z FROM part)
+    SELECT p_partkey, x, round(-ln(12.0::DOUBLE) - (1 / 0.3::DOUBLE + 1) * ln(1 + 0.3::DOUBLE * z), 6) AS logp, round(ln(1 - pow(1 + 0.3::DOUBLE * z, -1 / 0.3::DOUBLE)), 6) AS logcdf,
       round(-ln(1 + 0.3::DOUBLE * z) / 0.3::DOUBLE, 6) AS logsf, round(12 * (pow(1 - x / 51.0::DOUBLE, -0.3::DOUBLE) - 1) / 0.3::DOUBLE, 6) AS icdf,
       round(12 * (pow(x / 51.0::DOUBLE, -0.3::DOUBLE) - 1) / 0.3::DOUBLE, 6) AS isf, round(ln(1 - exp(-z)), 6) AS exp_logcdf FROM v""",
 )
 def genpareto(spark, sf_dir):
     d, x = D.GenPareto(0.0, 12.0, 0.3), F.col("x")
-    v = table(spark, sf_dir, "part").select(F.col("p_size").alias("x")).distinct()
-    return v.select("x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.logsf(x)).alias("logsf"), r(d.icdf(x / 51)).alias("icdf"), r(d.isf(x / 51)).alias("isf"), r(D.GenPareto(0.0, 12.0, 0.0).logcdf(x)).alias("exp_logcdf"))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"))
+    return v.select("p_partkey", "x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.logsf(x)).alias("logsf"), r(d.icdf(x / 51)).alias("icdf"), r(d.isf(x / 51)).alias("isf"), r(D.GenPareto(0.0, 12.0, 0.0).logcdf(x)).alias("exp_logcdf"))
 
 
 @register(
     "extgenpareto",
-    """WITH v AS (SELECT DISTINCT p_size AS x, 1 - pow(1 + 0.3::DOUBLE * p_size / 12.0::DOUBLE, -1 / 0.3::DOUBLE) AS h, -ln(12.0::DOUBLE) - (1 / 0.3::DOUBLE + 1) * ln(1 + 0.3::DOUBLE * p_size / 12.0::DOUBLE) AS l FROM part)
-    SELECT x, round(ln(2.5::DOUBLE) + 1.5::DOUBLE * ln(h) + l, 6) AS logp, round(2.5::DOUBLE * ln(h), 6) AS logcdf, round(ln(1 - pow(h, 2.5::DOUBLE)), 6) AS logsf,
+    """WITH v AS (SELECT p_partkey, p_size AS x, 1 - pow(1 + 0.3::DOUBLE * p_size / 12.0::DOUBLE, -1 / 0.3::DOUBLE) AS h, -ln(12.0::DOUBLE) - (1 / 0.3::DOUBLE + 1) * ln(1 + 0.3::DOUBLE * p_size / 12.0::DOUBLE) AS l FROM part)
+    SELECT p_partkey, x, round(ln(2.5::DOUBLE) + 1.5::DOUBLE * ln(h) + l, 6) AS logp, round(2.5::DOUBLE * ln(h), 6) AS logcdf, round(ln(1 - pow(h, 2.5::DOUBLE)), 6) AS logsf,
       round(12 * (pow(1 - pow(x / 51.0::DOUBLE, 0.4::DOUBLE), -0.3::DOUBLE) - 1) / 0.3::DOUBLE, 6) AS icdf, round(ln(pow(h, 2.5::DOUBLE) / (1 - pow(h, 2.5::DOUBLE))), 6) AS logit FROM v""",
 )
 def extgenpareto(spark, sf_dir):
     d, x = D.ExtGenPareto(0.0, 12.0, 0.3, 2.5), F.col("x")
-    v = table(spark, sf_dir, "part").select(F.col("p_size").alias("x")).distinct()
-    return v.select("x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.logsf(x)).alias("logsf"), r(d.icdf(x / 51)).alias("icdf"), r(d.forward(x)).alias("logit"))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"))
+    return v.select("p_partkey", "x", r(d.logp(x)).alias("logp"), r(d.logcdf(x)).alias("logcdf"), r(d.logsf(x)).alias("logsf"), r(d.icdf(x / 51)).alias("icdf"), r(d.forward(x)).alias("logit"))
 
 
 @register(
     "pareto_logit_transform",
-    """SELECT DISTINCT p_size AS x, round((p_size - 25) / 10.0::DOUBLE, 6) AS forward_of_backward,
+    """SELECT p_partkey, p_size AS x, round((p_size - 25) / 10.0::DOUBLE, 6) AS forward_of_backward,
       round(12 * (pow(1 - 1 / (1 + exp(-(p_size - 25) / 10.0::DOUBLE)), -0.3::DOUBLE) - 1) / 0.3::DOUBLE, 6) AS backward FROM part""",
 )
 def pareto_logit_transform(spark, sf_dir):
     d, v = D.GenPareto(0.0, 12.0, 0.3), (F.col("x") - 25) / 10
-    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("x")).distinct()
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"))
     rows = rows.withColumn("b", d.backward(v))
-    return rows.select("x", r(d.forward(F.col("b"))).alias("forward_of_backward"), r(F.col("b")).alias("backward"))
+    return rows.select("p_partkey", "x", r(d.forward(F.col("b"))).alias("forward_of_backward"), r(F.col("b")).alias("backward"))
 
 
 _GAMMA_P = "least(1.0::DOUBLE, list_sum([exp(({a}) * ln({x}) - ({x}) + k * ln({x}) - lgamma(({a}) + k + 1)) FOR k IN range(0, 200)]))"
@@ -101,36 +101,36 @@ _GAMMA_P = "least(1.0::DOUBLE, list_sum([exp(({a}) * ln({x}) - ({x}) + k * ln({x
 
 @register(
     "chi_maxwell",
-    f"""WITH v AS (SELECT DISTINCT p_size AS s, p_size / 10.0::DOUBLE AS x FROM part)
-    SELECT s, round((1 - 1.5::DOUBLE) * ln(2.0::DOUBLE) + 2 * ln(x) - x * x / 2 - lgamma(1.5::DOUBLE), 6) AS chi_logp, round(ln({_GAMMA_P.format(a="1.5::DOUBLE", x="x * x / 2")}), 6) AS chi_logcdf,
+    f"""WITH v AS (SELECT p_partkey, p_size AS s, p_size / 10.0::DOUBLE AS x FROM part)
+    SELECT p_partkey, s, round((1 - 1.5::DOUBLE) * ln(2.0::DOUBLE) + 2 * ln(x) - x * x / 2 - lgamma(1.5::DOUBLE), 6) AS chi_logp, round(ln({_GAMMA_P.format(a="1.5::DOUBLE", x="x * x / 2")}), 6) AS chi_logcdf,
       round(0.5::DOUBLE * ln(2 / pi()) + 2 * ln(x) - x * x / 8 - 3 * ln(2.0::DOUBLE), 6) AS maxwell_logp, round(ln({_GAMMA_P.format(a="1.5::DOUBLE", x="x * x / 8")}), 6) AS maxwell_logcdf FROM v""",
 )
 def chi_maxwell(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("s"), (F.col("p_size") / 10.0).alias("x")).distinct()
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("s"), (F.col("p_size") / 10.0).alias("x"))
     chi, maxwell = D.Chi(3.0), D.Maxwell(2.0)
-    return rows.select("s", r(chi.logp(F.col("x"))).alias("chi_logp"), r(chi.logcdf(F.col("x"))).alias("chi_logcdf"), r(maxwell.logp(F.col("x"))).alias("maxwell_logp"), r(maxwell.logcdf(F.col("x"))).alias("maxwell_logcdf"))
+    return rows.select("p_partkey", "s", r(chi.logp(F.col("x"))).alias("chi_logp"), r(chi.logcdf(F.col("x"))).alias("chi_logcdf"), r(maxwell.logp(F.col("x"))).alias("maxwell_logp"), r(maxwell.logcdf(F.col("x"))).alias("maxwell_logcdf"))
 
 
 @register(
     "count_densities",
-    """WITH v AS (SELECT DISTINCT p_size AS x FROM part)
-    SELECT x, round(ln(12.0::DOUBLE) + (x - 1) * ln(12 + 0.4::DOUBLE * x) - (12 + 0.4::DOUBLE * x) - lgamma(x + 1.0::DOUBLE), 6) AS generalized_poisson,
+    """WITH v AS (SELECT p_partkey, p_size AS x FROM part)
+    SELECT p_partkey, x, round(ln(12.0::DOUBLE) + (x - 1) * ln(12 + 0.4::DOUBLE * x) - (12 + 0.4::DOUBLE * x) - lgamma(x + 1.0::DOUBLE), 6) AS generalized_poisson,
       round(lgamma(5.0::DOUBLE + x) + lgamma(7.0::DOUBLE) - lgamma(12.0::DOUBLE + x) - lgamma(5.0::DOUBLE) - lgamma(3.0::DOUBLE) + lgamma(8.0::DOUBLE) + lgamma(x + 4.0::DOUBLE) - lgamma(x + 1.0::DOUBLE) - lgamma(4.0::DOUBLE), 6) AS beta_negative_binomial,
       round(x * ln(20.0::DOUBLE) - 20 - lgamma(x + 1.0::DOUBLE), 6) AS poisson FROM v""",
 )
 def count_densities(spark, sf_dir):
-    rows, x = table(spark, sf_dir, "part").select(F.col("p_size").alias("x")).distinct(), F.col("x")
-    return rows.select("x", r(D.GeneralizedPoisson(12.0, 0.4).logp(x)).alias("generalized_poisson"), r(D.BetaNegativeBinomial(3.0, 4.0, 5.0).logp(x)).alias("beta_negative_binomial"), r(D.Poisson(20.0).logp(x)).alias("poisson"))
+    rows, x = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x")), F.col("x")
+    return rows.select("p_partkey", "x", r(D.GeneralizedPoisson(12.0, 0.4).logp(x)).alias("generalized_poisson"), r(D.BetaNegativeBinomial(3.0, 4.0, 5.0).logp(x)).alias("beta_negative_binomial"), r(D.Poisson(20.0).logp(x)).alias("poisson"))
 
 
 @register(
     "skellam",
-    """WITH v AS (SELECT DISTINCT p_size - 25 AS x FROM part)
-    SELECT x, round(ln(list_sum([exp(-11.0::DOUBLE + (greatest(x, 0) + k) * ln(7.0::DOUBLE) + (greatest(-x, 0) + k) * ln(4.0::DOUBLE) - lgamma(greatest(x, 0) + k + 1.0::DOUBLE) - lgamma(greatest(-x, 0) + k + 1.0::DOUBLE)) FOR k IN range(0, 120)])), 6) AS logp FROM v""",
+    """WITH v AS (SELECT p_partkey, p_size - 25 AS x FROM part)
+    SELECT p_partkey, x, round(ln(list_sum([exp(-11.0::DOUBLE + (greatest(x, 0) + k) * ln(7.0::DOUBLE) + (greatest(-x, 0) + k) * ln(4.0::DOUBLE) - lgamma(greatest(x, 0) + k + 1.0::DOUBLE) - lgamma(greatest(-x, 0) + k + 1.0::DOUBLE)) FOR k IN range(0, 120)])), 6) AS logp FROM v""",
 )
 def skellam(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select((F.col("p_size") - 25).alias("x")).distinct()
-    return rows.select("x", r(D.Skellam(7.0, 4.0).logp(F.col("x"))).alias("logp"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 25).alias("x"))
+    return rows.select("p_partkey", "x", r(D.Skellam(7.0, 4.0).logp(F.col("x"))).alias("logp"))
 
 
 EVENT = ["click", "error", "purchase", "signup", "view"]

@@ -51,13 +51,22 @@ def map_poisson_rate(spark, sf_dir):
     return spark.createDataFrame([(round(float(x[0]), 6),)], "log_rate double")
 
 
-@register("logistic_map")
+_NEWTON = """WITH RECURSIVE bins AS (SELECT (l_quantity - 25) / 15.0::DOUBLE AS x, sum((l_returnflag = 'N')::INT)::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_quantity),
+    f AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+      UNION ALL SELECT i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+        SELECT i, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) - any_value(a) / 4 AS ga, sum(x * (k - n * p)) - any_value(b) / 4 AS gb,
+          sum(n * p * (1 - p)) + 0.25::DOUBLE AS haa, sum(x * n * p * (1 - p)) AS hab, sum(x * x * n * p * (1 - p)) + 0.25::DOUBLE AS hbb
+        FROM (SELECT i, a, b, x, k, n, 1 / (1 + exp(-a - b * x)) AS p FROM f, bins WHERE i < 15) GROUP BY i))
+    SELECT 'a' AS param, round(a, 5) AS value FROM f WHERE i = 15 UNION ALL SELECT 'b', round(b, 5) FROM f WHERE i = 15"""
+
+
+@register("logistic_map", _NEWTON)
 def logistic_map(spark, sf_dir):
     """Two logistic coefficients by L-BFGS, each look one aggregate."""
     df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "N").cast("int").alias("y"), ((F.col("l_quantity") - 25) / 15).alias("x"))
     target = I.table_target(df, E.bernoulli_logit(E.data("y"), E.param("a") + E.param("b") * E.data("x")), E.normal(E.param("a"), 0.0, 2.0) + E.normal(E.param("b"), 0.0, 2.0), ["a", "b"])
-    x, seen, _ = I.find_map(target, np.zeros(2), method="lbfgs", tol=1e-6)
-    return spark.createDataFrame([("a", float(x[0]), float(seen[1][0])), ("b", float(x[1]), float(seen[1][1]))], "param string, value double, gradient double")
+    x, _, _ = I.find_map(target, np.zeros(2), method="lbfgs", tol=1e-6)
+    return spark.createDataFrame([("a", round(float(x[0]), 5)), ("b", round(float(x[1]), 5))], "param string, value double")
 
 
 @register("linear_model_ols", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem")
@@ -114,7 +123,16 @@ def smc_bimodal(spark, sf_dir):
     return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "particle int, a double, b double")
 
 
-@register("inla_grid")
+# Years are independent given the spread: each one's mode by Newton steps of its own.
+_INLA = """WITH RECURSIVE c AS (SELECT count(*)::DOUBLE AS y FROM orders GROUP BY year(o_orderdate)), g AS (SELECT unnest([0.05::DOUBLE, 0.1, 0.2, 0.4, 0.8]) AS sd),
+    s AS (SELECT sd, y, row_number() OVER () AS id, (SELECT ln(avg(y)) FROM c) AS mu FROM c, g),
+    f AS (SELECT id, 0 AS i, mu AS x FROM s
+      UNION ALL SELECT f.id, i + 1, x + (y - exp(x) - (x - mu) / (sd * sd)) / (exp(x) + 1 / (sd * sd)) FROM f JOIN s ON f.id = s.id WHERE i < 60),
+    l AS (SELECT sd, sum(y * x - exp(x) - (x - mu) * (x - mu) / (2 * sd * sd) - ln(sd) - 0.5::DOUBLE * ln(exp(x) + 1 / (sd * sd))) - sd AS logp FROM f JOIN s ON f.id = s.id WHERE i = 60 GROUP BY sd)
+    SELECT sd, round(exp(logp - (SELECT max(logp) FROM l)) / (SELECT sum(exp(logp - (SELECT max(logp) FROM l))) FROM l), 6) AS weight FROM l"""
+
+
+@register("inla_grid", _INLA)
 def inla_grid(spark, sf_dir):
     """Yearly orders as Poisson counts of a latent level with unknown spread: the spread on a grid, the level by Laplace."""
     y = np.array([row[1] for row in table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).count().orderBy("y").collect()], dtype=float)  # one count a year
@@ -123,7 +141,7 @@ def inla_grid(spark, sf_dir):
         return lambda x: (float((y * x - np.exp(x)).sum()), y - np.exp(x), -np.diag(np.exp(x)))
 
     got = I.fit_inla({"sd": np.array([0.05, 0.1, 0.2, 0.4, 0.8])}, lambda at: -at["sd"], lambda at: (np.full(len(y), math.log(y.mean())), np.eye(len(y)) / at["sd"] ** 2), likelihood)
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(got["sd"], got["weight"], strict=True)], "sd double, weight double")
+    return spark.createDataFrame([(float(a), round(float(b), 6)) for a, b in zip(got["sd"], got["weight"], strict=True)], "sd double, weight double")
 
 
 @register(
@@ -167,20 +185,20 @@ def mvn_prior_moments(spark, sf_dir):
 
 @register(
     "bspline_basis",
-    """WITH v AS (SELECT DISTINCT p_size, (p_size - 1) / 49.0::DOUBLE AS x FROM part)
-    SELECT p_size, round((1 - x) ** 4, 6) AS b0, round(4 * x * (1 - x) ** 3, 6) AS b1, round(6 * x ** 2 * (1 - x) ** 2, 6) AS b2, round(4 * x ** 3 * (1 - x), 6) AS b3, round(x ** 4, 6) AS b4 FROM v""",
+    """WITH v AS (SELECT p_partkey, p_size, (p_size - 1) / 49.0::DOUBLE AS x FROM part)
+    SELECT p_partkey, p_size, round((1 - x) ** 4, 6) AS b0, round(4 * x * (1 - x) ** 3, 6) AS b1, round(6 * x ** 2 * (1 - x) ** 2, 6) AS b2, round(4 * x ** 3 * (1 - x), 6) AS b3, round(x ** 4, 6) AS b4 FROM v""",
 )
 def bspline_basis(spark, sf_dir):
     """Five functions of degree four on one interval, which are Bernstein polynomials."""
-    v = table(spark, sf_dir, "part").select("p_size", ((F.col("p_size") - 1) / 49).alias("x")).distinct()
-    return v.select("p_size", *[r(b).alias(f"b{i}") for i, b in enumerate(N.bspline_basis(F.col("x"), 5, 4))])
+    v = table(spark, sf_dir, "part").select("p_partkey", "p_size", ((F.col("p_size") - 1) / 49).alias("x"))
+    return v.select("p_partkey", "p_size", *[r(b).alias(f"b{i}") for i, b in enumerate(N.bspline_basis(F.col("x"), 5, 4))])
 
 
-@register("bspline_knots", "SELECT DISTINCT p_size, 1.0::DOUBLE AS total FROM part")
+@register("bspline_knots", "SELECT p_partkey, p_size, 1.0::DOUBLE AS total FROM part")
 def bspline_knots(spark, sf_dir):
-    v = table(spark, sf_dir, "part").select("p_size", ((F.col("p_size") - 1) / 49).alias("x")).distinct()
+    v = table(spark, sf_dir, "part").select("p_partkey", "p_size", ((F.col("p_size") - 1) / 49).alias("x"))
     basis = N.bspline_basis(F.col("x"), 9, 3)
-    return v.select("p_size", r(sum(basis[1:], basis[0])).alias("total"))
+    return v.select("p_partkey", "p_size", r(sum(basis[1:], basis[0])).alias("total"))
 
 
 @register("standard_scale", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 6) AS z FROM customer")
@@ -236,10 +254,10 @@ def model_recover(spark, sf_dir):
     return M.recover(M.marginalize(_MIX, ["z"]), rows, draws, "z", "p_partkey")
 
 
-@register("minibatch_sizes")
+@register("minibatch_sizes", "SELECT b::BIGINT AS batch, 256::BIGINT AS n FROM range((SELECT count(*) // 256 FROM lineitem)) t(b)")
 def minibatch_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount")
-    return loader.batches(rows, 256, seed=1, epoch=1).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"))
+    return loader.batches(rows, 256, seed=1, epoch=1).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("mask_missing", "SELECT event_id, CASE WHEN value < 400 THEN value END AS value FROM events")
@@ -260,7 +278,16 @@ def partial_order(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[r(c).alias(n) for c, n in zip(made, "abcd", strict=True)])
 
 
-@register("linear_cg")
+# One regressor after another, what the ones before explain taken out; then the coefficients backwards.
+_LEAST_SQUARES = """WITH v AS (SELECT l_quantity / 50::DOUBLE AS q, l_discount * 10 AS d, l_tax * 10 AS t, l_extendedprice / 1e5::DOUBLE AS y FROM lineitem),
+    m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(t) AS mt, avg(y) AS my, var_pop(q) AS qq, covar_pop(q, d) AS qd, covar_pop(q, t) AS qt, covar_pop(q, y) AS qy,
+      var_pop(d) AS dd, covar_pop(d, t) AS dt, covar_pop(d, y) AS dy, var_pop(t) AS tt, covar_pop(t, y) AS ty FROM v),
+    e AS (SELECT *, dd - qd * qd / qq AS dd1, dt - qd * qt / qq AS dt1, dy - qd * qy / qq AS dy1, tt - qt * qt / qq AS tt1, ty - qt * qy / qq AS ty1 FROM m),
+    c AS (SELECT *, (ty1 - dt1 * dy1 / dd1) / (tt1 - dt1 * dt1 / dd1) AS bt FROM e), c2 AS (SELECT *, (dy1 - dt1 * bt) / dd1 AS bd FROM c), c3 AS (SELECT *, (qy - qd * bd - qt * bt) / qq AS bq FROM c2)
+    SELECT term, round(value, 6) AS value FROM (SELECT unnest(['one', 'q', 'd', 't']) AS term, unnest([my - bq * mq - bd * md - bt * mt, bq, bd, bt]) AS value FROM c3)"""
+
+
+@register("linear_cg", _LEAST_SQUARES)
 def linear_cg(spark, sf_dir):
     """Least squares of price on quantity, discount and tax by conjugate gradients on the normal equations, each product one aggregate."""
     xs = ["one", "q", "d", "t"]
@@ -271,8 +298,8 @@ def linear_cg(spark, sf_dir):
         fit = sum((F.col(x) * float(w) for x, w in zip(xs[1:], v[1:], strict=True)), F.col("one") * float(v[0]))
         return np.array([float(s) for s in df.agg(*[F.avg(F.col(x) * fit) for x in xs]).head()])
 
-    got = N.linear_cg(times, b, tol=1e-9)
-    return spark.createDataFrame([(x, float(v)) for x, v in zip(xs, got, strict=True)], "term string, value double")
+    got = N.linear_cg(times, b, tol=1e-12)
+    return spark.createDataFrame([(x, round(float(v), 6)) for x, v in zip(xs, got, strict=True)], "term string, value double")
 
 
 @register("gp_projected")

@@ -172,10 +172,43 @@ def structural_components(spark, sf_dir):
     return S.per_series(monthly(spark, sf_dir), "series", ["m"], ["y"], kernel, "t int, trend double, season double")
 
 
-def _built(name: str, model: S.StateSpace):
-    @register(name)
+def _likelihood_sql(model: S.StateSpace, series: str, observed: list[str]) -> str:
+    """A filter over lists: each observation of a month updates the state by itself, which uncorrelated measurement errors allow."""
+    listed = lambda a: "[" + ", ".join(listed(x) if np.ndim(x) else repr(float(x)) for x in np.asarray(a)) + "]"
+    noise = np.diag(np.diag(model.H))
+    if not np.allclose(noise, model.H):
+        raise ValueError("measurement errors are correlated")
+    m = len(model.T)
+    each, other = f"FOR i IN range(1, {m + 1})", f"FOR k IN range(1, {m + 1})"
+    inner = "SELECT f.t, x, p, ll, c, e.* EXCLUDE (t) FROM f JOIN e ON e.t = f.t, k"
+    for j, name in enumerate(observed):
+        inner = f"SELECT *, c.z[{j + 1}] AS z FROM ({inner})"
+        inner = f"SELECT *, [list_dot_product(p[i], z) {each}] AS g FROM ({inner})"
+        inner = f"SELECT *, list_dot_product(g, z) + c.h[{j + 1}] AS s, {name} - list_dot_product(x, z) AS v FROM ({inner})"
+        inner = f"SELECT * EXCLUDE (x, p, ll, z, g, s, v), [x[i] + g[i] / s * v {each}] AS x, [[p[i][k] - g[i] * g[k] / s {other}] {each}] AS p, ll - 0.5::DOUBLE * (ln(2 * pi()) + ln(s) + v * v / s) AS ll FROM ({inner})"
+    inner = f"SELECT t, ll, c, [list_dot_product(c.t[i], x) {each}] AS x, [[list_dot_product(c.t[i], p[k]) {other}] {each}] AS w FROM ({inner})"
+    shocks = model.R @ model.Q @ model.R.T
+    return f"""WITH RECURSIVE k AS (SELECT {{'t': {listed(model.T)}::DOUBLE[][], 'v': {listed(shocks)}::DOUBLE[][], 'z': {listed(model.Z)}::DOUBLE[][], 'h': {listed(np.diag(noise))}::DOUBLE[]}} AS c),
+    e AS (SELECT row_number() OVER (ORDER BY m) AS t, * EXCLUDE (m) FROM ({series})),
+    f AS (SELECT 1::BIGINT AS t, {listed(model.x0)}::DOUBLE[] AS x, {listed(model.P0)}::DOUBLE[][] AS p, 0.0::DOUBLE AS ll
+      UNION ALL SELECT t + 1, x, [[list_dot_product(w[i], c.t[k]) + c.v[i][k] {other}] {each}], ll FROM ({inner}))
+    SELECT 'orders' AS series, round(ll, 3) AS loglike FROM f WHERE t = (SELECT count(*) + 1 FROM e)"""
+
+
+_MONTHLY = "SELECT date_trunc('month', o_orderdate) AS m, count(*)::DOUBLE AS y FROM orders GROUP BY 1"
+_PAIRS = "SELECT date_trunc('month', o_orderdate) AS m, (count(*) - 180) / 50::DOUBLE AS a, (avg(o_totalprice) - 250000) / 20000::DOUBLE AS b FROM orders GROUP BY 1"
+
+
+def pairs(spark, sf_dir) -> DataFrame:
+    """Monthly orders and their mean price, standardised."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(((F.count(F.lit(1)) - 180) / 50).alias("a"), ((F.avg("o_totalprice") - 250000) / 20000).alias("b"))
+    return rows.withColumn("series", F.lit("orders"))
+
+
+def _built(name: str, model: S.StateSpace, source=monthly, sql: str = _MONTHLY, observed: tuple[str, ...] = ("y",)):
+    @register(name, _likelihood_sql(model, sql, [*observed]))
     def q(spark, sf_dir):
-        return S.loglike(monthly(spark, sf_dir), model, "series", ["m"], ["y"])
+        return S.loglike(source(spark, sf_dir), model, "series", ["m"], [*observed]).select("series", r(F.col("loglike"), 3).alias("loglike"))
 
     return q
 
@@ -184,21 +217,8 @@ _built("sarimax_loglike", M.sarimax((1, 1, 1), ar=[0.4], ma=[0.3], seasonal_orde
 _built("ets_seasonal_loglike", M.ets(("A", "Ad", "A"), alpha=0.3, beta=0.1, gamma=0.2, phi=0.95, seasonal_periods=12, sigma=20.0))
 _built("cycle_loglike", (M.level_trend(1, [5.0]) + M.cycle(18.0, 2.0, damping=0.95) + M.measurement_error(20.0)).build())
 _built("frequency_season_loglike", (M.level_trend(1, [5.0]) + M.frequency_seasonality(12.0, 3, 1.0) + M.autoregressive([0.5], 3.0) + M.measurement_error(20.0)).build())
-
-
-@register("varmax_loglike")
-def varmax_loglike(spark, sf_dir):
-    """Monthly orders and their mean price, standardised, as a vector autoregression."""
-    model = M.varmax([np.array([[0.5, 0.1], [0.0, 0.3]])], cov=np.array([[1.0, 0.2], [0.2, 1.0]]))
-    rows = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(((F.count(F.lit(1)) - 180) / 50).alias("a"), ((F.avg("o_totalprice") - 250000) / 20000).alias("b"))
-    return S.loglike(rows.withColumn("series", F.lit("orders")), model, "series", ["m"], ["a", "b"])
-
-
-@register("dynamic_factor_loglike")
-def dynamic_factor_loglike(spark, sf_dir):
-    model = M.dynamic_factor(np.array([[1.0], [0.5]]), [np.array([[0.7]])])
-    rows = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(((F.count(F.lit(1)) - 180) / 50).alias("a"), ((F.avg("o_totalprice") - 250000) / 20000).alias("b"))
-    return S.loglike(rows.withColumn("series", F.lit("orders")), model, "series", ["m"], ["a", "b"])
+_built("varmax_loglike", M.varmax([np.array([[0.5, 0.1], [0.0, 0.3]])], cov=np.array([[1.0, 0.2], [0.2, 1.0]])), pairs, _PAIRS, ("a", "b"))
+_built("dynamic_factor_loglike", M.dynamic_factor(np.array([[1.0], [0.5]]), [np.array([[0.7]])]), pairs, _PAIRS, ("a", "b"))
 
 
 @register("statespace_simulate")

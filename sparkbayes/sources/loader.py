@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,8 +47,13 @@ def check_columns(schema: T.StructType, columns: list[str]) -> None:
 
 def placed(df: DataFrame) -> DataFrame:
     """``df`` with ``_id``, a row's partition and place; written once, as rows and their totals must be read from the same places."""
-    there = df.withColumn("_id", F.monotonically_increasing_id())
-    return there.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else there.localCheckpoint()
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="sparkbayes-"))
+    return df.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
 
 
 def dealt(rows: DataFrame, batch_size: int, *, seed: int = 0, epoch: int = 0, buckets: int | None = None) -> DataFrame:
