@@ -394,12 +394,33 @@ def pareto_smoothed(logw: np.ndarray) -> tuple[np.ndarray, float]:
     return out, k
 
 
+def smoothed_tail(rows: DataFrame, n: int) -> dict[int, float]:
+    """Smoothed log weights by key of the largest of ``n`` rows (_key, _w): a few times the root of n numbers come to the driver."""
+    size = min(int(0.2 * n), int(3 * math.sqrt(n)))
+    top = [(r[0], r[1]) for r in rows.select("_w", "_key").orderBy(F.desc("_w"), "_key").limit(size + 1).collect()] if size >= 5 else []
+    if len(top) < size + 1 or size < 5:
+        return {}
+    most, cut = top[0][0], math.exp(top[-1][0] - top[0][0])
+    over = np.exp(np.array([w - most for w, _ in top[:-1]][::-1])) - cut
+    if over[-1] - over[0] < 1e-12 or over[0] <= 0:
+        return {}
+    k, sigma = fit_pareto(over)
+    p = (np.arange(size) + 0.5) / size
+    new = sigma * np.expm1(-k * np.log1p(-p)) / k if abs(k) > 1e-12 else -sigma * np.log1p(-p)
+    smooth = np.minimum(np.log(new + cut), 0) + most
+    by: dict[int, list[float]] = {}
+    for (_, key), w in zip(reversed(top[:-1]), smooth.tolist(), strict=True):
+        by.setdefault(key, []).append(w)
+    return {key: float(np.mean(w)) for key, w in by.items()}
+
+
 def importance_sampling(samples: DataFrame, n: int, *, method: str | None = "psis", logp: str = "logp", logq: str = "logq", seed: int = 0) -> DataFrame:
     """``n`` of the rows by their weights exp(logp - logq), with a ``draw`` number.
 
     psis: smoothed weights, without replacement; psir: smoothed, with replacement; identity: raw weights with
     replacement; None: all rows as they are. Without replacement is the n largest of log weight plus a Gumbel
-    variable; with replacement meets evenly drawn numbers with the cumulative weights in a range join.
+    variable; with replacement meets n evenly drawn numbers with the cumulative weights, block by block. Only the
+    weights of the Pareto tail come to the driver.
     """
     if method is None:
         return samples.withColumn("draw", F.monotonically_increasing_id())
@@ -408,37 +429,46 @@ def importance_sampling(samples: DataFrame, n: int, *, method: str | None = "psi
     raw = F.col(logp) - F.col(logq)
     rows = samples.withColumn("_w", F.when(F.abs(raw) < float("inf"), raw).otherwise(F.lit(float("-inf")))).where(F.col("_w") > float("-inf"))
     rows = rows.where(~F.isnan("_w")).withColumn("_key", F.xxhash64(*samples.columns))
-    # The draws' weights alone: as many numbers as paths times draws per path, both parameters.
-    weights = rows.select("_key", "_w").toPandas().sort_values(["_key", "_w"], ignore_index=True)
-    if weights.empty:
+    size, most = rows.agg(F.count(F.lit(1)), F.max("_w")).head()
+    if not size:
         raise ValueError("no draw has a finite weight")
-    smooth = weights["_w"].to_numpy() if method == "identity" else pareto_smoothed(weights["_w"].to_numpy())[0]
     spark = samples.sparkSession
-    rng = np.random.default_rng(seed)
-    p = np.exp(smooth - smooth.max())
-    p /= p.sum()
-    replace = method != "psis" or (p > 0).sum() < n
-    picked = rng.choice(len(p), size=n, replace=replace, p=p)
-    keys = spark.createDataFrame([(int(i), int(weights["_key"][j])) for i, j in enumerate(picked)], "draw long, _key long")
-    unique = rows.dropDuplicates(["_key"]).drop("_w")
-    return keys.join(unique, "_key").drop("_key")
+    tail = smoothed_tail(rows, size) if method != "identity" else {}
+    if tail:
+        new = spark.createDataFrame([*tail.items()], "_key long, _new double")
+        rows = rows.join(new, "_key", "left").withColumn("_w", F.coalesce("_new", "_w")).drop("_new")
+    if method == "psis" and size >= n:
+        u = (F.pmod(F.xxhash64("_key", F.monotonically_increasing_id(), F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
+        best = rows.withColumn("_g", F.col("_w") - F.log(-F.log(u))).orderBy(F.desc("_g")).limit(n)
+        return best.withColumn("draw", F.monotonically_increasing_id()).drop("_g", "_w", "_key")
+    placed = cumulated(rows.withColumn("_w", F.exp(F.col("_w") - float(most))), "_key", size)
+    ends = [(r[0], r[1], r[2]) for r in placed.groupBy("_b").agg(F.min("_lo"), F.max("_hi")).collect()]  # a row a block
+    drawn = np.sort(np.random.default_rng(seed).uniform(0, max(e[2] for e in ends), n))
+    ends = sorted(ends, key=lambda e: (e[2], e[1]))
+    block = np.searchsorted([e[2] for e in ends], drawn, side="left").clip(0, len(ends) - 1)
+    draws = spark.createDataFrame([(i, int(ends[j][0]), float(x)) for i, (j, x) in enumerate(zip(block, drawn.tolist(), strict=True))], "draw long, _b long, _x double")
+    return draws.join(placed, "_b").where((F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).drop("_b", "_x", "_lo", "_hi", "_w", "_key")
+
+
+def cumulated(rows: DataFrame, key: str, size: int, per_block: int = 100_000) -> DataFrame:
+    """``rows`` with _lo and _hi, the running sum of _w before and behind each one, in an order by blocks of a hash: totals of the blocks first, then inside each block."""
+    blocks = max(64, size // per_block)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long"))
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
+    ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_a"))  # over one row a block
+    inside = rows.withColumn("_c", F.sum("_w").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+    at = inside.join(ahead, "_b")
+    return at.withColumn("_hi", F.col("_a") + F.col("_c")).withColumn("_lo", F.col("_hi") - F.col("_w")).drop("_a", "_c")
 
 
 def weighted_resample(df: DataFrame, key: str, logw: str, n: int, *, seed: int = 0) -> DataFrame:
-    """Systematic resampling inside Spark: (key, copies) by cumulative weights; for tables of particles too large for the driver.
-
-    The running sum is taken over blocks of a hash of the key: totals of the blocks first, then inside each block.
-    """
-    top = df.agg(F.max(logw)).head()[0]
-    rows = df.select(key, F.exp(F.col(logw) - F.lit(float(top))).alias("_w")).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(64)))
-    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
-    ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_a"), F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_t"))
-    inside = rows.withColumn("_c", F.sum("_w").over(Window.partitionBy("_b").orderBy(key)))
-    at = inside.join(F.broadcast(ahead), "_b")  # 64 rows
+    """Systematic resampling inside Spark: (key, copies) by cumulative weights; for tables of particles too large for the driver."""
+    size, top = df.agg(F.count(F.lit(1)), F.max(logw)).head()
+    rows = df.select(key, F.exp(F.col(logw) - F.lit(float(top or 0.0))).alias("_w"))
+    total = rows.agg(F.sum("_w")).head()[0] or 1.0
     u = float(np.random.default_rng(seed).uniform())
-    hi, lo = (F.col("_a") + F.col("_c")) / F.col("_t"), (F.col("_a") + F.col("_c") - F.col("_w")) / F.col("_t")
-    copies = F.ceil(hi * n - u) - F.ceil(lo * n - u)
-    return at.select(key, copies.cast("long").alias("copies"))
+    copies = F.ceil(F.col("_hi") / total * n - u) - F.ceil(F.col("_lo") / total * n - u)
+    return cumulated(rows, key, size).select(key, copies.cast("long").alias("copies"))
 
 
 def effective_size(logw: str):

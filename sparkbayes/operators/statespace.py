@@ -148,6 +148,8 @@ def kalman(model: StateSpace, y: np.ndarray, kind: str = "standard", *, jitter:
         raise ValueError(f"filter {kind!r}, not one of {sorted(FILTERS)}")
     if kind == "convergent" and (model.time_varying or np.isnan(y).any()):
         raise ValueError("the convergent filter needs constant matrices and no missing values")
+    if m == p == 1 and not jitter and not model.time_varying:
+        return kalman_of_numbers(model, y[:, 0])  # one number each: all kinds are the same sums
     out = Filtered(*(np.empty(s) for s in ((n, m), (n, m, m), (n, m), (n, m, m), (n, p), (n, p, p), (n,))), np.empty(m), np.empty((m, m)))
     a, P = model.x0.copy(), model.P0.copy()
     root = kind == "cholesky"
@@ -182,6 +184,24 @@ def kalman(model: StateSpace, y: np.ndarray, kind: str = "standard", *, jitter:
     return out
 
 
+def kalman_of_numbers(model: StateSpace, y: np.ndarray) -> Filtered:
+    """The filter where state and observation are one number each."""
+    d, z, h, c, t, q = (float(np.ravel(x)[0]) for x in (model.d, model.Z, model.H, model.c, model.T, model.R @ model.Q @ model.R.T))
+    a, p, rows = float(model.x0[0]), float(model.P0[0, 0]), []
+    for v in y.tolist():
+        f = z * p * z + h
+        if v != v:
+            row = (a, p, a, p, d + z * a, f, 0.0)
+        else:
+            e, k = v - d - z * a, p * z / f
+            row = (a + k * e, (1 - k * z) ** 2 * p + k * k * h, a, p, d + z * a, f, -0.5 * (LN_2PI + math.log(f) + e * e / f))
+        rows.append(row)
+        a, p = c + t * row[0], t * row[1] * t + q
+    got = np.array(rows).reshape(len(y), 7)
+    cube = lambda j: got[:, j].reshape(-1, 1, 1)
+    return Filtered(got[:, 0:1], cube(1), got[:, 2:3], cube(3), got[:, 4:5], cube(5), got[:, 6], np.array([a]), np.array([[p]]))
+
+
 FILTERS: dict[str, Callable] = {"standard": update_joint, "univariate": update_univariate, "cholesky": update_root, "convergent": update_joint}
 
 
@@ -190,12 +210,30 @@ def psd_root(a: np.ndarray) -> np.ndarray:
     return v * np.sqrt(np.clip(w, 0, None))
 
 
+def gain(cov: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The solution of cov x = to; the least one where cov is singular."""
+    try:
+        out = np.linalg.solve(cov, to)
+        if np.isfinite(out).all() and np.abs(cov @ out - to).max(initial=0.0) <= 1e-9 * max(1.0, np.abs(to).max(initial=0.0)) and np.abs(out).max(initial=0.0) < 1e6:
+            return out
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.pinv(cov) @ to
+
+
 def smooth(model: StateSpace, f: Filtered) -> tuple[np.ndarray, np.ndarray]:
     """Rauch-Tung-Striebel: means and covariances given the whole series."""
     a, P = f.filtered.copy(), f.filtered_cov.copy()
+    if model.m == 1 and not model.time_varying:
+        t, rows = float(model.T[0, 0]), [*zip(f.filtered[:, 0].tolist(), f.filtered_cov[:, 0, 0].tolist(), f.predicted[:, 0].tolist(), f.predicted_cov[:, 0, 0].tolist(), strict=True)]
+        for i in range(len(rows) - 2, -1, -1):
+            (mean, var, _, _), (_, _, ahead, spread) = rows[i], rows[i + 1]
+            g = t * var / spread if spread > 0 else 0.0
+            a[i, 0], P[i, 0, 0] = mean + g * (a[i + 1, 0] - ahead), var + g * g * (P[i + 1, 0, 0] - spread)
+        return a, P
     for t in range(len(a) - 2, -1, -1):
         T, ahead = model.at("T", t), f.predicted_cov[t + 1]
-        G = (np.linalg.pinv(ahead) @ T @ f.filtered_cov[t]).T
+        G = gain(ahead, T @ f.filtered_cov[t]).T
         a[t] = f.filtered[t] + G @ (a[t + 1] - f.predicted[t + 1])
         P[t] = symmetric(f.filtered_cov[t] + G @ (P[t + 1] - ahead) @ G.T)
     return a, P

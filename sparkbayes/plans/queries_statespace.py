@@ -107,10 +107,13 @@ _TREND = f"""WITH RECURSIVE {_rows()}, f AS (
 
 @register("kalman_filter_kinds", " UNION ALL ".join(f"({_TREND.format(kind=k)})" for k in ("cholesky", "standard", "univariate")))
 def kalman_filter_kinds(spark, sf_dir):
-    """A local linear trend by three filters; one scan and one shuffle each."""
+    """A local linear trend by three filters, side by side on each series."""
+    import pandas as pd
+
     model = S.StateSpace(T=[[1.0, 1.0], [0.0, 1.0]], Z=[[1.0, 0.0]], R=np.eye(2), H=[[2000.0]], Q=np.diag([100.0, 1.0]), x0=[100.0, 0.0], P0=np.diag([10000.0, 100.0]))
-    made = [S.loglike(events(spark, sf_dir), model, "user_id", TIME, ["y"], kind=k).select("user_id", r(F.col("loglike"), 3).alias("loglike"), F.lit(k).alias("kind")) for k in ("cholesky", "standard", "univariate")]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    kinds = ["cholesky", "standard", "univariate"]
+    got = S.per_series(events(spark, sf_dir), "user_id", TIME, ["y"], lambda y: pd.DataFrame({"kind": kinds, "loglike": [S.kalman(model, y, k).loglike.sum() for k in kinds]}), "kind string, loglike double")
+    return got.select("user_id", r(F.col("loglike"), 3).alias("loglike"), "kind")
 
 
 @register("kalman_convergent", f"WITH RECURSIVE {_level()} SELECT user_id, round(max_by(ll, t), 3) AS loglike FROM f GROUP BY user_id")
