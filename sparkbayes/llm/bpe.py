@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held, ready, slices, tokenizer_path
+from .common import Memo, at_end, held, ready, slices, tokenizer_path
 
 
 def byte_chars() -> list[str]:
@@ -153,7 +153,7 @@ def encode_decode(df: DataFrame, text: str = "text", *, path: str | None = None)
     from pyspark.sql import types as T
 
     result = T.StructType([*fields, T.StructField("ids_text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
-    return plain.mapInArrow(run, result)
+    return plain.mapInArrow(at_end(run), result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ready, slices
+from .common import at_end, held, ready, slices
 
 NAME = re.compile(r"[A-Za-z][^\s/><]*")
 STOP = re.compile(r"[>\"']|<(?=[A-Za-z/!])")
@@ -476,7 +476,7 @@ def train(pages: DataFrame, column: str = "html", *, sample: int = 300, smooth:
                     yield pa.RecordBatch.from_arrays([pa.array([[r[k] for r in rows]], pa.list_(t)) for k, t in enumerate(kinds)], names=["what", "tokens", "outside", "inside"])
 
     chosen = pages.where(F.col(column).isNotNull() & (F.xxhash64(column) <= some)).groupBy(F.xxhash64(column)).agg(F.first(column).alias(column)).select(column)
-    got = chosen.mapInArrow(run, "what array<string>, tokens array<array<string>>, outside array<long>, inside array<long>").collect()
+    got = chosen.mapInArrow(at_end(run), "what array<string>, tokens array<array<string>>, outside array<long>, inside array<long>").collect()
     if not got:
         return Weights(tokens=dict(prior))
     on_pages = Counter(t for r in got for t in {t for k, ts in zip(r.what, r.tokens, strict=True) if k == "words" for t in ts})
@@ -518,7 +518,7 @@ def main_text(pages: DataFrame, weights: Weights, column: str = "html", to: str
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], pa.array(got, pa.string())], names=[*pass_on, to])
 
     fields = [f for f in plain.schema if f.name != column]
-    return plain.mapInArrow(run, T.StructType([*fields, T.StructField(to, T.StringType())]))
+    return plain.mapInArrow(at_end(run), T.StructType([*fields, T.StructField(to, T.StringType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

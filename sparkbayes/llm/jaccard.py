@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_blocks, discard, ready, slices, stored
+from .common import at_end, cut_blocks, discard, ready, slices, stored
 from .common import held as keep
 
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -113,7 +113,7 @@ def counts(docs: DataFrame, width: int, bucket_bits: int, frequent: int) -> Data
         if held:
             yield emit(held)
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("text").mapInArrow(at_end(run), "bucket int, blob binary")
 
 
 def levels_of(frequent: int) -> list[int]:
@@ -147,7 +147,7 @@ def bit_maps(counted: DataFrame, bits: int, bucket_bits: int, frequent: int) ->
 
     maps = [bytearray((1 << w) // 8) for w in wide]
     grouped = counted.groupBy("bucket").agg(F.collect_list("blob").alias("blobs"))
-    for row in grouped.mapInArrow(run, "bucket int, maps array<binary>").collect():
+    for row in grouped.mapInArrow(at_end(run), "bucket int, maps array<binary>").collect():
         for to, packed in zip(maps, row[1], strict=True):
             if packed:
                 raw = zlib.decompress(packed)
@@ -226,8 +226,10 @@ def indexed(docs: DataFrame, maps, width: int, k: int, percent: int, long: int)
                         owns.append(None)
                 lists = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.binary()), pa.array(ns, pa.int64()), pa.array(keys, lists), pa.array(most, lists), pa.array(toks, lists), pa.array(owns, pa.int64())], names=["doc_id", "sid", "n", "keys", "most", "tokens", "own"])
+        bit_maps_.clear()
+        del maps._value  # a worker keeps what it has read of a broadcast; the next task reads it again
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, n long, keys array<long>, most array<long>, tokens array<long>, own long")
+    return docs.select("doc_id", "text").mapInArrow(at_end(run), "doc_id long, sid binary, n long, keys array<long>, most array<long>, tokens array<long>, own long")
 
 
 def components(edges: DataFrame) -> DataFrame:

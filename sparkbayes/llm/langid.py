@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ready, slices
+from .common import at_end, held, ready, slices
 
 MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 WINDOW = 1 << 18  # code points read at a time
@@ -133,7 +133,7 @@ def features(docs: DataFrame, text: str, lang: str, most: int, bits: int) -> Dat
                 lists = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([g[0].astype(np.int32) for g in got], lists), pa.array([g[1].astype(np.int32) for g in got], lists)], names=["lang", "places", "counts"])
 
-    return docs.select(text, lang).mapInArrow(run, "lang string, places array<int>, counts array<int>")
+    return docs.select(text, lang).mapInArrow(at_end(run), "lang string, places array<int>, counts array<int>")
 
 
 def sampled(docs: DataFrame, text: str, lang: str, sample: int) -> DataFrame:
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", *, keep_te
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*pass_on, "lang_pred", "score"])
 
     fields = [plain.schema[c] for c in pass_on]
-    return plain.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return plain.mapInArrow(at_end(run), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordBPE, byte_chars
-from .common import Memo, cut_blocks, held, ready, slices, stored, tokenizer_path
+from .common import Memo, at_end, cut_blocks, held, ready, slices, stored, tokenizer_path
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -157,7 +157,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(upto - sizes), pa.array(sizes), rows.column(0), binaries(ids, sizes)], names=["part", "local_start", "n", "doc_id", "ids"])
                 at = int(upto[-1])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, local_start long, n long, doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(at_end(run), "part int, local_start long, n long, doc_id long, ids binary")
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = 2048, end_id: int = 1) -> DataFrame:
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
 
     short = total % length
     last = short if short & (short - 1) == 0 else length  # a length that is a power of two stands unpadded
-    pieces = ids.mapInArrow(cut, PIECE)
+    pieces = ids.mapInArrow(at_end(cut), PIECE)
     return pieces.withColumn("padded_length", F.when(F.col("sequence_id") == total // length, F.lit(last)).otherwise(F.lit(length)).cast("long"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, ready, slices
+from .common import at_end, held, ready, slices
 
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, text: str = "text", *, keep_text: bool = False) ->
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], *(pa.array(x, pa.int64()) for x in zip(*got, strict=True))], names=[*pass_on, *COUNTS])
 
     fields = [plain.schema[c] for c in pass_on]
-    return plain.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return plain.mapInArrow(at_end(run), T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 #: Ratios by which the learned rules judge: name, above, below.

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Merges, byte_chars
-from .common import Memo, held, ready, slices, tokenizer_path
+from .common import Memo, at_end, held, ready, slices, tokenizer_path
 
 CHUNK = 256  # bytes
 WINDOW = 1 << 20  # characters
@@ -307,7 +307,7 @@ def count_tokens(df: DataFrame, text: str = "text", *, path: str | None = None)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in pass_on], *out], names=[*pass_on, "n_bytes", "n_tokens"])
 
     fields = [f for f in plain.schema if f.name != text]
-    return plain.mapInArrow(run, T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    return plain.mapInArrow(at_end(run), T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
