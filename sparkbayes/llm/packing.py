@@ -39,7 +39,7 @@ class Encoder:
     The last token of each pre-token, and no other, ends in the word-end suffix, which gives the blocks' bounds back.
     """
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 256 << 20):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -151,7 +151,7 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, 8 << 20, 20_000):
                 ids, sizes = coder.encode(rows.column(1), end_id)
                 upto = at + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(upto - sizes), pa.array(sizes), rows.column(0), binaries(ids, sizes)], names=["part", "local_start", "n", "doc_id", "ids"])
