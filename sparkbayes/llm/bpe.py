@@ -79,7 +79,7 @@ class WordBPE:
     # What the tokenizer file sets as its pre-tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 192 << 20):
         import regex
 
         self.merges = Merges(path)
