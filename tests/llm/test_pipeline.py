@@ -5,6 +5,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from sparkbayes.llm.common import stored  # noqa: E402
 
 from .test_pairs import brute  # noqa: E402
@@ -44,3 +46,18 @@ def test_empty(spark, sf_dir, docs):
     for _, stage in corpus_pipeline.STAGES:
         none_after = stage(spark, none, sf_dir)
         assert none_after.count() == 0
+
+
+def test_clashing_names_repeated_ids_and_odd_texts(spark, sf_dir, docs):
+    """Columns named like results come through; different texts of one id both stay, equal ones and near copies don't; rows without an id give way."""
+    texts = [" ".join(f"word{k}{i}" for i in range(60)) for k in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[0] + " more"), (None, texts[0]), (None, texts[2]), (9, None), (9, ""), (9, "  ")]
+    df = spark.createDataFrame([(d, t, "k", 7, i, "r") for i, (d, t) in enumerate(rows)], "doc_id long, text string, kept string, score int, n_words int, _row string")
+    got = corpus_pipeline.near_duplicates(spark, df, sf_dir)
+    assert got.columns == df.columns and all((r["kept"], r["score"], r["_row"]) == ("k", 7, "r") for r in got.collect())
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.where("text LIKE 'word%'").collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2])])
+    good = corpus_pipeline.good_quality(spark, df, sf_dir)
+    assert good.columns == df.columns and good.where("doc_id = 9").count() == 0 and {r["kept"] for r in good.collect()} <= {"k"}
+    long = docs.where("lang = 'en'").limit(1).withColumn("text", F.concat_ws(" ", F.array_repeat("text", 300))).withColumn("lang_pred", F.lit("x")).unionByName(docs.limit(150).withColumn("lang_pred", F.lit("x")))
+    told = corpus_pipeline.known_language(spark, long, sf_dir)
+    assert told.columns == long.columns and {r["lang_pred"] for r in told.select("lang_pred").distinct().collect()} == {"x"} and told.where("length(text) > 30000").count() >= 1
