@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +82,54 @@ def batches(df: DataFrame, batch_size: int, *, seed: int = 0, epoch: int = 0, bu
     return dealt(placed(df), batch_size, seed=seed, epoch=epoch, buckets=buckets)
 
 
+def source_blocks(df: DataFrame) -> Iterator[np.ndarray]:
+    """A source's rows as arrays (rows x columns, null as NaN), block after block as its tasks read them: a Parquet file's row groups, or parts of them.
+
+    Blocks come to the driver as whole Arrow messages, a partition at a time, the next one fetched ahead.
+    """
+    check_columns(df.schema, df.columns)
+
+    def packed(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            if block.num_rows:
+                to = pa.BufferOutputStream()
+                with pa.ipc.new_stream(to, block.schema) as out:
+                    out.write_batch(block)
+                yield pa.RecordBatch.from_arrays([pa.array([to.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
+    for row in plain.mapInArrow(packed, "block binary").toLocalIterator(prefetchPartitions=True):
+        table = pa.ipc.open_stream(bytes(row[0])).read_all()
+        yield np.column_stack([column.to_numpy() for column in table.columns])
+
+
+def memory_source(spark: SparkSession, data, columns: list[str] | None = None) -> DataFrame:
+    """A table of what the driver holds: an array (rows x columns), a list of arrays, a function that gives an iterator of arrays, or such an iterator.
+
+    An iterator can be read once: handing it over a second time is an error. Rows of no column names are x0, x1 ...
+    """
+    if callable(data):
+        data = data()
+    if isinstance(data, Iterator):
+        blocks = [*data]
+        if not blocks:
+            raise RuntimeError("the iterator gives no block; one that has been read before can't be read again")
+    else:
+        blocks = [data] if isinstance(data, np.ndarray) else [*data]
+    blocks = [np.asarray(b, dtype=float) for b in blocks]
+    blocks = [b[:, None] if b.ndim == 1 else b for b in blocks]
+    widths = {b.shape[1] for b in blocks}
+    if len(widths) != 1 or any(b.ndim != 2 for b in blocks):
+        raise ValueError("blocks are rows of the same columns")
+    columns = columns or [f"x{i}" for i in range(widths.pop())]
+    return spark.createDataFrame(pa.concat_tables([pa.table([pa.array(b[:, i]) for i in range(len(columns))], names=columns) for b in blocks]))
+
+
 @dataclass
 class DataLoader:
     """Batches as arrays (rows x columns), epoch after epoch; re-iterable.
 
+    Without shuffling, the source's blocks pass in their order, cut to batch_size at most; no row is left out.
     total_size: "auto" counts the rows; a number is taken as given; None warns, as a likelihood scaled by it is biased.
     """
 
@@ -114,20 +160,9 @@ class DataLoader:
     def __iter__(self) -> Iterator[np.ndarray]:
         self.epoch += 1
         if not self.shuffle:
-            size = self.batch_size
-
-            def blocks(parts):
-                for p in parts:
-                    for lo in range(0, len(p), size):
-                        yield p.iloc[lo : lo + size]
-
-            rows = self.df.mapInPandas(blocks, self.df.schema)
-            held: list = []
-            for row in rows.toLocalIterator(prefetchPartitions=True):
-                held.append([float(x) if x is not None else math.nan for x in row])
-                if len(held) == size:
-                    yield np.array(held)
-                    held = []
+            for block in source_blocks(self.df):
+                for lo in range(0, len(block), self.batch_size):
+                    yield block[lo : lo + self.batch_size]
             return
         self._rows = self._rows or placed(self.df)
         shuffled = dealt(self._rows, self.batch_size, seed=self.seed, epoch=self.epoch)

@@ -223,3 +223,21 @@ def test_every_query_equals_its_sql(spark, sf_dir):
         assert len(mine) == len(want), name
         for a, b in zip(sorted(mine, key=key), sorted(want, key=key), strict=True):
             assert all(x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-3) for x, y in zip(a, b, strict=True)), (name, a, b)
+
+
+def test_sources_in_memory_and_blocks_as_they_are(spark, tmp_path):
+    x = np.arange(24.0).reshape(12, 2)
+    assert loader.memory_source(spark, x).columns == ["x0", "x1"] and loader.memory_source(spark, lambda: iter([x, x]), ["a", "b"]).count() == 24
+    once = iter([x, x[:3]])
+    assert loader.memory_source(spark, once).count() == 15
+    with pytest.raises(RuntimeError):
+        loader.memory_source(spark, once)
+    with pytest.raises(ValueError):
+        loader.memory_source(spark, [x, x[:, :1]])
+    df = spark.range(0, 1000, 1, 3).select(F.col("id").alias("a"), F.when(F.col("id") > 3, F.col("id") % 7).alias("b"))
+    df.write.parquet(str(tmp_path / "t"))
+    blocks = [*loader.source_blocks(loader.parquet_source(spark, str(tmp_path / "t")))]
+    whole = np.concatenate(blocks)
+    assert sorted(whole[:, 0]) == list(range(1000)) and np.isnan(whole[whole[:, 0] <= 3, 1]).all() and sum(len(b) for b in loader.DataLoader(df, 64)) == 1000
+    with pytest.raises(ValueError):
+        next(loader.source_blocks(df.select(F.lit("s").alias("s"))))
