@@ -411,6 +411,75 @@ def posterior_outputs(df: DataFrame, draws: DataFrame, build: Callable[[dict], S
     return pairs.mapInPandas(run, f"{series} {kind_of(df, series)}, draw long, output string, t int, state array<double>, observed array<double>")
 
 
+def sample_matrices(draws: DataFrame, build: Callable[[dict], StateSpace], names: tuple[str, ...] = ("x0", "P0", "c", "d", "T", "Z", "R", "H", "Q")) -> DataFrame:
+    """(draw, matrix, shape, entries): the matrices of the model that ``build`` makes of each row of parameters, entries row by row."""
+    unknown = [k for k in names if k not in MATRICES and k not in ("x0", "P0")]
+    if unknown:
+        raise ValueError(f"{unknown} are no matrices of a model")
+    params = [c for c in draws.columns if c != "draw"]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(len(b)):
+                model = build({k: float(b[k].iloc[i]) for k in params})
+                out += [(int(b["draw"].iloc[i]), k, list(getattr(model, k).shape), getattr(model, k).ravel().tolist()) for k in names]
+            yield pd.DataFrame(out, columns=["draw", "matrix", "shape", "entries"])
+
+    return draws.mapInPandas(run, "draw long, matrix string, shape array<int>, entries array<double>")
+
+
+def sample_filter_outputs(df: DataFrame, draws: DataFrame, build: Callable[[dict], StateSpace], series: str, time: list[str], observed: list[str], *, smoothed: bool = True) -> DataFrame:
+    """(series, draw, t, output, mean, cov): what filter and smoother say under each row of parameters, without drawing states."""
+    params = [c for c in draws.columns if c != "draw"]
+    rows = F.sort_array(F.collect_list(F.struct(*[F.col(t) for t in time], F.array(*[F.col(o).cast("double") for o in observed]).alias("_y"))))
+    whole = df.groupBy(series).agg(rows.alias("_r")).select(series, F.transform("_r", lambda x: x["_y"]).alias("ys"))
+    # Each series meets every draw, as asked for.
+    pairs = whole.crossJoin(draws).repartition(F.col(series), F.col("draw"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                model = build({k: float(b[k].iloc[i]) for k in params})
+                f = kalman(model, np.array([np.asarray(v, dtype=float) for v in b["ys"].iloc[i]]))
+                made = {"filtered": (f.filtered, f.filtered_cov), "predicted": (f.predicted, f.predicted_cov), "observed": (f.observed, f.observed_cov)}
+                if smoothed:
+                    made["smoothed"] = smooth(model, f)
+                out = [(b[series].iloc[i], int(b["draw"].iloc[i]), t, k, a.tolist(), P.ravel().tolist()) for k, (means, covs) in made.items() for t, (a, P) in enumerate(zip(means, covs, strict=True))]
+                yield pd.DataFrame(out, columns=[series, "draw", "t", "output", "mean", "cov"])
+
+    return pairs.mapInPandas(run, f"{series} {kind_of(df, series)}, draw long, t int, output string, mean array<double>, cov array<double>")
+
+
+def sequence_mvn_logp(means: np.ndarray, covs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log density of each time's values under its own normal; missing values are left out, a time without any says nothing."""
+    out = np.zeros(len(y))
+    for t, (m, S, v) in enumerate(zip(means, covs, np.asarray(y, dtype=float).reshape(len(means), -1), strict=True)):
+        there = ~np.isnan(v)
+        if there.any():
+            e, part = v[there] - m[there], S[np.ix_(there, there)]
+            out[t] = -0.5 * (there.sum() * LN_2PI + np.linalg.slogdet(part)[1] + e @ gain(part, e))
+    return out
+
+
+def sequence_mvn_draws(means: np.ndarray, covs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A draw of each time's values from its own normal, by the symmetric root, so singular covariances are fine."""
+    return np.array([m + psd_root(S) @ rng.standard_normal(len(m)) for m, S in zip(means, covs, strict=True)])
+
+
+def model_tables(spark, model: StateSpace) -> dict[str, DataFrame]:
+    """A model described by tables: ``matrices`` (matrix, shape, time_varying, free entries), ``coords`` (dimension, place, label) and ``info`` (what, value)."""
+    axes = {"x0": 1, "P0": 2} | AXES
+    matrices = [(k, list(v.shape), v.ndim > axes[k], int(np.count_nonzero(v))) for k in ("x0", "P0", "c", "d", "T", "Z", "R", "H", "Q") for v in [np.asarray(getattr(model, k))]]
+    coords = [(name, i, label) for name, labels in (("state", model.states), ("observed", model.observed), ("shock", model.shocks)) for i, label in enumerate(labels)]
+    info = [("name", model.name), ("states", str(model.m)), ("observed", str(model.p)), ("shocks", str(model.R.shape[-1])), ("time_varying", str(model.time_varying).lower())]
+    return {
+        "matrices": spark.createDataFrame(matrices, "matrix string, shape array<int>, time_varying boolean, entries int"),
+        "coords": spark.createDataFrame(coords, "dimension string, place int, label string"),
+        "info": spark.createDataFrame(info, "what string, value string"),
+    }
+
+
 def simulate_table(spark, model: StateSpace, draws: int, steps: int, *, seed: int = 0) -> DataFrame:
     """(draw, t, state, observed): unconditional draws, one generator for each."""
 

@@ -176,3 +176,39 @@ def test_posterior_outputs(spark):
     f = S.kalman(build({"h": 1.0}), np.arange(6.0) + 1)
     assert abs(mean[1, "filtered", 3] - f.filtered[3, 0]) < 0.2 and abs(mean[1, "forecast", 7] - f.filtered[-1, 0]) < 0.35
     assert abs(mean[1, "smoothed", 3] - S.smooth(build({"h": 1.0}), f)[0][3, 0]) < 0.2 and got.count() == 2 * 300 * (3 * 6 + 2)
+
+
+def test_tables_of_matrices_outputs_and_models(spark):
+    from pyspark.sql import functions as F
+
+    build = lambda p: S.StateSpace(T=[[p["phi"]]], Z=[[1.0]], R=[[1.0]], H=[[p["h"]]], Q=[[1.0]], x0=[0.0], P0=[[2.0]])
+    draws = spark.createDataFrame([(0, 0.5, 1.0), (1, 0.9, 2.0)], "draw long, phi double, h double")
+    got = {(r["draw"], r["matrix"]): (r["shape"], r["entries"]) for r in S.sample_matrices(draws, build, ("T", "H")).collect()}
+    assert got == {(0, "T"): ([1, 1], [0.5]), (0, "H"): ([1, 1], [1.0]), (1, "T"): ([1, 1], [0.9]), (1, "H"): ([1, 1], [2.0])}
+    with pytest.raises(ValueError):
+        S.sample_matrices(draws, build, ("nothing",))
+    y = [1.0, None, -0.5, 2.0]
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate(y)], "s string, t int, y double")
+    out = S.sample_filter_outputs(df, draws, build, "s", ["t"], ["y"])
+    ys = np.array([np.nan if v is None else v for v in y])
+    for draw, phi, h in ((0, 0.5, 1.0), (1, 0.9, 2.0)):
+        model = build({"phi": phi, "h": h})
+        f = S.kalman(model, ys)
+        rows = out.where((F.col("draw") == draw) & (F.col("output") == "smoothed")).orderBy("t").collect()
+        assert np.allclose([r["mean"][0] for r in rows], S.smooth(model, f)[0][:, 0])
+        # One-step predictions of the observations, each a normal of its own, give the filter's likelihood.
+        assert np.allclose(S.sequence_mvn_logp(f.observed, f.observed_cov, ys), f.loglike)
+    assert S.sequence_mvn_draws(np.zeros((5, 2)), np.zeros((5, 2, 2)), np.random.default_rng(0)).tolist() == [[0.0, 0.0]] * 5
+    tables = S.model_tables(spark, build({"phi": 0.5, "h": 1.0}))
+    assert tables["matrices"].count() == 9 and {r["label"] for r in tables["coords"].collect()} == {"state_0", "y_0", "shock_0"} and tables["info"].where("what = 'states'").head()["value"] == "1"
+
+
+def test_one_number_filters_equal_the_matrix_ones():
+    rng = np.random.default_rng(3)
+    y = np.where(rng.random(40) < 0.2, np.nan, rng.normal(size=40))
+    small = S.StateSpace(T=[[0.7]], Z=[[1.5]], R=[[1.0]], H=[[0.4]], Q=[[0.6]], x0=[0.3], P0=[[2.0]], c=[0.1], d=[0.2])
+    wide = S.StateSpace(T=[[0.7, 0.0], [0.0, 0.5]], Z=[[1.5, 0.0]], R=[[1.0], [0.0]], H=[[0.4]], Q=[[0.6]], x0=[0.3, 0.0], P0=np.diag([2.0, 1.0]), c=[0.1, 0.0], d=[0.2])
+    a, b = S.kalman(small, y), S.kalman(wide, y)
+    assert np.allclose(a.loglike, b.loglike) and np.allclose(a.filtered[:, 0], b.filtered[:, 0]) and np.allclose(a.filtered_cov[:, 0, 0], b.filtered_cov[:, 0, 0])
+    (m, v), (m2, v2) = S.smooth(small, a), S.smooth(wide, b)
+    assert np.allclose(m[:, 0], m2[:, 0]) and np.allclose(v[:, 0, 0], v2[:, 0, 0])
