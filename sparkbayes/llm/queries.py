@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_extract, jaccard, langid, packing, quality, token_count, topk, url_filter
+from . import bpe, chat, html_extract, jaccard, langid, packing, quality, spelling, token_count, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": token_count.query,
     "op9_jaccard_join": jaccard.query,
     "op10_topk": topk.query,
+    "op11_spelling": spelling.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat": chat.SQL,
     "op10_topk": topk.SQL,
+    "op11_spelling": spelling.SQL,
 }
