@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html_extract, jaccard, langid, packing, quality, spelling, token_count, topk, url_filter
+from . import align, bpe, chat, html_extract, jaccard, langid, packing, quality, spelling, token_count, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_jaccard_join": jaccard.query,
     "op10_topk": topk.query,
     "op11_spelling": spelling.query,
+    "op12_align": align.query,
+    "op13_warc": warc.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat": chat.SQL,
     "op10_topk": topk.SQL,
     "op11_spelling": spelling.SQL,
+    "op13_warc": warc.SQL,
 }
