@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import NEG_INF, lgamma, normal_logp
-from ..operators.markov import log_sum
 from ..operators.marginal import normal_normal_conditional, normal_normal_logp
+from ..operators.markov import log_sum
+from .dims import At, Total, connection, leaves, names
 
 FINITE = {"Bernoulli", "Categorical", "DiscreteUniform"}
 
@@ -43,7 +44,7 @@ class Pick:
 @dataclass(frozen=True)
 class Node:
     name: str
-    dist: str  # Normal, Poisson, Bernoulli, Categorical, DiscreteUniform, Exponential; Deterministic, Data, Marginal
+    dist: str  # Normal, Poisson, Bernoulli, Categorical, DiscreteUniform, Exponential, MarkovChain; Deterministic, Data, Marginal
     params: tuple[tuple[str, Any], ...] = ()
     observed: str | None = None  # the column of a table
     dims: tuple[str, ...] = ()
@@ -54,7 +55,12 @@ class Node:
         return dict(self.params).get(key, default)
 
     def parents(self) -> set[str]:
-        return {v.name for _, v in self.params if isinstance(v, (Ref, Pick))}
+        inner = {p.name for p in self.marginal}
+        return set().union(*[names(v) for _, v in self.params], *[p.parents() for p in self.marginal]) - inner
+
+    def absorbed(self) -> list[str]:
+        """Names of the latents summed out in here, from the outermost in."""
+        return [self.name, *(x for p in self.marginal[1:] if p.dist == "Marginal" for x in p.absorbed())] if self.marginal else []
 
 
 def rv(name: str, dist: str, *, observed: str | None = None, dims: Sequence[str] = (), **params) -> Node:
@@ -84,7 +90,8 @@ class Model:
         return [n for n in self.nodes if name in n.parents()]
 
     def free(self) -> list[Node]:
-        return [n for n in self.nodes if n.observed is None and n.dist not in ("Deterministic", "Data", "Marginal")]
+        gone = {x for n in self.nodes for x in n.absorbed()}
+        return [x for n in self.nodes for x in leaves(n) if x.observed is None and x.dist not in ("Deterministic", "Data") and x.name not in gone]
 
     def size(self, node: Node) -> int:
         return math.prod(len(dict(self.coords)[d]) for d in node.dims)
@@ -100,13 +107,22 @@ def finite_rule(model: Model, latent: Node, below: list[Node]) -> Node | None:
     return Node(latent.name, "Marginal", marginal=(latent, *below), rule="finite") if latent.dist in FINITE else None
 
 
+def chain_rule(model: Model, latent: Node, below: list[Node]) -> Node | None:
+    """A Markov chain over a series' rows: ``dims`` are the series' keys, the parameter ``order`` the columns that order its rows."""
+    if latent.dist != "MarkovChain":
+        return None
+    if inside := [x for d in below for x in d.absorbed() if not row_level(d)]:
+        raise NotImplementedError(f"{inside[0]} spans several rows of the chain {latent.name}")
+    return Node(latent.name, "Marginal", marginal=(latent, *below), rule="chain")
+
+
 def normal_rule(model: Model, latent: Node, below: list[Node]) -> Node | None:
     """One normal dependent whose mean is affine in the latent and whose spread is free of it."""
     if latent.dist != "Normal" or len(below) != 1 or below[0].dist != "Normal":
         return None
     d = below[0]
     mu = d.get("mu")
-    if not isinstance(mu, Ref) or mu.name != latent.name or isinstance(d.get("sigma"), (Ref, Pick)) and d.get("sigma").name == latent.name or latent.dims != d.dims:
+    if not isinstance(mu, Ref) or mu.name != latent.name or latent.name in names(d.get("sigma")) | names(mu.slope) | names(mu.offset) or latent.dims != d.dims or d.observed is None:
         return None
     return Node(latent.name, "Marginal", marginal=(latent, d), rule="normal")
 
@@ -116,46 +132,80 @@ def laplace_rule(model: Model, latent: Node, below: list[Node]) -> Node | None:
 
 
 #: Tried in order for each latent; more can be put in.
-RULES: list[Callable[[Model, Node, list[Node]], Node | None]] = [finite_rule, normal_rule, laplace_rule]
+RULES: list[Callable[[Model, Node, list[Node]], Node | None]] = [finite_rule, chain_rule, normal_rule, laplace_rule]
 
 
 def marginalize(model: Model, names: Sequence[str], *, laplace: dict[str, np.ndarray] | None = None) -> Model:
-    """The model without the named latents; each is absorbed with what depends on it. laplace: precisions of latents to approximate."""
-    for name in names:
+    """The model without the named latents; each is absorbed with what depends on it. laplace: precisions of latents to approximate.
+
+    Rewriting goes on until nothing is left to do: a latent waits while another named one depends on it, and is then
+    absorbed with that one's marginal, so the order of the names doesn't matter.
+    """
+    waiting = [*dict.fromkeys(names)]
+    for name in waiting:
         latent = model[name]
         if latent.observed is not None or latent.dist in ("Deterministic", "Data", "Marginal"):
             raise ValueError(f"{name} is not a free random variable")
-        if laplace and name in laplace:
-            latent = replace(latent, params=(*latent.params, ("laplace", tuple(map(tuple, np.atleast_2d(laplace[name]))))))
-        below = model.dependents(name)
-        if any(d.dist == "Deterministic" for d in below):
-            raise NotImplementedError(f"a deterministic node depends on {name}")
-        if not below:
-            raise ValueError(f"nothing depends on {name}")
-        made = next((m for rule in RULES if (m := rule(model, latent, below))), None)
-        if made is None:
-            raise NotImplementedError(f"no rule marginalizes {name} ({latent.dist})")
-        gone = {name, *(d.name for d in below)}
-        model = replace(model, nodes=tuple(n for n in model.nodes if n.name not in gone) + (made,))
+    while waiting:
+        ready = [x for x in waiting if not any(d.name in waiting for d in model.dependents(x))]
+        if not ready:
+            raise NotImplementedError(f"{waiting} depend on one another in a circle")
+        model = absorb(model, ready[0], laplace or {})
+        waiting.remove(ready[0])
     return model
 
 
+def absorb(model: Model, name: str, laplace: dict[str, np.ndarray]) -> Model:
+    latent = model[name]
+    if name in laplace:
+        latent = replace(latent, params=(*latent.params, ("laplace", tuple(map(tuple, np.atleast_2d(laplace[name]))))))
+    below = sorted(model.dependents(name), key=lambda n: n.name)
+    if any(d.dist == "Deterministic" for d in below):
+        raise NotImplementedError(f"a deterministic node depends on {name}")
+    if not below:
+        raise ValueError(f"nothing depends on {name}")
+    connection(model, latent, below)
+    made = next((m for rule in RULES if (m := rule(model, latent, below))), None)
+    if made is None:
+        raise NotImplementedError(f"no rule marginalizes {name} ({latent.dist})")
+    gone = {name, *(d.name for d in below)}
+    return replace(model, nodes=tuple(n for n in model.nodes if n.name not in gone) + (made,))
+
+
+def row_level(n: Node) -> bool:
+    """Whether a marginal's latents, all of them, are a row's own."""
+    if n.dist != "Marginal":
+        return True
+    return n.rule in ("finite", "normal") and all(row_level(d) for d in n.marginal[1:]) and all(frozenset(x.dims) == frozenset(n.marginal[0].dims) for d in n.marginal[1:] for x in leaves(d))
+
+
 def unmarginalize(model: Model, names: Sequence[str] | None = None) -> Model:
-    """Marginalized nodes put back as they were, all or those named."""
-    known = [n.name for n in model.nodes if n.dist == "Marginal"]
+    """Marginalized nodes put back as they were, all or those named; what was absorbed with a named one and isn't named is marginalized again."""
+    known = [x for n in model.nodes for x in n.absorbed()]
     wrong = [x for x in names or () if x not in known]
     if wrong:
         raise ValueError(f"{wrong} are not marginalized; there are {known}")
     out: list[Node] = []
+    again: list[str] = []
+    precisions: dict[str, np.ndarray] = {}
     for n in model.nodes:
-        if n.dist == "Marginal" and (names is None or n.name in names):
-            out += [replace(p, params=tuple((k, v) for k, v in p.params if k != "laplace")) for p in n.marginal]
-        else:
+        inside = n.absorbed()
+        if not inside or names is not None and not {*inside} & {*names}:
             out.append(n)
-    return replace(model, nodes=tuple(out))
+            continue
+        for p in leaves(n):
+            if p.get("laplace") and names is not None and p.name not in names:
+                precisions[p.name] = np.array(p.get("laplace"))
+            out.append(replace(p, params=tuple((k, v) for k, v in p.params if k != "laplace")))
+        again += [x for x in inside if names is not None and x not in names]
+    return marginalize(replace(model, nodes=tuple(out)), again, laplace=precisions)
 
 
 def value(x: Any, given: dict[str, Column]) -> Column:
+    if isinstance(x, Total):
+        return sum((value(p, given) for p in places(x.of, given)), F.lit(0.0))
+    if isinstance(x, At):
+        return value(places(x.of, given)[x.place], given)
     if isinstance(x, Ref):
         return value(x.offset, given) + value(x.slope, given) * given[x.name]
     if isinstance(x, Pick):
@@ -165,6 +215,25 @@ def value(x: Any, given: dict[str, Column]) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def places(x: Any, given: dict[str, Column]) -> list:
+    """An expression of one parameter vector, once for each of its places; a vector is given by name and place, as in ``mu[2]``."""
+    if not isinstance(x, Ref):
+        raise NotImplementedError("sums and places are those of a scaled and shifted vector")
+    count = sum(1 for k in given if k.startswith(f"{x.name}["))
+    return [Ref(f"{x.name}[{i}]", x.slope, x.offset) for i in range(count)]
+
+
+def values_of(given: dict[str, Column | float | Sequence[float]] | None) -> dict[str, Column]:
+    """Values by name as Columns; a vector's by name and place."""
+    out: dict[str, Column] = {}
+    for k, v in (given or {}).items():
+        if isinstance(v, (list, tuple, np.ndarray)):
+            out |= {f"{k}[{i}]": F.lit(float(x)) for i, x in enumerate(v)}
+        else:
+            out[k] = v if isinstance(v, Column) else F.lit(float(v))
+    return out
+
+
 def node_logp(n: Node, x: Column, given: dict[str, Column]) -> Column:
     get = lambda k, d=None: value(n.get(k, d), given)
     if n.dist == "Normal":
@@ -191,53 +260,79 @@ def domain(n: Node) -> list[int]:
     return [*range(n.get("lower"), n.get("upper") + 1)]
 
 
+def column_logp(n: Node, given: dict[str, Column]) -> Column:
+    """Log probability of a row: of an observed or given node, or of a marginal whose latents are the row's own."""
+    if n.dist == "Marginal" and n.rule == "finite":
+        return log_sum(joint(n, given))
+    if n.dist == "Marginal" and n.rule == "normal":
+        latent, d = n.marginal
+        mu = d.get("mu")
+        return normal_normal_logp(F.col(d.observed).cast("double"), value(latent.get("mu", 0.0), given), value(latent.get("sigma", 1.0), given), value(d.get("sigma", 1.0), given), value(mu.slope, given), value(mu.offset, given))
+    if n.dist == "Marginal":
+        raise NotImplementedError("a Laplace marginal is not a sum over rows; use operators.marginal.laplace_marginal")
+    return node_logp(n, F.col(n.observed).cast("double") if n.observed is not None else given[n.name], given)
+
+
 def joint(n: Node, given: dict[str, Column]) -> list[Column]:
     """Log joint weights of a finite marginal's values."""
     latent, *below = n.marginal
     terms = []
     for v in domain(latent):
         here = given | {latent.name: F.lit(float(v))}
-        term = node_logp(latent, F.lit(float(v)), given)
-        for d in below:
-            term = term + node_logp(d, F.col(d.observed).cast("double"), here)
-        terms.append(term)
+        terms.append(sum((column_logp(d, here) for d in below), node_logp(latent, F.lit(float(v)), given)))
     return terms
 
 
 def row_logp(model: Model, given: dict[str, Column | float] | None = None) -> Column:
     """Log probability of a row: its observed nodes and marginals, with values for what is free."""
-    at = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (given or {}).items()}
-    total = F.lit(0.0)
+    at, total = values_of(given), F.lit(0.0)
     for n in model.nodes:
-        if n.dist == "Marginal" and n.rule == "finite":
-            total = total + log_sum(joint(n, at))
-        elif n.dist == "Marginal" and n.rule == "normal":
-            latent, d = n.marginal
-            mu = d.get("mu")
-            total = total + normal_normal_logp(F.col(d.observed).cast("double"), value(latent.get("mu", 0.0), at), value(latent.get("sigma", 1.0), at), value(d.get("sigma", 1.0), at), value(mu.slope, at), value(mu.offset, at))
-        elif n.dist == "Marginal":
+        if n.rule == "laplace":
             raise NotImplementedError("a Laplace marginal is not a sum over rows; use operators.marginal.laplace_marginal")
-        elif n.observed is not None:
-            total = total + node_logp(n, F.col(n.observed).cast("double"), at)
+        if n.dist == "Marginal" and not row_level(n):
+            raise NotImplementedError(f"{n.name} spans several rows; use marginal_tables.tree_logp or model_logp")
+        if n.dist == "Marginal" or n.observed is not None:
+            total = total + column_logp(n, at)
     return total
 
 
 def model_logp(model: Model, df: DataFrame, given: dict[str, float] | None = None) -> float:
-    """Rows' log probability summed in one aggregate, plus that of the free nodes' values."""
-    rows = df.agg(F.sum(row_logp(model, dict(given or {})))).head()[0] or 0.0
-    at = {k: F.lit(float(v)) for k, v in (given or {}).items()}
-    free = [node_logp(n, at[n.name], at) for n in model.free() if n.name in at]
+    """Rows' log probability summed in one aggregate, that of latents that span rows by their cells, and that of the free nodes' values."""
+    from .marginal_tables import tree_logp
+
+    wide = [n for n in model.nodes if n.dist == "Marginal" and n.rule != "laplace" and not row_level(n)]
+    narrow = replace(model, nodes=tuple(n for n in model.nodes if n not in wide))
+    total = df.agg(F.sum(row_logp(narrow, dict(given or {})))).head()[0] or 0.0
+    for n in wide:
+        total += tree_logp(n, df, given).agg(F.sum("logp")).head()[0] or 0.0
+    at = values_of(given)
+    free = [node_logp(n, at[n.name], at) for n in narrow.free() if n.name in at]
     if not free:
-        return float(rows)
-    return float(rows) + float(df.sparkSession.range(1).select(sum(free[1:], free[0])).head()[0])
+        return float(total)
+    return float(total) + float(df.sparkSession.range(1).select(sum(free[1:], free[0])).head()[0])
+
+
+def find_marginal(nodes: Sequence[Node], name: str) -> Node | None:
+    for n in nodes:
+        if n.dist == "Marginal":
+            if n.name == name:
+                return n
+            if found := find_marginal(n.marginal, name):
+                return found
+    return None
 
 
 def conditional(model: Model, name: str, given: dict[str, Column | float] | None = None) -> dict[str, Column]:
-    """The distribution of a marginalized node given the row: probabilities of its values, or mean and sd."""
-    n = next((n for n in model.nodes if n.name == name and n.dist == "Marginal"), None) if isinstance(name, str) else None
+    """The distribution of a marginalized node given the row: probabilities of its values, or mean and sd.
+
+    Of a node inside another's marginal: given that one's value, too.
+    """
+    n = find_marginal(model.nodes, name) if isinstance(name, str) else None
     if n is None:
         raise TypeError("marginalized nodes are selected by name")
-    at = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (given or {}).items()}
+    at = values_of(given)
+    if n.rule in ("finite", "chain") and not row_level(n):
+        raise NotImplementedError(f"{name} spans several rows; use marginal_tables.conditional_table")
     if n.rule == "finite":
         terms = joint(n, at)
         total = log_sum(terms)
