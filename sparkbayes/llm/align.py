@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +42,28 @@ SELECT a.pos, a.id, a.chunk, f.pos AS first, l.pos AS last
 FROM a ASOF JOIN b f ON a.lo >= f.lo ASOF JOIN b l ON a.hi > l.lo
 """
 LINKS = "SELECT s.chunk, s.id AS a, b.id AS b FROM spans s JOIN b ON b.pos >= s.first AND b.pos <= s.last ORDER BY s.chunk"
+#: One thread reads what the windows have ordered, so strings are put together in that order.
 GROUPS = """
 WITH shared AS (SELECT hi FROM a SEMI JOIN b USING (hi)),
-side AS (
-  SELECT side, chunk, pos, id, coalesce(sum((hi IN (FROM shared))::INT) OVER (PARTITION BY side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
-  FROM (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b)),
-parts AS (
-  SELECT chunk, part, string_agg(id, ',' ORDER BY pos) FILTER (side = 0) || '|' || string_agg(id, ',' ORDER BY pos) FILTER (side = 1) AS said
-  FROM side GROUP BY chunk, part)
-SELECT chunk, count(*) AS n, string_agg(said, ';' ORDER BY part) AS said FROM parts GROUP BY chunk ORDER BY chunk
+parts_a AS (
+  SELECT chunk, id, coalesce(sum((s.hi IS NOT NULL)::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM a LEFT JOIN shared s USING (hi)),
+parts_b AS (
+  SELECT id, coalesce(sum((s.hi IS NOT NULL)::INT) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+  FROM b LEFT JOIN shared s USING (hi)),
+said_a AS (SELECT chunk, part, string_agg(id, ',') AS said FROM parts_a GROUP BY chunk, part),
+said_b AS (SELECT part, string_agg(id, ',') AS said FROM parts_b GROUP BY part)
+SELECT chunk, count(*) AS n, string_agg(said, ';') AS said
+FROM (SELECT chunk, part, said_a.said || '|' || said_b.said AS said FROM said_a JOIN said_b USING (part) ORDER BY part)
+GROUP BY chunk ORDER BY chunk
 """
 
 
 class Aligner:
     """Both tokenizers, and the alignment of chunks with a memo: (A tokens, B tokens, groups, groups' text, linked ids as bytes), or () without."""
 
+    ROW = 4000  # characters of chunks that are encoded as one text
+
     def __init__(self, path_a: str, path_b: str, most_bytes: int = 160 << 20):
         import duckdb
         import sentencepiece
@@ -67,60 +75,73 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         byte = {c: b for b, c in enumerate(byte_chars())}
-        vocab = sorted((i, s) for s, i in self.a.get_vocab(with_added_tokens=False).items())
-        self.bytes_a = {i: bytes(byte[c] for c in s) for i, s in vocab}
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = [b""] * (1 + max(self.a.get_vocab(with_added_tokens=True).values()))
+        for s, i in vocab.items():
+            self.bytes_a[i] = bytes(byte[c] for c in s)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a vocabulary B without pieces that reach over a blank is expected")
-        if any(not c.isspace() and d == " " for s in self.bytes_a.values() for t in [s.decode("utf-8", "ignore")] for c, d in zip(t, t[1:], strict=False)):
+        if any(not c.isspace() and d == " " for s in self.bytes_a for t in [s.decode("utf-8", "ignore")] for c, d in zip(t, t[1:], strict=False)):
             raise ValueError("a vocabulary A without tokens that reach over a blank is expected")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id("▁")
         self.db = duckdb.connect(":memory:", config={"threads": 1, "autoinstall_known_extensions": False})
         self.memo = Memo(None, most_bytes)
 
-    def _side(self, ids: list[list[int]], size: np.ndarray) -> pa.Table:
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([np.asarray(x, np.int32) for x in ids])
-        hi = np.cumsum(size[flat])
-        return pa.table({"pos": np.arange(len(flat)), "id": flat, "lo": hi - size[flat], "hi": hi, "chunk": np.repeat(np.arange(len(ids)), n)})
+    def _side(self, ids: np.ndarray, hi: np.ndarray, size: np.ndarray, chunk: np.ndarray) -> pa.Table:
+        return pa.table({"pos": np.arange(len(ids)), "id": ids, "lo": hi - size, "hi": hi, "chunk": chunk})
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides' ids of texts, one after another; a text stands for itself with a blank before it."""
+        of_a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        of_b = [x if t else [self.blank] for x, t in zip(self.b.encode(texts, num_threads=1), texts, strict=True)]
+        return tuple(np.fromiter(chain.from_iterable(x), np.int32) for x in (of_a, of_b))
 
     def _align(self, chunks: list[str]) -> dict:
-        """New chunks' entries; each chunk stands for itself with a blank before it."""
-        of_a = [e.ids for e in self.a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)]
-        of_b = [x if c else [self.blank] for x, c in zip(self.b.encode(chunks, num_threads=1), chunks, strict=True)]
-        raw = [f" {c}".encode() for c in chunks]
-        byte_a, byte_b = self.bytes_a, self.bytes_b
-        good = [i for i, x in enumerate(raw) if b"".join([byte_a.get(t, b"") for t in of_a[i]]) == x == b"".join([byte_b[t] for t in of_b[i]])]
+        """New chunks' entries. Chunks that end in other than white space are encoded together, as they may stand side by side in a text."""
         out: dict = dict.fromkeys(chunks, ())
+        lone, row, size, rows = [], [], 0, []
+        for c in chunks:
+            if not c or c[-1].isspace():
+                lone.append(c)
+            elif "▁" not in c:  # its bytes are never what B's tokens spell
+                row.append(c)
+                size += len(c)
+                if size > self.ROW:
+                    rows.append(row)
+                    row, size = [], 0
+        lone = [c for c in lone if "▁" not in c]
+        good, texts = [*chain.from_iterable([*rows, row]), *lone], [" ".join(r) for r in [*rows, row] if r] + lone
+        self._aligned(good, texts, out)
+        return out
+
+    def _aligned(self, good: list[str], texts: list[str], out: dict) -> None:
         if not good:
-            return out
-        self.db.register("a", self._side([of_a[i] for i in good], self.size_a))
-        self.db.register("b", self._side([of_b[i] for i in good], self.size_b))
+            return
+        ids_a, ids_b = self._tokens(texts)
+        raw, byte_a, byte_b = f" {' '.join(good)}".encode(), self.bytes_a, self.bytes_b
+        if not b"".join([byte_a[t] for t in ids_a.tolist()]) == raw == b"".join([byte_b[t] for t in ids_b.tolist()]):
+            half = len(good) // 2  # one of them isn't what its tokens spell
+            for some in (good[:half], good[half:]) if half else ():
+                self._aligned(some, some, out)
+            return
+        ends = np.cumsum([len(c.encode()) + 1 for c in good])
+        hi_a, hi_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        of_a, of_b = np.searchsorted(ends, hi_a), np.searchsorted(ends, hi_b)
+        self.db.register("a", self._side(ids_a, hi_a, self.size_a[ids_a], of_a))
+        self.db.register("b", self._side(ids_b, hi_b, self.size_b[ids_b], of_b))
         self.db.execute(SPANS)
         links = self.db.execute(LINKS).fetchnumpy()
-        groups = self.db.execute(GROUPS).to_arrow_table()
+        groups = self.db.execute(GROUPS).fetchnumpy()
         self.db.unregister("a")
         self.db.unregister("b")
-        pairs = (links["a"].astype(np.int64) << 32) | links["b"].astype(np.int64)
-        ends = np.searchsorted(links["chunk"], np.arange(len(good) + 1))
-        for k, (i, n, said) in enumerate(zip(good, groups["n"].to_pylist(), groups["said"].to_pylist(), strict=True)):
-            out[chunks[i]] = (len(of_a[i]), len(of_b[i]), n, said, pairs[ends[k] : ends[k + 1]].tobytes())
-        return out
-
-    @property
-    def size_a(self) -> np.ndarray:
-        if not hasattr(self, "_size_a"):
-            self._size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
-            for i, s in self.bytes_a.items():
-                self._size_a[i] = len(s)
-        return self._size_a
-
-    @property
-    def size_b(self) -> np.ndarray:
-        if not hasattr(self, "_size_b"):
-            self._size_b = np.array([len(s) for s in self.bytes_b], np.int64)
-        return self._size_b
+        pairs = ((links["a"].astype(np.int64) << 32) | links["b"].astype(np.int64)).tobytes()
+        bounds = (8 * np.searchsorted(links["chunk"], np.arange(len(good) + 1))).tolist()
+        n_a, n_b = (np.bincount(x, minlength=len(good)).tolist() for x in (of_a, of_b))
+        for k, (c, n, said) in enumerate(zip(good, groups["n"].tolist(), groups["said"].tolist(), strict=True)):
+            out[c] = (n_a[k], n_b[k], n, said, pairs[bounds[k] : bounds[k + 1]])
 
     def entries(self, chunks: list[str], most_bytes: int = 1 << 20) -> list[tuple]:
         """Entries of different chunks; new ones are aligned about ``most_bytes`` at a time."""
