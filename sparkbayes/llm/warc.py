@@ -88,9 +88,9 @@ def page_record(row: dict, date: str) -> bytes:
 class Archive:
     """One archive being written: records wait until the dictionary's sample is full."""
 
-    def __init__(self, fs, path: str, date: str, level: int):
-        self.path, self.date, self.level = path, date, level
-        self.out, self.waiting, self.sampled, self.coder, self.size, self.records = fs.open_output_stream(path), [], 0, None, 0, 0
+    def __init__(self, fs, path: str, date: str, level: int, sample: int):
+        self.path, self.date, self.level, self.sample = path, date, level, sample
+        self.out, self.waiting, self.sampled, self.held, self.coder, self.size, self.records = fs.open_output_stream(path, compression=None), [], 0, 0, None, 0, 0
 
     def add(self, data: bytes) -> None:
         self.records += 1
@@ -98,8 +98,9 @@ class Archive:
             self._put(self.coder.compress(data))
             return
         self.waiting.append(data)
-        self.sampled += len(data)
-        if self.sampled >= SAMPLE:
+        self.sampled += min(len(data), CLIP)
+        self.held += len(data)
+        if self.sampled >= self.sample or self.held >= 16 * self.sample:
             self.begin()
 
     def begin(self) -> None:
@@ -148,7 +149,7 @@ class WarcWriter(DataSourceArrowWriter):
             columns = [batch.column(name) for name in ("record_id", "record_type", "refers_to", "url", "payload_digest", "payload_bytes", "payload")]
             for i in range(batch.num_rows):
                 if archive is None:
-                    archive = Archive(fs, f"{at}/{uuid.uuid4().hex}.warc.zst", self.date, self.level)
+                    archive = Archive(fs, f"{at}/{uuid.uuid4().hex}.warc.zst", self.date, self.level, min(SAMPLE, self.most))
                 archive.add(page_record({name: c[i].as_py() for name, c in zip(("record_id", "record_type", "refers_to", "url", "payload_digest", "payload_bytes", "payload"), columns, strict=True)}, self.date))
                 if archive.size >= self.most:
                     archive.close()
@@ -301,7 +302,7 @@ class WarcReader(DataSourceReader):
             return
         fs, at = filesystem(self.path)
         rows, size = [], 0
-        with fs.open_input_stream(f"{at}/{partition.name}") as stream:
+        with fs.open_input_stream(f"{at}/{partition.name}", compression=None) as stream:
             for row in self.rows(stream, partition.name):
                 rows.append(row)
                 size += len(row.get("payload") or b"") + 300
