@@ -164,6 +164,8 @@ def absorb(model: Model, name: str, laplace: dict[str, np.ndarray]) -> Model:
         raise NotImplementedError(f"a deterministic node depends on {name}")
     if not below:
         raise ValueError(f"nothing depends on {name}")
+    if any(d.dist == "StateSpace" for d in below):
+        raise NotImplementedError(f"a state-space likelihood depends on {name}")
     connection(model, latent, below)
     made = next((m for rule in RULES if (m := rule(model, latent, below))), None)
     if made is None:
@@ -291,6 +293,8 @@ def row_logp(model: Model, given: dict[str, Column | float] | None = None) -> Co
             raise NotImplementedError("a Laplace marginal is not a sum over rows; use operators.marginal.laplace_marginal")
         if n.dist == "Marginal" and not row_level(n):
             raise NotImplementedError(f"{n.name} spans several rows; use marginal_tables.tree_logp or model_logp")
+        if n.dist == "StateSpace":
+            raise NotImplementedError(f"{n.name} is the likelihood of whole series; use model_logp or statespace_target")
         if n.dist == "Marginal" or n.observed is not None:
             total = total + column_logp(n, at)
     return total
@@ -301,10 +305,13 @@ def model_logp(model: Model, df: DataFrame, given: dict[str, float] | None = Non
     from .marginal_tables import tree_logp
 
     wide = [n for n in model.nodes if n.dist == "Marginal" and n.rule != "laplace" and not row_level(n)]
-    narrow = replace(model, nodes=tuple(n for n in model.nodes if n not in wide))
+    spaces = [n for n in model.nodes if n.dist == "StateSpace"]
+    narrow = replace(model, nodes=tuple(n for n in model.nodes if n not in wide and n not in spaces))
     total = df.agg(F.sum(row_logp(narrow, dict(given or {})))).head()[0] or 0.0
     for n in wide:
         total += tree_logp(n, df, given).agg(F.sum("logp")).head()[0] or 0.0
+    for n in spaces:
+        total += series_target(n, df).sums([np.array([float((given or {})[k]) for k in n.get("names")])], gradients=False)[0][0]
     at = values_of(given)
     free = [node_logp(n, at[n.name], at) for n in narrow.free() if n.name in at]
     if not free:
@@ -312,6 +319,58 @@ def model_logp(model: Model, df: DataFrame, given: dict[str, float] | None = Non
     return float(total) + float(df.sparkSession.range(1).select(sum(free[1:], free[0])).head()[0])
 
 
+# --- state-space likelihoods ---------------------------------------------------------------------------------------------
+
+
+def with_statespace(model: Model, name: str, build: Callable[[dict[str, float]], Any], parameters: Sequence[str], *, series: str, time: Sequence[str], observed: Sequence[str]) -> Model:
+    """The model with the likelihood of a table's series under the state-space model that ``build`` makes of the named parameters."""
+    known = {n.name for n in model.free()}
+    if missing := [p for p in parameters if p not in known]:
+        raise ValueError(f"{missing} are not free nodes of the model")
+    params = (("build", build), ("names", tuple(parameters)), ("of", tuple(Ref(p) for p in parameters)), ("series", series), ("time", tuple(time)), ("columns", tuple(observed)))
+    return model.add(Node(name, "StateSpace", params, observed=observed[0]))
+
+
+def series_target(n: Node, df: DataFrame):
+    from ..operators.statespace_gradient import SeriesTarget, gathered
+
+    return SeriesTarget(gathered(df, n.get("series"), n.get("time"), n.get("columns")), n.get("build"), list(n.get("names")))
+
+
+def number(x: Any, given: dict[str, float]) -> float:
+    if isinstance(x, Ref):
+        return number(x.offset, given) + number(x.slope, given) * given[x.name]
+    return float(x)
+
+
+def log_density(n: Node, x: float, given: dict[str, float]) -> float:
+    """Log density of one free number."""
+    if n.dist == "Normal":
+        mu, sigma = number(n.get("mu", 0.0), given), number(n.get("sigma", 1.0), given)
+        return -0.5 * ((x - mu) / sigma) ** 2 - math.log(sigma) - 0.5 * math.log(2 * math.pi)
+    if n.dist == "Exponential":
+        lam = number(n.get("lam", 1.0), given)
+        return math.log(lam) - lam * x if x >= 0 else NEG_INF
+    raise NotImplementedError(f"{n.dist} isn't a prior of a state-space parameter")
+
+
+def statespace_target(model: Model, df: DataFrame):
+    """A target for ``inference.find_map`` and the fits built on it: the series' likelihood and the priors of the free nodes, in their order."""
+    from ..operators.statespace_gradient import likelihood_target
+
+    spaces, free = [n for n in model.nodes if n.dist == "StateSpace"], model.free()
+    if len(spaces) != 1 or any(n.dims for n in free):
+        raise NotImplementedError("one state-space likelihood and free numbers without dimensions")
+    names = [n.name for n in free]
+    own = series_target(spaces[0], df)
+
+    def log_prior(x: np.ndarray) -> float:
+        given = dict(zip(names, x.tolist(), strict=True))
+        return sum(log_density(n, given[n.name], given) for n in free)
+
+    return likelihood_target(own.rows.persist(), own.build, names, log_prior)
+
+
 def find_marginal(nodes: Sequence[Node], name: str) -> Node | None:
     for n in nodes:
         if n.dist == "Marginal":
