@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_densities, queries_inference, queries_statespace
+from . import queries_densities, queries_inference, queries_models, queries_statespace
 
-FAMILIES = [queries_densities, queries_statespace, queries_inference]
+FAMILIES = [queries_densities, queries_statespace, queries_inference, queries_models]
 QUERIES: dict = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}
