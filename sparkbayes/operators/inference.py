@@ -419,8 +419,9 @@ def importance_sampling(samples: DataFrame, n: int, *, method: str | None = "psi
 
     psis: smoothed weights, without replacement; psir: smoothed, with replacement; identity: raw weights with
     replacement; None: all rows as they are. Without replacement is the n largest of log weight plus a Gumbel
-    variable; with replacement meets n evenly drawn numbers with the cumulative weights, block by block. Only the
-    weights of the Pareto tail come to the driver.
+    variable, and needs n rows of finite weight; with replacement meets n evenly drawn numbers with the cumulative
+    weights, block by block. Only the weights of the Pareto tail come to the driver. Rows and seed alone decide: equal rows
+    are numbered among themselves, so partitions don't matter.
     """
     if method is None:
         return samples.withColumn("draw", F.monotonically_increasing_id())
@@ -437,28 +438,35 @@ def importance_sampling(samples: DataFrame, n: int, *, method: str | None = "psi
     if tail:
         new = spark.createDataFrame([*tail.items()], "_key long, _new double")
         rows = rows.join(new, "_key", "left").withColumn("_w", F.coalesce("_new", "_w")).drop("_new")
-    if method == "psis" and size >= n:
-        u = (F.pmod(F.xxhash64("_key", F.monotonically_increasing_id(), F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
-        best = rows.withColumn("_g", F.col("_w") - F.log(-F.log(u))).orderBy(F.desc("_g")).limit(n)
-        return best.withColumn("draw", F.monotonically_increasing_id()).drop("_g", "_w", "_key")
+    if method == "psis":
+        if size < n:
+            raise ValueError(f"{size} rows of finite weight, fewer than the {n} to draw without replacement")
+        rows = rows.withColumn("_same", F.row_number().over(Window.partitionBy("_key").orderBy("_w")))
+        u = (F.pmod(F.xxhash64("_key", "_same", F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
+        best = rows.withColumn("_g", F.col("_w") - F.log(-F.log(u))).orderBy(F.desc("_g"), "_key").limit(n)
+        return best.withColumn("draw", F.monotonically_increasing_id()).drop("_g", "_w", "_key", "_same")
     placed = cumulated(rows.withColumn("_w", F.exp(F.col("_w") - float(most))), "_key", size)
-    ends = [(r[0], r[1], r[2]) for r in placed.groupBy("_b").agg(F.min("_lo"), F.max("_hi")).collect()]  # a row a block
-    drawn = np.sort(np.random.default_rng(seed).uniform(0, max(e[2] for e in ends), n))
-    ends = sorted(ends, key=lambda e: (e[2], e[1]))
-    block = np.searchsorted([e[2] for e in ends], drawn, side="left").clip(0, len(ends) - 1)
-    draws = spark.createDataFrame([(i, int(ends[j][0]), float(x)) for i, (j, x) in enumerate(zip(block, drawn.tolist(), strict=True))], "draw long, _b long, _x double")
+    ends = sorted((r[1], r[0]) for r in placed.groupBy("_b").agg(F.max("_hi")).collect())  # a row a block
+    drawn = np.sort(ends[-1][0] * (1 - np.random.default_rng(seed).uniform(size=n)))  # above 0, up to the whole
+    block = np.searchsorted([e for e, _ in ends], drawn, side="left")
+    draws = spark.createDataFrame([(i, int(ends[j][1]), float(x)) for i, (j, x) in enumerate(zip(block, drawn.tolist(), strict=True))], "draw long, _b long, _x double")
     return draws.join(placed, "_b").where((F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).drop("_b", "_x", "_lo", "_hi", "_w", "_key")
 
 
 def cumulated(rows: DataFrame, key: str, size: int, per_block: int = 100_000) -> DataFrame:
-    """``rows`` with _lo and _hi, the running sum of _w before and behind each one, in an order by blocks of a hash: totals of the blocks first, then inside each block."""
+    """``rows`` with _lo and _hi, the running sum of _w before and behind each one, in an order by blocks of a hash.
+
+    A row's _lo is the very number that the row before it has as _hi, also from block to block, so nothing lies between.
+    """
     blocks = max(64, size // per_block)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long"))
-    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
-    ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_a"))  # over one row a block
-    inside = rows.withColumn("_c", F.sum("_w").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
-    at = inside.join(ahead, "_b")
-    return at.withColumn("_hi", F.col("_a") + F.col("_c")).withColumn("_lo", F.col("_hi") - F.col("_w")).drop("_a", "_c")
+    inside = Window.partitionBy("_b").orderBy(key, "_w")
+    rows = rows.withColumn("_c", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = rows.groupBy("_b").agg(F.max("_c").alias("_s"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_a"))  # over one row a block
+    at = rows.withColumn("_p", F.coalesce(F.lag("_c").over(inside), F.lit(0.0))).join(ahead, "_b")
+    return at.withColumn("_hi", F.col("_a") + F.col("_c")).withColumn("_lo", F.col("_a") + F.col("_p")).drop("_a", "_c", "_p")
 
 
 def weighted_resample(df: DataFrame, key: str, logw: str, n: int, *, seed: int = 0) -> DataFrame:

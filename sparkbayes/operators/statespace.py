@@ -148,8 +148,8 @@ def kalman(model: StateSpace, y: np.ndarray, kind: str = "standard", *, jitter:
         raise ValueError(f"filter {kind!r}, not one of {sorted(FILTERS)}")
     if kind == "convergent" and (model.time_varying or np.isnan(y).any()):
         raise ValueError("the convergent filter needs constant matrices and no missing values")
-    if m == p == 1 and not jitter and not model.time_varying:
-        return kalman_of_numbers(model, y[:, 0])  # one number each: all kinds are the same sums
+    if kind == "standard" and m == p == 1 and not jitter and not model.time_varying:
+        return kalman_of_numbers(model, y[:, 0])
     out = Filtered(*(np.empty(s) for s in ((n, m), (n, m, m), (n, m), (n, m, m), (n, p), (n, p, p), (n,))), np.empty(m), np.empty((m, m)))
     a, P = model.x0.copy(), model.P0.copy()
     root = kind == "cholesky"

@@ -105,20 +105,25 @@ _TREND = f"""WITH RECURSIVE {_rows()}, f AS (
     SELECT user_id, round(max_by(ll, t), 3) AS loglike, '{{kind}}' AS kind FROM f GROUP BY user_id"""
 
 
+def trend_model() -> S.StateSpace:
+    return S.StateSpace(T=[[1.0, 1.0], [0.0, 1.0]], Z=[[1.0, 0.0]], R=np.eye(2), H=[[2000.0]], Q=np.diag([100.0, 1.0]), x0=[100.0, 0.0], P0=np.diag([10000.0, 100.0]))
+
+
 @register("kalman_filter_kinds", " UNION ALL ".join(f"({_TREND.format(kind=k)})" for k in ("cholesky", "standard", "univariate")))
 def kalman_filter_kinds(spark, sf_dir):
     """A local linear trend by three filters, side by side on each series."""
     import pandas as pd
 
-    model = S.StateSpace(T=[[1.0, 1.0], [0.0, 1.0]], Z=[[1.0, 0.0]], R=np.eye(2), H=[[2000.0]], Q=np.diag([100.0, 1.0]), x0=[100.0, 0.0], P0=np.diag([10000.0, 100.0]))
+    model = trend_model()
     kinds = ["cholesky", "standard", "univariate"]
     got = S.per_series(events(spark, sf_dir), "user_id", TIME, ["y"], lambda y: pd.DataFrame({"kind": kinds, "loglike": [S.kalman(model, y, k).loglike.sum() for k in kinds]}), "kind string, loglike double")
     return got.select("user_id", r(F.col("loglike"), 3).alias("loglike"), "kind")
 
 
-@register("kalman_convergent", f"WITH RECURSIVE {_level()} SELECT user_id, round(max_by(ll, t), 3) AS loglike FROM f GROUP BY user_id")
+@register("kalman_convergent", f"SELECT user_id, loglike FROM ({_TREND.format(kind='convergent')})")
 def kalman_convergent(spark, sf_dir):
-    got = S.loglike(events(spark, sf_dir), level_model(), "user_id", TIME, ["y"], kind="convergent")
+    """The local linear trend again, by the filter that keeps its gain once it has settled."""
+    got = S.loglike(events(spark, sf_dir), trend_model(), "user_id", TIME, ["y"], kind="convergent")
     return got.select("user_id", r(F.col("loglike"), 3).alias("loglike"))
 
 
@@ -175,13 +180,54 @@ def structural_components(spark, sf_dir):
     return S.per_series(monthly(spark, sf_dir), "series", ["m"], ["y"], kernel, "t int, trend double, season double")
 
 
-def _likelihood_sql(model: S.StateSpace, series: str, observed: list[str]) -> str:
+def _filled(m: int, n: int, entries: dict[tuple[int, int], float]) -> np.ndarray:
+    out = np.zeros((m, n))
+    for at, v in entries.items():
+        out[at] = v
+    return out
+
+
+def _turned(*angles: float, damp: float = 1.0) -> dict[tuple[int, int], float]:
+    """Entries of rotations of the states 1, 2 and 3, 4 and so on."""
+    out = {}
+    for j, a in enumerate(angles):
+        i = 1 + 2 * j
+        out |= {(i, i): damp * np.cos(a), (i, i + 1): damp * np.sin(a), (i + 1, i): -damp * np.sin(a), (i + 1, i + 1): damp * np.cos(a)}
+    return out
+
+
+_VAGUE = 1e6
+_SHARES = np.array([1 - 0.3 - 0.7 * 0.2, 0.3, 0.3 * 0.1, 0.7 * 0.2, *[0.0] * 11])  # what an innovation adds to itself, level, trend and season
+_V22 = 1 / (1 - 0.3**2)  # moments of the stationary pair y = A y + e with A = [[.5, .1], [0, .3]]
+_V12 = (0.2 + 0.1 * 0.3 * _V22) / (1 - 0.5 * 0.3)
+_V11 = (1 + 2 * 0.5 * 0.1 * _V12 + 0.1**2 * _V22) / (1 - 0.5**2)
+
+#: The models' matrices written out by hand: T, V (of the states' shocks), Z, the variances of the measurement errors, and P0; x0 is zero.
+_BY_HAND: dict[str, tuple] = {
+    # level (running sum), twelve lags of the differenced series, the differenced twice series and its moving average
+    "sarimax_loglike": (
+        _filled(15, 15, {(0, 0): 1, (0, 12): 1, (0, 13): 1, (1, 12): 1, (1, 13): 1, **{(i, i - 1): 1 for i in range(2, 13)}, (13, 13): 0.4, (13, 14): 1}),
+        _filled(15, 15, {(13, 13): 400, (13, 14): 120, (14, 13): 120, (14, 14): 36}), _filled(1, 15, {(0, 0): 1, (0, 12): 1, (0, 13): 1}), [0.0],
+        _filled(15, 15, {**{(i, i): _VAGUE for i in range(13)}, (13, 13): 400 * (1 + 2 * 0.4 * 0.3 + 0.3**2) / (1 - 0.4**2), (13, 14): 120, (14, 13): 120, (14, 14): 36}),
+    ),
+    # innovation, level, damped trend, twelve seasons in turn
+    "ets_seasonal_loglike": (
+        _filled(15, 15, {(1, 1): 1, (1, 2): 0.95, (2, 2): 0.95, (3, 14): 1, **{(i, i - 1): 1 for i in range(4, 15)}}), 400 * np.outer(_SHARES, _SHARES), _filled(1, 15, {(0, 0): 1, (0, 1): 1, (0, 3): 1}), [0.0], _VAGUE * np.eye(15),
+    ),
+    "cycle_loglike": (_filled(3, 3, {(0, 0): 1, **_turned(2 * np.pi / 18, damp=0.95)}), np.diag([25.0, 4.0, 4.0]), np.array([[1.0, 1.0, 0.0]]), [400.0], _VAGUE * np.eye(3)),
+    # level, three harmonics of a year, an autoregression
+    "frequency_season_loglike": (
+        _filled(8, 8, {(0, 0): 1, **_turned(np.pi / 6, np.pi / 3, np.pi / 2), (7, 7): 0.5}), np.diag([25.0, *[1.0] * 6, 9.0]), np.array([[1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0]]), [400.0], _VAGUE * np.eye(8),
+    ),
+    "varmax_loglike": (np.array([[0.5, 0.1], [0.0, 0.3]]), np.array([[1.0, 0.2], [0.2, 1.0]]), np.eye(2), [0.0, 0.0], np.array([[_V11, _V12], [_V12, _V22]])),
+    "dynamic_factor_loglike": (np.array([[0.7]]), np.array([[1.0]]), np.array([[1.0], [0.5]]), [1.0, 1.0], np.array([[1 / (1 - 0.49)]])),
+}
+
+
+def _likelihood_sql(T: np.ndarray, V: np.ndarray, Z: np.ndarray, noise: list[float], P0: np.ndarray, series: str, observed: list[str]) -> str:
     """A filter over lists: each observation of a month updates the state by itself, which uncorrelated measurement errors allow."""
     listed = lambda a: "[" + ", ".join(listed(x) if np.ndim(x) else repr(float(x)) for x in np.asarray(a)) + "]"
-    noise = np.diag(np.diag(model.H))
-    if not np.allclose(noise, model.H):
-        raise ValueError("measurement errors are correlated")
-    m = len(model.T)
+    m = len(T)
     each, other = f"FOR i IN range(1, {m + 1})", f"FOR k IN range(1, {m + 1})"
     inner = "SELECT f.t, x, p, ll, c, e.* EXCLUDE (t) FROM f JOIN e ON e.t = f.t, k"
     for j, name in enumerate(observed):
@@ -190,10 +236,9 @@ def _likelihood_sql(model: S.StateSpace, series: str, observed: list[str]) -> st
         inner = f"SELECT *, list_dot_product(g, z) + c.h[{j + 1}] AS s, {name} - list_dot_product(x, z) AS v FROM ({inner})"
         inner = f"SELECT * EXCLUDE (x, p, ll, z, g, s, v), [x[i] + g[i] / s * v {each}] AS x, [[p[i][k] - g[i] * g[k] / s {other}] {each}] AS p, ll - 0.5::DOUBLE * (ln(2 * pi()) + ln(s) + v * v / s) AS ll FROM ({inner})"
     inner = f"SELECT t, ll, c, [list_dot_product(c.t[i], x) {each}] AS x, [[list_dot_product(c.t[i], p[k]) {other}] {each}] AS w FROM ({inner})"
-    shocks = model.R @ model.Q @ model.R.T
-    return f"""WITH RECURSIVE k AS (SELECT {{'t': {listed(model.T)}::DOUBLE[][], 'v': {listed(shocks)}::DOUBLE[][], 'z': {listed(model.Z)}::DOUBLE[][], 'h': {listed(np.diag(noise))}::DOUBLE[]}} AS c),
+    return f"""WITH RECURSIVE k AS (SELECT {{'t': {listed(T)}::DOUBLE[][], 'v': {listed(V)}::DOUBLE[][], 'z': {listed(Z)}::DOUBLE[][], 'h': {listed(noise)}::DOUBLE[]}} AS c),
     e AS (SELECT row_number() OVER (ORDER BY m) AS t, * EXCLUDE (m) FROM ({series})),
-    f AS (SELECT 1::BIGINT AS t, {listed(model.x0)}::DOUBLE[] AS x, {listed(model.P0)}::DOUBLE[][] AS p, 0.0::DOUBLE AS ll
+    f AS (SELECT 1::BIGINT AS t, {listed(np.zeros(m))}::DOUBLE[] AS x, {listed(P0)}::DOUBLE[][] AS p, 0.0::DOUBLE AS ll
       UNION ALL SELECT t + 1, x, [[list_dot_product(w[i], c.t[k]) + c.v[i][k] {other}] {each}], ll FROM ({inner}))
     SELECT 'orders' AS series, round(ll, 3) AS loglike FROM f WHERE t = (SELECT count(*) + 1 FROM e)"""
 
@@ -209,7 +254,7 @@ def pairs(spark, sf_dir) -> DataFrame:
 
 
 def _built(name: str, model: S.StateSpace, source=monthly, sql: str = _MONTHLY, observed: tuple[str, ...] = ("y",)):
-    @register(name, _likelihood_sql(model, sql, [*observed]))
+    @register(name, _likelihood_sql(*_BY_HAND[name], sql, [*observed]))
     def q(spark, sf_dir):
         return S.loglike(source(spark, sf_dir), model, "series", ["m"], [*observed]).select("series", r(F.col("loglike"), 3).alias("loglike"))
 

@@ -186,6 +186,23 @@ def test_pathfinder_and_resampling(spark):
         inference.importance_sampling(s, 3, method="other")
 
 
+def test_resampling_goes_by_rows_and_seed_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i // 2, float(x), 0.0) for i, x in enumerate(np.repeat(rng.normal(size=150), 2))]  # every row twice
+    s = spark.createDataFrame(rows, "i int, logp double, logq double")
+    for method in ("psis", "psir", "identity"):
+        got = [sorted((r.i, r.logp) for r in inference.importance_sampling(s.repartition(k), 120, method=method, seed=9).collect()) for k in (1, 7)]
+        assert got[0] == got[1] and len(got[0]) == 120
+        if method == "psis":
+            assert max(got[0].count(x) for x in got[0]) <= 2
+    with pytest.raises(ValueError, match="fewer than"):
+        inference.importance_sampling(s, 301, method="psis")
+    w = np.exp([r[1] for r in rows])
+    share = spark.createDataFrame([(i, float(np.log(x)), 0.0) for i, x in enumerate((1.0, 2.0, 0.0, 5.0))], "i int, logp double, logq double")
+    n = inference.importance_sampling(share, 20_000, method="identity", seed=2).groupBy("i").count().collect()
+    assert {r.i for r in n} == {0, 1, 3} and all(abs(r["count"] / 20_000 - {0: 0.125, 1: 0.25, 3: 0.625}[r.i]) < 0.02 for r in n) and len(w) == 300
+
+
 def test_pareto_tail():
     rng = np.random.default_rng(0)
     k, sigma = inference.fit_pareto(rng.pareto(2.0, 5000))
