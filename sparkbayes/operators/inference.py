@@ -29,6 +29,8 @@ class Target:
     look: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
     looks: int = 0
     many: Callable[[list[np.ndarray]], list[tuple[float, np.ndarray, np.ndarray]]] | None = None
+    slopes: Callable[[np.ndarray], tuple[float, np.ndarray]] | None = None  # value and gradient alone
+    product: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None  # the Hessian at a point times a vector
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         self.looks += 1
@@ -68,7 +70,24 @@ def table_target(df: DataFrame, likelihood: E.Expr, prior: E.Expr, names: list[s
             out.append((own[0] + float(E.evaluate(prior, at)), np.array([own[1 + i] + float(E.evaluate(pg[i], at)) for i in range(k)]), hess))
         return out
 
-    return Target(names, lambda x: many([x])[0], many=many)
+    def summed(exprs: list[E.Expr], at: dict[str, float]) -> np.ndarray:
+        row = df.agg(*[F.sum(E.column(t, at)).alias(f"s{i}") for i, t in enumerate(exprs)]).head()
+        return np.array([float(v) if v is not None else 0.0 for v in row])
+
+    def slopes(x: np.ndarray) -> tuple[float, np.ndarray]:
+        at = dict(zip(names, np.asarray(x, dtype=float).tolist(), strict=True))
+        got = summed([likelihood, *g], at) + np.array([float(E.evaluate(e, at)) for e in (prior, *pg)])
+        return float(got[0]), got[1:]
+
+    # The slope along a direction is an expression again; its derivatives are the Hessian times that direction, k sums instead of k squared.
+    along = [f"_along_{n}" for n in names]
+    lines = [[E.derivative(sum((d * E.param(v) for d, v in zip(first, along, strict=True)), E.const(0.0)), n) for n in names] for first in (g, pg)]
+
+    def product(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        at = dict(zip([*names, *along], [*np.asarray(x, dtype=float).tolist(), *np.asarray(v, dtype=float).tolist()], strict=True))
+        return summed(lines[0], at) + np.array([float(E.evaluate(e, at)) for e in lines[1]])
+
+    return Target(names, lambda x: many([x])[0], many=many, slopes=slopes, product=product)
 
 
 def function_target(names: list[str], value: Callable[[np.ndarray], float], gradient: Callable[[np.ndarray], np.ndarray], hessian: Callable[[np.ndarray], np.ndarray] | None = None) -> Target:
@@ -126,8 +145,23 @@ def search(target: Target, x: np.ndarray, direction: np.ndarray, value: float, g
     return x, None
 
 
-def find_map(target: Target, start: np.ndarray, *, method: str = "newton", steps: int = 100, tol: float = 1e-8, memory: int = 10) -> tuple[np.ndarray, tuple, dict]:
-    """The point of highest density by Newton's method, BFGS or L-BFGS; (point, what was seen there, info)."""
+def find_map(target: Target, start: np.ndarray, *, method: str = "newton", steps: int = 100, tol: float = 1e-8, memory: int = 10, bounds=None, **kw) -> tuple[np.ndarray, tuple, dict]:
+    """The point of highest density; (point, what was seen there, info).
+
+    method: newton, bfgs or lbfgs; trust-ncg, by Hessian-vector products; basinhopping, over many modes. With ``bounds``, a pair
+    (lower, upper) for each parameter with None for no limit, newton, lbfgs and basinhopping stay inside.
+    """
+    if method in ("trust-ncg", "basinhopping") or bounds is not None:
+        from . import optimize
+
+        if method == "basinhopping":
+            return optimize.basin_hopping(target, start, bounds=bounds, steps=steps, tol=tol, **kw)
+        if method == "trust-ncg":
+            if bounds is not None:
+                raise ValueError("trust-ncg knows no bounds")
+            x, _, info = optimize.trust_region(target, start, steps=steps, tol=tol, **kw)
+            return x, target(x), info
+        return optimize.find_bounded(target, start, bounds, method=method, steps=steps, tol=tol, memory=memory, **kw)
     x = np.asarray(start, dtype=float)
     seen = target(x)
     S: list[np.ndarray] = []
@@ -144,7 +178,7 @@ def find_map(target: Target, start: np.ndarray, *, method: str = "newton", steps
         elif method == "lbfgs":
             direction = two_loops(g, S, Y)
         else:
-            raise ValueError(f"method {method!r}, not newton, bfgs or lbfgs")
+            raise ValueError(f"method {method!r}, not newton, bfgs, lbfgs, trust-ncg or basinhopping")
         new, got = search(target, x, direction, value, g)
         if got is None:
             break

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..operators import forecasting
 from ..operators import inference as I
 from ..operators import statespace as S
@@ -221,3 +222,28 @@ def forecast_scenario(spark, sf_dir):
 
     got = forecasting.forecasts(rows, build, "user_id", "event_id", ["y"], regressors=["x"], scenario=ahead)
     return got.select("user_id", "step", r(F.get("mean", F.lit(0)), 4).alias("mean"), r(F.get("cov", F.lit(0)), 4).alias("var"))
+
+
+# --- modes within bounds ------------------------------------------------------------------------------------------------------
+
+_BOUNDED = """WITH RECURSIVE bins AS (SELECT (l_quantity - 25) / 15.0::DOUBLE AS x, sum((l_returnflag = 'N')::INT)::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY l_quantity),
+    f AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+      UNION ALL SELECT i + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+        SELECT i, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) - any_value(a) / 4 AS ga, sum(x * (k - n * p)) - any_value(b) / 4 AS gb,
+          sum(n * p * (1 - p)) + 0.25::DOUBLE AS haa, sum(x * n * p * (1 - p)) AS hab, sum(x * x * n * p * (1 - p)) + 0.25::DOUBLE AS hbb
+        FROM (SELECT i, a, b, x, k, n, 1 / (1 + exp(-a - b * x)) AS p FROM f, bins WHERE i < 15) GROUP BY i)),
+    c AS (SELECT 0 AS i, 0.0::DOUBLE AS a, (SELECT greatest(b, 0.1) FROM f WHERE i = 15) AS b
+      UNION ALL SELECT i + 1, a + ga / haa, b FROM (
+        SELECT i, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) - any_value(a) / 4 AS ga, sum(n * p * (1 - p)) + 0.25::DOUBLE AS haa
+        FROM (SELECT i, a, b, x, k, n, 1 / (1 + exp(-a - b * x)) AS p FROM c, bins WHERE i < 15) GROUP BY i))
+    SELECT 'a' AS param, round(a, 5) AS value, round(b, 5) AS slope FROM c WHERE i = 15 UNION ALL SELECT 'free a', round(a, 5), round(b, 5) FROM f WHERE i = 15"""
+
+
+@register("logistic_bounded", _BOUNDED)
+def logistic_bounded(spark, sf_dir):
+    """Two logistic coefficients, the slope at least 0.1, by projected Newton steps; and both free, by Hessian-vector products."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "N").cast("int").alias("y"), ((F.col("l_quantity") - 25) / 15).alias("x"))
+    target = I.table_target(df, E.bernoulli_logit(E.data("y"), E.param("a") + E.param("b") * E.data("x")), E.normal(E.param("a"), 0.0, 2.0) + E.normal(E.param("b"), 0.0, 2.0), ["a", "b"])
+    bound, _, _ = I.find_map(target, np.zeros(2), bounds=[(None, None), (0.1, None)], tol=1e-10)
+    free, _, _ = I.find_map(target, np.zeros(2), method="trust-ncg", tol=1e-10)
+    return spark.createDataFrame([(k, round(float(a), 5), round(float(b), 5)) for k, (a, b) in (("a", bound), ("free a", free))], "param string, value double, slope double")
