@@ -12,7 +12,8 @@ penalty comes from how much more often it stands outside. The marks themselves,
 An element whose tokens bring the words in it below zero is one piece to the scan, scored as a single tag, and its words
 are left out. Tokens that speak against an element don't count where it encloses an article that is marked
 or more than half of the page's words (inside a marked article: of that one's); such an element's words then score less, and its two
-tags cost more. So do tags by which a marked article is entered or left. Names like has-sidebar say what an
+tags cost more. Reader comments and sidebars are often longer than the article, so their size excuses them only where
+hardly any words lie outside of all such elements. So do tags by which a marked article is entered or left. Names like has-sidebar say what an
 element has and count for nothing. Such an element that is never closed ends before the next article or main element,
 else at its own next block; a raw element (select, svg, ...; not script) that is never closed ends at the next block.
 
@@ -68,6 +69,9 @@ HARD = [
 ]
 SOFT = ["header", "footer", "banner", "masthead", "topbar"]
 OWN = ["article", "post", "entry", "content", "story", "main", "body", "text"]
+#: What reader comments as a whole are called, or asides are, and names that what encloses an article may have, too; a
+#: hundredth or an eighth of an element's words outside of all that tokens speak against is then enough for an article.
+ASIDE = {**dict.fromkeys([".comments", ".commentlist", ".disqus", ".respond", "aside", "@complementary"], 100), **dict.fromkeys([".comment", ".sidebar"], 8)}
 #: First parts of names that say what an element has or lacks, not what it is.
 HAVING = {"has", "have", "having", "with", "without", "no", "not", "hide", "show"}
 #: Weights before any page is seen: tags as they are, roles behind @, parts of names behind a point, hidden elements.
@@ -78,6 +82,7 @@ PRIOR_TOKENS = {
 MARKED = 4.0  # in an element that marks the article
 MOST = 5.0  # that can speak for a word
 LOW = 0.25  # of a word's score, in an element that something speaks against
+SPOKEN = 2.5  # against an element, that its words aren't taken for an article's
 ENTERED = -8.0  # a tag by which a marked article is entered or left
 NAMED = 5.0  # by how much more a tag costs for what speaks against its element
 PRIOR = {"word": 1.0, "link": -0.2, "tag": -0.05}
@@ -215,20 +220,26 @@ class Outline:
     words: dict[int, int] = field(default_factory=dict)
     marks: dict[int, int] = field(default_factory=dict)
     total: int = 0
+    clean: int = 0  # words outside of all elements that tokens speak against
 
 
 def outline(seen: list[Event], weights: Weights) -> Outline:
-    opened: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-    out, marked = Outline(), 0
+    opened: dict[str, list[tuple[int, int, int, bool]]] = defaultdict(list)
+    out, marked, against = Outline(), 0, 0
     for i, e in enumerate(seen):
         if not e.name:
-            out.total += len(e.text.split())
+            n = len(e.text.split())
+            out.total += n
+            out.clean += 0 if against else n
         elif e.close:
             if opened[e.name]:
-                start, words, before = opened[e.name].pop()
+                start, words, before, low = opened[e.name].pop()
+                against -= low
                 out.ends[start], out.words[start], out.marks[start] = i, out.total - words, marked - before
         elif e.said:
-            opened[e.name].append((i, out.total, marked))
+            low = weights.against(e.said[1:] if e.name in INLINE else e.said) >= SPOKEN
+            opened[e.name].append((i, out.total, marked, low))
+            against += low
             marked += e.mark and not weights.against(e.said[1:])
     return out
 
@@ -363,8 +374,10 @@ def pieces(page: str, weights: Weights) -> list[Piece]:
         if down and min(MOST, base + up + stack.up) - down - stack.down < -1e-9:
             words = held_.words.get(here, 0)
             most = 2 * words > (held_.total if around is None else around.words)
-            bare = 2 * words > held_.total and (weights.against(e.said[1:]) or e.name in ("form", "fieldset"))
-            if bare or (held_.marks.get(here) or e.mark and e.said[1:]) and (around is None or most):
+            apart = max((ASIDE.get(t, 0) for t in e.said), default=0)
+            aside = apart * held_.clean > words
+            bare = not aside and 2 * words > held_.total and (weights.against(e.said[1:]) or e.name in ("form", "fieldset"))
+            if bare or not (aside and apart == 100) and (held_.marks.get(here) or e.mark and e.said[1:]) and (around is None or most):
                 low, cost, down = not e.mark and e.name not in ("form", "fieldset"), -NAMED * down, 0.0
             elif (end := held_.ends.get(here)) is not None:
                 i = end + 1

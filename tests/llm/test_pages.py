@@ -151,6 +151,19 @@ def test_names_beside_the_article_and_unclosed_elements_lose_no_text(i):
     assert H.extract(WRAPPED[i], H.Weights()).removeprefix("x\n") == LONG_TEXT
 
 
+COMMENTS = "".join(f"<p>reader {i} says that this is all wrong and goes on about it</p>" for i in range(30))
+BESIDE = [
+    f"<article>{LONG}<section class='comments'>{COMMENTS}</section></article>", f"<main><div class='post'>{LONG}</div><div id='comments'>{COMMENTS}</div></main>", f"<main>{LONG}<aside class='sidebar'>{COMMENTS[:900]}</p></aside></main>",
+    f"<div class='post'>{LONG}</div><ol class='commentlist'>{COMMENTS}</ol>", f"<div>{LONG}</div><section id='comments'><article>{COMMENTS}</article></section>", f"<article>{LONG}<div id='disqus_thread'>{COMMENTS * 5}</div></article>",
+    f"<div class='content'>{LONG}</div><div class='comment-section'>{COMMENTS[:900]}</p></div>", f"<div class='sidebar'>{COMMENTS[:900]}</p></div><div>{LONG}</div>",
+]
+
+
+@pytest.mark.parametrize("i", range(len(BESIDE)))
+def test_comments_and_sidebars_longer_than_the_article_go(i):
+    assert H.extract(BESIDE[i], H.Weights()) == LONG_TEXT
+
+
 ODD_PAGES = [
     ("<main><article>A word</article><p>B word</p></main>", "A word\nB word"), (f"<article>{LONG}</article><article>{LONG}</article>", f"{LONG_TEXT}\n{LONG_TEXT}"),
     *[(f"<{x}>{LONG}</{x.split()[0]}><footer>me</footer>", LONG_TEXT) for x in ("div id='ad-free'", "section id='comment-on-policy'", "div class='article-social-history'")],
