@@ -293,12 +293,16 @@ def fit_advi(target: Target, kind: str = "diagonal", *, steps: int = 500, draws:
 
 @dataclass
 class Path:
+    """What one path gave. ``status`` is the search's; ``chosen`` tells how its Gaussian was picked."""
+
     status: str
     draws: np.ndarray
     logp: np.ndarray
     logq: np.ndarray
     elbo: float
     steps: int
+    updates: int = 0
+    chosen: str = "SUCCESS"
 
 
 def inverse_hessian(alpha: np.ndarray, S: list[np.ndarray], Y: list[np.ndarray]) -> np.ndarray:
@@ -317,8 +321,23 @@ def next_alpha(alpha: np.ndarray, s: np.ndarray, z: np.ndarray) -> np.ndarray:
     return 1 / (a / (b * alpha) + z * z / b - a * s * s / (b * c * alpha * alpha))
 
 
+def search_status(updates: int, steps: int, ended: str) -> str:
+    """How a search ended, by how many of its steps gave a pair: too few mean that its curvature can't be trusted."""
+    if updates <= 1:
+        return "INIT_FAILED_LOW_UPDATE_PCT" if steps >= 3 else "INIT_FAILED"
+    if ended != "CONVERGED":
+        return ended
+    return "LOW_UPDATE_PCT" if 3 * updates < steps else "CONVERGED"
+
+
 def pathfinder_path(logp_grad: Callable[[np.ndarray], tuple[float, np.ndarray]], base: np.ndarray, rng: np.random.Generator, *, jitter: float = 2.0, draws: int = 1000, elbo_draws: int = 10, memory: int | None = None, steps: int = 200, eps: float = 1e-8, retries: int = 10) -> Path:
-    """One path: quasi-Newton steps up from a jittered start; the Gaussian of the step with the best bound gives the draws."""
+    """One path: quasi-Newton steps up from a jittered start; the Gaussian of the step with the best bound gives the draws.
+
+    Covariances are a diagonal plus a low rank throughout, so thousands of parameters are no matter. A start that gives no
+    usable pair is tried again elsewhere. Draws are there if any step gave a Gaussian, whatever the status.
+    """
+    from .low_rank import LowRank
+
     k = len(base)
     memory = memory or max(math.ceil(3 * math.log(max(k, 2))), 5)
     for _ in range(retries):
@@ -326,49 +345,57 @@ def pathfinder_path(logp_grad: Callable[[np.ndarray], tuple[float, np.ndarray]],
         value, g = logp_grad(x)
         if not np.isfinite(value) or not np.isfinite(g).all():
             continue
-        alpha, S, Y, best, status = np.ones(k), [], [], None, "MAX_ITER_REACHED"
+        alpha, S, Y, best, ended, updates, step = np.ones(k), [], [], None, "MAX_ITER_REACHED", 0, -1
         for step in range(steps):
             direction = two_loops(g, S, Y)
-            size, new = 1.0, None
+            size, new, finite = 1.0, None, False
             while size > 1e-10:
                 at = x + size * direction
                 v2, g2 = logp_grad(at)
-                if np.isfinite(v2) and v2 >= value + 1e-4 * size * (g @ direction):
+                good = bool(np.isfinite(v2) and np.isfinite(g2).all())
+                finite = finite or good
+                if good and v2 >= value + 1e-4 * size * (g @ direction):
                     new = at
                     break
                 size /= 2
             if new is None:
-                status = "CONVERGED" if step else "INIT_FAILED"
+                ended = "CONVERGED" if finite else "NON_FINITE"
                 break
             s, z = new - x, g - g2
             if s @ z >= eps * (z @ z) and s @ z > 0:
-                alpha = next_alpha(alpha, s, z)
+                alpha, updates = next_alpha(alpha, s, z), updates + 1
                 S, Y = [*S, s][-memory:], [*Y, z][-memory:]
             done = abs(v2 - value) < 1e-10 * max(1.0, abs(value)) or np.max(np.abs(g2)) < 1e-6
             x, value, g = new, v2, g2
-            root = np.linalg.cholesky(nearest_psd(inverse_hessian(alpha, S, Y)))
-            mean = x + root @ (root.T @ g)
-            u = rng.standard_normal((elbo_draws, k))
-            logq = -0.5 * ((u * u).sum(axis=1) + k * LN_2PI) - np.log(np.diag(root)).sum()
-            lp = np.array([logp_grad(mean + root @ e)[0] for e in u])
-            elbo = float(np.mean(lp - logq)) if np.isfinite(lp).all() else -np.inf
-            if best is None or elbo > best[0]:
-                best = (elbo, mean, root)
+            try:
+                H = LowRank(alpha, S, Y)
+            except np.linalg.LinAlgError:
+                H = None
+            if H is not None:
+                mean, u = x + H.times(g), rng.standard_normal((elbo_draws, k))
+                lp = np.array([logp_grad(v)[0] for v in mean + H.moved(u)])
+                elbo = float(np.mean(lp - H.logq(u))) if np.isfinite(lp).all() else -np.inf
+                if best is None or elbo > best[0]:
+                    best = (elbo, mean, H, step)
             if done:
-                status = "CONVERGED"
+                ended = "CONVERGED"
                 break
         if best is None:
             continue
-        elbo, mean, root = best
+        elbo, mean, H, at_step = best
         u = rng.standard_normal((draws, k))
-        made = mean + u @ root.T
-        logq = -0.5 * ((u * u).sum(axis=1) + k * LN_2PI) - np.log(np.diag(root)).sum()
-        return Path(status, made, np.array([logp_grad(v)[0] for v in made]), logq, elbo, step + 1)
-    return Path("INIT_FAILED", np.zeros((0, k)), np.zeros(0), np.zeros(0), -np.inf, 0)
+        made = mean + H.moved(u)
+        logp = np.array([logp_grad(v)[0] for v in made])
+        chosen = "INVALID_LOGP" if not np.isfinite(logp).any() else "ELBO_ARGMAX_AT_ZERO" if at_step == 0 else "SUCCESS"
+        return Path(search_status(updates, step + 1, ended), made, logp, H.logq(u), elbo, step + 1, updates, chosen)
+    return Path("INIT_FAILED", np.zeros((0, k)), np.zeros(0), np.zeros(0), -np.inf, 0, 0, "LBFGS_FAILED")
 
 
-def fit_pathfinder(spark: SparkSession, logp_grad: Callable[[np.ndarray], tuple[float, np.ndarray]], base: np.ndarray, *, paths: int = 4, draws_per_path: int = 1000, draws: int = 1000, method: str | None = "psis", seed: int = 0, **kw) -> DataFrame:
-    """(draw, path, x, logp, logq): one task for each path, then importance resampling over all of them."""
+def run_paths(spark: SparkSession, logp_grad: Callable[[np.ndarray], tuple[float, np.ndarray]], base: np.ndarray, *, paths: int = 4, draws_per_path: int = 1000, seed: int = 0, **kw) -> DataFrame:
+    """(path, status, chosen, steps, updates, elbo, k, x, logp, logq): one task for each path.
+
+    A path's first row, k = -1 without x, is there whether it has draws or not.
+    """
     base = np.asarray(base, dtype=float)
 
     def run(batches):
@@ -377,14 +404,22 @@ def fit_pathfinder(spark: SparkSession, logp_grad: Callable[[np.ndarray], tuple[
                 try:
                     p = pathfinder_path(logp_grad, base, np.random.default_rng([seed, int(i)]), draws=draws_per_path, **kw)
                 except np.linalg.LinAlgError:
-                    p = Path("PATH_FAILED", np.zeros((0, len(base))), np.zeros(0), np.zeros(0), -np.inf, 0)
-                yield pd.DataFrame({"path": int(i), "status": p.status, "k": range(len(p.draws)), "x": list(p.draws), "logp": p.logp, "logq": p.logq})
+                    p = Path("PATH_FAILED", np.zeros((0, len(base))), np.zeros(0), np.zeros(0), -np.inf, 0, 0, "PATH_FAILED")
+                yield pd.DataFrame({"path": int(i), "status": p.status, "chosen": p.chosen, "steps": p.steps, "updates": p.updates, "elbo": p.elbo, "k": [-1, *range(len(p.draws))], "x": [None, *p.draws], "logp": [None, *p.logp], "logq": [None, *p.logq]})
 
-    found = spark.range(paths).repartition(paths).mapInPandas(run, "path long, status string, k int, x array<double>, logp double, logq double")
-    return importance_sampling(found, draws, method=method, seed=seed)
+    return spark.range(paths).repartition(paths).mapInPandas(run, "path long, status string, chosen string, steps int, updates int, elbo double, k int, x array<double>, logp double, logq double")
+
+
+def fit_pathfinder(spark: SparkSession, logp_grad: Callable[[np.ndarray], tuple[float, np.ndarray]], base: np.ndarray, *, paths: int = 4, draws_per_path: int = 1000, draws: int = 1000, method: str | None = "psis", seed: int = 0, **kw) -> DataFrame:
+    """(draw, path, x, logp, logq, ..): paths side by side, then importance resampling over all of them."""
+    found = run_paths(spark, logp_grad, base, paths=paths, draws_per_path=draws_per_path, seed=seed, **kw)
+    return importance_sampling(found.where("k >= 0").select("path", "status", "k", "x", "logp", "logq"), draws, method=method, seed=seed)
 
 
-def path_report(paths: list[Path]) -> dict[str, int]:
+def path_report(paths: list[Path] | DataFrame) -> dict[str, int]:
+    """How many paths ended with each status, of paths or of the table of ``run_paths``."""
+    if isinstance(paths, DataFrame):
+        return {r.status: r["count"] for r in paths.where("k = -1").groupBy("status").count().collect()}
     return dict(Counter(p.status for p in paths))
 
 

@@ -65,25 +65,59 @@ def bspline_interpolation(weights: np.ndarray, *, n: int | None = None, at: np.n
 # --- conjugate gradients -----------------------------------------------------------------------------------------
 
 
-def linear_cg(matvec: Callable[[np.ndarray], np.ndarray], b: np.ndarray, *, preconditioner: Callable[[np.ndarray], np.ndarray] | None = None, tol: float = 1e-10, steps: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
-    """Solve A x = b for a positive definite A given by its products; raises if the tolerance isn't met."""
+def linear_cg(
+    matvec: Callable[[np.ndarray], np.ndarray], b: np.ndarray, *, preconditioner: Callable[[np.ndarray], np.ndarray] | None = None, tol: float = 1e-10, steps: int | None = None, start: np.ndarray | None = None, tridiagonal: bool = False
+) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Solve A x = b for a positive definite A given by its products; raises if the tolerance isn't met.
+
+    tridiagonal: (x, T), where T is A in the basis that the residuals span (Lanczos), made of the steps' own lengths.
+    """
     M = preconditioner or (lambda v: v)
     x = np.zeros_like(b, dtype=float) if start is None else np.asarray(start, dtype=float).copy()
     r = b - matvec(x)
     z = M(r)
     p, rz = z, r @ z
+    lengths: list[tuple[float, float]] = []  # of each step, and of the turn after it
     for _ in range(steps or 10 * len(b)):
         if np.linalg.norm(r) <= tol * max(1.0, np.linalg.norm(b)):
-            return x
+            break
         Ap = matvec(p)
         a = rz / (p @ Ap)
         x, r = x + a * p, r - a * Ap
         z = M(r)
         rz, old = r @ z, rz
         p = z + rz / old * p
-    if np.linalg.norm(r) > tol * max(1.0, np.linalg.norm(b)) * 10:
-        raise RuntimeError("conjugate gradients did not reach the tolerance")
-    return x
+        lengths.append((a, rz / old))
+    else:
+        if np.linalg.norm(r) > tol * max(1.0, np.linalg.norm(b)) * 10:
+            raise RuntimeError("conjugate gradients did not reach the tolerance")
+    return (x, lanczos(lengths)) if tridiagonal else x
+
+
+def lanczos(lengths: list[tuple[float, float]]) -> np.ndarray:
+    """The tridiagonal matrix of conjugate-gradient steps."""
+    k = len(lengths)
+    T = np.zeros((k, k))
+    for i, (a, turn) in enumerate(lengths):
+        T[i, i] = 1 / a + (lengths[i - 1][1] / lengths[i - 1][0] if i else 0.0)
+        if i + 1 < k:
+            T[i, i + 1] = T[i + 1, i] = np.sqrt(turn) / a
+    return T
+
+
+def logdet_quadrature(matvec: Callable[[np.ndarray], np.ndarray], n: int, *, probes: int | None = None, steps: int | None = None, tol: float = 1e-12, seed: int = 0) -> float:
+    """log det of a positive definite A by its products: Gauss quadrature of the logarithm from each probe's tridiagonal matrix.
+
+    probes: random sign vectors, an estimate; by default the n unit vectors, which is exact once the steps suffice.
+    """
+    rng = np.random.default_rng(seed)
+    starts = np.eye(n) if probes is None else rng.choice([-1.0, 1.0], size=(probes, n))
+    total = 0.0
+    for v in starts:
+        _, T = linear_cg(matvec, v, tol=tol, steps=steps or 4 * n, tridiagonal=True)
+        w, U = np.linalg.eigh(T)
+        total += float(v @ v) * float((U[0] ** 2 * np.log(np.maximum(w, 1e-300))).sum())
+    return total if probes is None else total / len(starts)
 
 
 def table_matvec(entries: DataFrame, n: int, row: str = "i", column: str = "j", value: str = "v") -> Callable[[np.ndarray], np.ndarray]:
