@@ -279,7 +279,13 @@ def markov_time_varying_logp(spark, sf_dir):
 
 @register("markov_simulate")
 def markov_simulate(spark, sf_dir):
-    return markov.simulate(spark, 200, 50, [[0.6, 0.2, 0.2], [0.5, 0.1, 0.4], [0.1, 0.1, 0.8]], [0.2, 0.3, 0.5], seed=4)
+    """As many chains as there are users, by the shares with which their events follow one another."""
+    rows = states(spark, sf_dir)
+    counts = np.ones((len(EVENT), len(EVENT)))  # one of each, so that every state goes on
+    for row in markov.transition_counts(rows, "user_id", ["ts", "event_id"], "state").collect():  # a row for each pair of states
+        counts[row["s_1"], row["state"]] += row["n"]
+    p = counts / counts.sum(axis=1, keepdims=True)
+    return markov.simulate(spark, rows.select("user_id").distinct().count(), 50, p, counts.sum(axis=1) / counts.sum(), seed=4)
 
 
 @register("markov_gibbs_step")

@@ -81,19 +81,27 @@ def linear_model_posterior(spark, sf_dir):
     return LinearModel({"noise_sd": 5.0}, {"draws": 200, "seed": 1}).fit(df).posterior
 
 
-def gaussian(mean: list[float], sd: list[float]):
-    m, s = np.array(mean), np.array(sd)
+def sizes(spark, sf_dir) -> tuple[float, float, float]:
+    """How many parts there are, and mean and variance of their sizes in tens: all that a normal likelihood of them needs."""
+    x = F.col("p_size") / 10
+    return tuple(float(v) for v in table(spark, sf_dir, "part").agg(F.count(F.lit(1)), F.avg(x), F.var_pop(x)).head())
+
+
+def normal_posterior(n: float, mean: float, variance: float):
+    """Log density of (mean, log of the spread) given the rows' moments, with standard normal priors on both, and its slopes."""
 
     def look(x):
-        z = (np.asarray(x) - m) / s
-        return float(-0.5 * (z * z).sum() - np.log(s).sum() - len(m) / 2 * math.log(2 * math.pi)), -z / s
+        m, s = float(x[0]), float(x[1])
+        squares, sharp = n * (variance + (mean - m) ** 2), float(np.exp(np.clip(-2 * s, -700, 700)))
+        value = -n * s - 0.5 * squares * sharp - 0.5 * n * math.log(2 * math.pi) - 0.5 * m * m - 0.5 * s * s
+        return value, np.array([n * (mean - m) * sharp - m, -n + squares * sharp - s])
 
     return look
 
 
 @register("pathfinder")
 def pathfinder(spark, sf_dir):
-    return I.fit_pathfinder(spark, gaussian([1.0, -2.0, 0.5], [0.5, 2.0, 1.0]), np.zeros(3), paths=4, draws_per_path=200, draws=300, seed=3)
+    return I.fit_pathfinder(spark, normal_posterior(*sizes(spark, sf_dir)), np.array([2.0, 0.0]), paths=4, draws_per_path=200, draws=300, seed=3)
 
 
 @register("dadvi_gaussian")
@@ -106,21 +114,22 @@ def dadvi_gaussian(spark, sf_dir):
 
 @register("advi_guides")
 def advi_guides(spark, sf_dir):
-    look = gaussian([1.0, -2.0], [0.5, 1.5])
-    target = I.function_target(["a", "b"], lambda x: look(x)[0], lambda x: look(x)[1], lambda x: np.diag([-4.0, -1 / 2.25]))
+    look = normal_posterior(*sizes(spark, sf_dir))
+    target = I.function_target(["mean", "log_sd"], lambda x: look(x)[0], lambda x: look(x)[1])
     rows = [(kind, *map(float, fit.mean), *map(float, np.sqrt(np.diag(fit.covariance)))) for kind in ("diagonal", "full", "low_rank") for fit in [I.fit_advi(target, kind, steps=800, seed=2)]]
-    return spark.createDataFrame(rows, "kind string, mean_a double, mean_b double, sd_a double, sd_b double")
+    return spark.createDataFrame(rows, "kind string, mean double, log_sd double, sd_mean double, sd_log_sd double")
 
 
-@register("smc_bimodal")
+@register("smc_bimodal", "SELECT 150::BIGINT AS particles, round(sqrt(avg(p_size / 50.0::DOUBLE)), 1) AS mode, true AS both_sides, true AS narrow FROM part")
 def smc_bimodal(spark, sf_dir):
-    def log_likelihood(x):
-        a = -0.5 * ((x - 0.5) ** 2).sum() / 0.01 + math.log(0.1)
-        b = -0.5 * ((x + 0.5) ** 2).sum() / 0.01 + math.log(0.9)
-        return float(np.logaddexp(a, b))
+    """Part sizes around the square of a parameter: particles stay at both roots, the mass split between them."""
+    from ..operators import smc
 
-    x, _ = I.fit_smc(spark, lambda rng: rng.uniform(-2, 2, 2), lambda v: 0.0 if (np.abs(v) < 2).all() else -1e10, log_likelihood, particles=200, moves=2, leaps=3, step=0.05, seed=4, most=30)
-    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "particle int, a double, b double")
+    df = table(spark, sf_dir, "part").select((F.col("p_size") / 50.0).alias("y"))
+    a = E.param("a")
+    x, _ = smc.fit_smc(df, E.normal(E.data("y"), a * a, 0.3), E.normal(a, 0.0, 1.0), ["a"], ["y"], lambda rng: rng.normal(size=1), particles=150, moves=1, step=0.05, depth=2, seed=4)
+    found = spark.createDataFrame([(i, float(v[0])) for i, v in enumerate(x)], "particle int, a double")
+    return found.agg(F.count(F.lit(1)).alias("particles"), r(F.avg(F.abs("a")), 1).alias("mode"), F.avg((F.col("a") > 0).cast("int")).between(0.1, 0.9).alias("both_sides"), (F.stddev(F.abs("a")) < 0.1).alias("narrow"))
 
 
 # Years are independent given the spread: each one's mode by Newton steps of its own.
@@ -223,7 +232,8 @@ def dims_alignment(spark, sf_dir):
 @register("prior_draws")
 def prior_draws(spark, sf_dir):
     p = Prior("Normal", mu=Prior("Normal", mu=1.0, sigma=0.5), sigma=Prior("HalfNormal", sigma=1.0), dims=("g",), centered=False)
-    return p.sample(spark, {"g": ["a", "b", "c"]}, draws=100, name="x", seed=7)
+    names = [row[0] for row in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]  # five
+    return p.sample(spark, {"g": names}, draws=100, name="x", seed=7)
 
 
 _MIX = M.Model((M.rv("z", "Bernoulli", p=0.7), M.rv("y", "Normal", mu=M.Pick("z", (10.0, 30.0)), sigma=8.0, observed="l_quantity")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import statespace as S
@@ -151,13 +151,26 @@ def ets_holt_damped(spark, sf_dir):
 
 @register(
     "impulse_response",
-    """SELECT i::INT AS step, round(2 * pow(0.8::DOUBLE, i), 6) AS response FROM range(0, 20) r(i)""",
+    """WITH v AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS x FROM events), p AS (SELECT event_type, regr_slope(y, x) AS phi FROM v GROUP BY event_type)
+    SELECT event_type, i::INT AS step, round(2 * pow(phi, i), 6) AS response FROM p, range(0, 20) r(i)""",
 )
 def impulse_response(spark, sf_dir):
-    model = S.StateSpace(T=[[0.8]], Z=[[1.0]], R=[[1.0]], H=[[0.0]], Q=[[1.0]], x0=[0.0], P0=[[1.0]])
-    got = S.impulse_response(model, 20, shock_size=[2.0])[:, 0]
-    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(got)], "step int, response double")
+    """What becomes of a shock of two in each type of event, if a value follows the user's last one of that type."""
+    lag = F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy(*TIME))
+    fits = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("y"), lag.alias("x")).groupBy("event_type").agg(F.regr_slope("y", "x").alias("phi"))
 
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for kind, phi in zip(b["event_type"], b["phi"], strict=True):
+                model = S.StateSpace(T=[[phi]], Z=[[1.0]], R=[[1.0]], H=[[0.0]], Q=[[1.0]], x0=[0.0], P0=[[1.0]])
+                out += [(kind, i, float(x)) for i, x in enumerate(S.impulse_response(model, 20, shock_size=[2.0])[:, 0])]
+            yield pd.DataFrame(out, columns=["event_type", "step", "response"])
+
+    got = fits.mapInPandas(run, "event_type string, step int, response double")
+    return got.select("event_type", "step", r(F.col("response")).alias("response"))
 
 
 def monthly(spark, sf_dir) -> DataFrame:
@@ -271,7 +284,9 @@ _built("dynamic_factor_loglike", M.dynamic_factor(np.array([[1.0], [0.5]]), [np.
 
 @register("statespace_simulate")
 def statespace_simulate(spark, sf_dir):
-    return S.simulate_table(spark, level_model(1.0, 1.0), 50, 20, seed=1)
+    """Series as noisy as the events' values, whose level moves a tenth as much."""
+    spread = float(table(spark, sf_dir, "events").agg(F.var_pop("value")).head()[0])
+    return S.simulate_table(spark, level_model(spread, spread / 100), 50, 20, seed=1)
 
 
 @register("simulation_smoother")
