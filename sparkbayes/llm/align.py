@@ -6,7 +6,8 @@ and last B token that an A token overlaps, a range join all of them, and window
 
 A text is cut before every blank that follows something other than white space. No token of either vocabulary reaches
 over such a place (``Aligner`` makes sure of it), so a chunk's alignment is the same in every text, groups end there, and
-chunks met before come from a memo bounded by bytes. Whole texts are aligned, whatever their length.
+chunks met before come from a memo bounded by bytes. A mark behind a word (a comma, say) is a group of its own, so the word is
+aligned without it. Whole texts are aligned, whatever their length.
 
 How many documents hold a pair of ids linked: each slice counts its own documents' pairs, and Spark merges these partial
 counts. A slice's documents keep their pairs as places in the slice's own list, so the counts go back to slices (bounded
@@ -20,6 +21,7 @@ A id's highest count are all highest; an empty table gives an empty table; colum
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 from itertools import chain
 
@@ -87,6 +89,8 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id("▁")
+        # A single mark behind a letter is a token of its own on either side, so the word before it is aligned alone.
+        self.tails = {p: (vocab[p], self.b.piece_to_id(p)) for p in ".,;:!?" if p in vocab and p in pieces and not any(c.isalpha() and d == p for x in pieces for c, d in zip(x, x[1:], strict=False))}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "autoinstall_known_extensions": False})
         self.memo = Memo(None, most_bytes)
 
@@ -117,6 +121,20 @@ class Aligner:
         self._aligned(good, texts, out)
         return out
 
+    def _split(self, chunks: list[str]) -> dict:
+        """New chunks' entries; a word with a mark behind it is the word's entry and one group more."""
+        whole = {c: c[:-1] if len(c) > 1 and c[-1] in self.tails and c[-2].isalpha() else c for c in chunks}
+        known = {w: e for w in {*whole.values()} if (e := self.memo.get(w) or self.memo.old.get(w)) is not None}
+        known |= self._align([w for w in dict.fromkeys(whole.values()) if w not in known])
+        out = {}
+        for c, w in whole.items():
+            e = known[w]
+            if w != c and e:
+                a, b = self.tails[c[-1]]
+                e = (e[0] + 1, e[1] + 1, e[2] + 1, f"{e[3]};{a}|{b}", e[4] + ((a << 32) | b).to_bytes(8, sys.byteorder))
+            out[c] = e
+        return out
+
     def _aligned(self, good: list[str], texts: list[str], out: dict) -> None:
         if not good:
             return
@@ -157,7 +175,7 @@ class Aligner:
                 lot.append(i)
                 size += len(chunks[i])
             if lot and (size > most_bytes or k == len(missing) - 1):
-                new = self._align([chunks[j] for j in lot])
+                new = self._split([chunks[j] for j in lot])
                 for j in lot:
                     out[j] = new[chunks[j]]
                     self._keep(chunks[j], out[j])
@@ -260,7 +278,7 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, path_a
         aligner = held(("align", at_a, at_b), lambda: Aligner(at_a, at_b))
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, most_bytes=4 << 20):
                 yield align_slice(aligner, part.column(0), part.column(1), block)
                 block += 1
 
