@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -62,6 +63,17 @@ class ModelBuilder:
         self.posterior = self.fitted.draws(df.sparkSession, self.sampler_config["draws"], seed=self.sampler_config["seed"])
         return self
 
+    def averaged(self, df: DataFrame, of: Callable[[dict[str, Column]], Column], to: str) -> DataFrame:
+        """``df`` with the mean of ``of(parameters)`` over the posterior draws, in the column ``to``.
+
+        All draws (as many as ``sampler_config`` says) go along as one row, so each row of ``df`` is averaged where it lies.
+        """
+        self._check()
+        names = self.parameters()
+        draws = self.posterior.agg(F.collect_list(F.struct(*names)).alias("_draws"))
+        total = F.aggregate("_draws", F.lit(0.0), lambda sum_, d: sum_ + of({n: d[n] for n in names}))
+        return df.crossJoin(draws).withColumn(to, total / F.size("_draws")).drop("_draws")
+
     def _check(self) -> None:
         if self.fitted is None:
             raise RuntimeError("fit the model first")
@@ -108,16 +120,14 @@ class LinearModel(ModelBuilder):
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with the posterior mean of the prediction."""
-        self._check()
-        a, b, _ = (float(v) for v in self.fitted.mean)
-        return df.withColumn("prediction", a + b * F.col(self.model_config["x"]))
+        return self.averaged(df, lambda p: p["intercept"] + p["slope"] * F.col(self.model_config["x"]), "prediction")
 
     def predict_posterior(self, df: DataFrame, key: str) -> DataFrame:
         """(draw, key, prediction) under each posterior draw; the draws, a parameter of the fit, are what is repeated."""
         self._check()
         from ..functions.special import normal
 
-        pairs = df.select(key, self.model_config["x"]).crossJoin(F.broadcast(self.posterior))
+        pairs = df.select(key, self.model_config["x"]).crossJoin(self.posterior)
         mean = F.col("intercept") + F.col("slope") * F.col(self.model_config["x"])
         return pairs.select("draw", key, (mean + F.exp("log_noise") * normal(F.xxhash64("draw", key), 11)).alias("prediction"))
 
@@ -126,3 +136,49 @@ class LinearModel(ModelBuilder):
 
         c, key = self.model_config, F.col("draw")
         return spark.range(n).withColumnRenamed("id", "draw").select("draw", (c["intercept_sd"] * normal(key, seed)).alias("intercept"), (c["slope_sd"] * normal(key, seed + 1)).alias("slope"), F.log(F.abs(c["noise_sd"] * normal(key, seed + 2))).alias("log_noise"))
+
+
+class LogisticModel(ModelBuilder):
+    """y ~ Bernoulli(sigmoid(intercept + sum of slopes x)): normal priors of all coefficients."""
+
+    kind = "LogisticModel"
+
+    def default_model_config(self) -> dict:
+        return {"x": ["input"], "y": "output", "intercept_sd": 5.0, "slope_sd": 5.0}
+
+    def parameters(self) -> list[str]:
+        return ["intercept", *(f"slope_{x}" for x in self.model_config["x"])]
+
+    def likelihood(self) -> E.Expr:
+        line = E.param("intercept")
+        for x in self.model_config["x"]:
+            line = line + E.param(f"slope_{x}") * E.data(x)
+        return E.bernoulli_logit(E.data(self.model_config["y"]), line)
+
+    def prior(self) -> E.Expr:
+        out = E.normal(E.param("intercept"), 0.0, self.model_config["intercept_sd"])
+        for x in self.model_config["x"]:
+            out = out + E.normal(E.param(f"slope_{x}"), 0.0, self.model_config["slope_sd"])
+        return out
+
+    def chance(self, p: dict[str, Column]) -> Column:
+        line = p["intercept"]
+        for x in self.model_config["x"]:
+            line = line + p[f"slope_{x}"] * F.col(x)
+        return 1 / (1 + F.exp(-line))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` with the chance of a one, the mean over the posterior draws."""
+        return self.averaged(df, self.chance, "probability")
+
+    def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+        return self.predict_proba(df).withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
+
+    def predict_posterior(self, df: DataFrame, key: str) -> DataFrame:
+        """(draw, key, prediction): a drawn outcome for each row under each posterior draw."""
+        self._check()
+        from ..functions.special import uniform
+
+        pairs = df.select(key, *self.model_config["x"]).crossJoin(self.posterior)
+        hit = uniform(F.xxhash64("draw", key), 13) < self.chance({n: F.col(n) for n in self.parameters()})
+        return pairs.select("draw", key, hit.cast("int").alias("prediction"))

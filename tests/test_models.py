@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkbayes.operators import numeric
 from sparkbayes.plans import model as M
 from sparkbayes.plans import priors as P
-from sparkbayes.plans.builder import LinearModel
+from sparkbayes.plans.builder import LinearModel, LogisticModel
 from sparkbayes.sources import loader
 from sparkbayes.streaming import online
 
@@ -145,6 +145,24 @@ def test_linear_model(spark, tmp_path):
         loader.load_tables(spark, at, expect_id="other")
 
 
+def test_logistic_model(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 2))
+    p = 1 / (1 + np.exp(-(0.3 + x @ [1.5, -1.0])))
+    df = spark.createDataFrame([(i, float(a), float(b), int(u < q)) for i, ((a, b), q, u) in enumerate(zip(x, p, rng.uniform(size=500), strict=True))], "id int, a double, b double, hit int")
+    model = LogisticModel({"x": ["a", "b"], "y": "hit"}, {"draws": 200, "seed": 1}).fit(df)
+    assert np.allclose(model.fitted.mean, [0.3, 1.5, -1.0], atol=0.4)
+    got = {r.id: r.probability for r in model.predict_proba(df).collect()}
+    draws = np.array([[r[n] for n in model.parameters()] for r in model.posterior.collect()])
+    want = (1 / (1 + np.exp(-(draws[:, :1] + draws[:, 1:] @ x.T)))).mean(axis=0)
+    assert np.allclose([got[i] for i in range(500)], want) and abs(want - p).mean() < 0.08
+    assert model.predict(df).where((F.col("probability") >= 0.5) != (F.col("prediction") == 1)).isEmpty()
+    share = model.predict_posterior(df.limit(3), "id").groupBy("id").agg(F.avg("prediction").alias("p")).collect()
+    assert all(abs(r.p - got[r.id]) < 0.15 for r in share)
+    model.save(f"file://{tmp_path}/m")
+    assert LogisticModel.load(spark, f"file://{tmp_path}/m").predict_proba(df).count() == 500
+
+
 def test_loader(spark, tmp_path):
     spark.range(1000).select("id", (F.col("id") * 2.0).alias("v"), F.col("id").cast("string").alias("s")).repartition(3).write.parquet(f"file://{tmp_path}/t")
     df = loader.parquet_source(spark, f"file://{tmp_path}/t", columns=["id", "v"])
