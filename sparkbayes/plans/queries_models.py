@@ -247,3 +247,25 @@ def logistic_bounded(spark, sf_dir):
     bound, _, _ = I.find_map(target, np.zeros(2), bounds=[(None, None), (0.1, None)], tol=1e-10)
     free, _, _ = I.find_map(target, np.zeros(2), method="trust-ncg", tol=1e-10)
     return spark.createDataFrame([(k, round(float(a), 5), round(float(b), 5)) for k, (a, b) in (("a", bound), ("free a", free))], "param string, value double, slope double")
+
+
+# --- batches -------------------------------------------------------------------------------------------------------------------
+
+
+@register(
+    "minibatch_content",
+    """WITH t AS (SELECT count(*) AS n, avg(o_orderkey) AS m, stddev_pop(o_orderkey) AS s FROM orders)
+    SELECT n // 256 AS batches, 256 * (n // 256) AS n_rows, 256 * (n // 256) AS n_keys, 0::BIGINT AS unknown, 0::BIGINT AS changed, true AS mixed, true AS centred FROM t""",
+)
+def minibatch_content(spark, sf_dir):
+    """Shuffled batches of orders: every row once and as it is in the table, each batch a fair sample of all."""
+    from ..sources import loader
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    got = loader.batches(orders, 256, seed=1, epoch=1)
+    joined = got.join(orders.select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(1).alias("there")), "o_orderkey", "left")
+    counts = joined.agg(F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"), F.count_if(F.col("there").isNull()).alias("unknown"), F.count_if(~F.col("o_totalprice").eqNullSafe(F.col("price"))).alias("changed"))
+    means = got.groupBy("batch").agg(F.avg("o_orderkey").alias("m")).agg(F.stddev("m").alias("spread"), F.avg("m").alias("centre"))
+    whole = orders.agg(F.stddev_pop("o_orderkey").alias("s"), F.avg("o_orderkey").alias("m"))
+    fair = means.crossJoin(whole).select((F.col("spread") * 16 / F.col("s")).between(0.4, 1.8).alias("mixed"), (F.abs(F.col("centre") - F.col("m")) < F.col("s") / 10).alias("centred"))  # one row each
+    return counts.crossJoin(fair)
