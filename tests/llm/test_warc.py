@@ -114,5 +114,5 @@ def test_archives_from_elsewhere(spark, tmp_path):
     (tmp_path / "y.warc.zst").write_bytes(b"".join(parts[:2]) + parts[1][:-5])
     found = warc.read(spark, f"file://{tmp_path}", mode="PERMISSIVE").collect()
     assert sorted((r.record_id or "", (r.error or "")[:23]) for r in found) == [("", "x.warc.zst, record 1: t"), ("", "y.warc.zst, record 1: a"), ("1", ""), ("1", ""), ("1", "")]
-    with pytest.raises(Exception, match="record 1: the payload's length or digest"):
+    with pytest.raises(Exception, match="record 1: (the payload's length or digest|a frame is cut short)"):
         warc.read(spark, f"file://{tmp_path}").collect()
