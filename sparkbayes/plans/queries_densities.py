@@ -142,6 +142,11 @@ def states(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", number.cast("int").alias("state"), "value")
 
 
+def log_values(spark, sf_dir) -> DataFrame:
+    """``states`` with y, the log of the value: -inf at zero, which Spark's own log makes null."""
+    return states(spark, sf_dir).withColumn("y", F.when(F.col("value") == 0, F.lit(float("-inf"))).otherwise(F.log("value")))
+
+
 _STATES = "states AS (SELECT user_id, ts, event_id, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS state, value FROM events)"
 _PAIR = np.array([[(1 + (3 * i + 5 * j) % 7) for j in range(5)] for i in range(5)], dtype=float)
 
@@ -381,7 +386,7 @@ _HMM = """e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 @register("hmm_forward_logp", f"WITH RECURSIVE {_HMM} SELECT user_id, round(max_by(l, t), 4) AS logp FROM f GROUP BY user_id")
 def hmm_forward_logp(spark, sf_dir):
     means = [3.0, 5.0]
-    rows = states(spark, sf_dir).withColumn("y", F.log("value"))
+    rows = log_values(spark, sf_dir)
     got = markov.hmm_logp(rows, "user_id", ["ts", "event_id"], "y", lambda v, j: normal_logp(v, means[j], 1.0), [[0.9, 0.1], [0.2, 0.8]], [0.6, 0.4])
     return got.select("user_id", r(F.col("logp"), 4).alias("logp"))
 
@@ -395,7 +400,7 @@ def hmm_forward_logp(spark, sf_dir):
     SELECT user_id, (t - 1)::INT AS t, round(s1, 6) AS prob FROM g""",
 )
 def hmm_smoothed_prob(spark, sf_dir):
-    rows = states(spark, sf_dir).withColumn("y", F.log("value"))
+    rows = log_values(spark, sf_dir)
     logs = lambda y: -0.5 * (y[:, None] - np.array([3.0, 5.0])) ** 2 - 0.5 * math.log(2 * math.pi)
     got = markov.hmm_smoothed(rows, "user_id", ["ts", "event_id"], "y", logs, [[0.9, 0.1], [0.2, 0.8]], [0.6, 0.4])
     return got.where("state = 1").select("user_id", "t", r(F.col("prob")).alias("prob"))
@@ -403,7 +408,7 @@ def hmm_smoothed_prob(spark, sf_dir):
 
 @register("hmm_path_draws")
 def hmm_path_draws(spark, sf_dir):
-    rows = states(spark, sf_dir).withColumn("y", F.log("value"))
+    rows = log_values(spark, sf_dir)
     logs = lambda y: -0.5 * (y[:, None] - np.array([3.0, 5.0])) ** 2 - 0.5 * math.log(2 * math.pi)
     return markov.hmm_draws(rows, "user_id", ["ts", "event_id"], "y", logs, [[0.9, 0.1], [0.2, 0.8]], [0.6, 0.4], 3, seed=1)
 

@@ -264,3 +264,19 @@ def test_explained_variance_prior():
     assert abs(share - 0.6) < 0.05 and math.isclose(made[0][0], 2 * math.sqrt(0.4))
     with pytest.raises(TypeError):
         numeric.r2d2m2cp(1.0, np.ones(2), 0.5, importance=np.ones(2), importance_concentration=np.ones(2))
+
+
+def test_impossible_values_leave_nothing_defined_behind_them(spark):
+    df = spark.createDataFrame([(q, t, v) for q, ys in {"all": [1, 0], "last": [1, 7], "inside": [1, 7, 0]}.items() for t, v in enumerate(ys)], "q string, t int, y int")
+    got = {r[0]: r[1] for r in markov.hmm_logp(df, "q", ["t"], "y", lambda v, j: F.when(v < 2, math.log(0.5)).otherwise(F.lit(float("-inf"))), [[0.5, 0.5], [0.3, 0.7]], [0.5, 0.5]).collect()}
+    assert math.isclose(got["all"], math.log(0.25)) and got["last"] == float("-inf") and math.isnan(got["inside"])
+
+
+def test_zero_values_are_no_missing_values(spark, tmp_path):
+    """As in the query's SQL, where the logarithm of zero is -inf."""
+    from sparkbayes.plans.catalog import QUERIES
+
+    rows = [(i, u, "view", v) for i, (u, v) in enumerate([(1, 20.0), (1, 0.0), (1, 30.0), (2, 20.0), (2, 30.0), (3, 20.0), (3, 0.0)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r[0]: r[1] for r in QUERIES["hmm_forward_logp"](spark, str(tmp_path)).collect()}
+    assert math.isnan(got[1]) and math.isfinite(got[2]) and got[3] == float("-inf")
