@@ -4,8 +4,9 @@ A model is nine matrices: x0, P0, c, d, T, Z, R, H, Q, of which all but x0 and P
 
     y_t = d + Z x_t + e_t, e ~ N(0, H)        x_{t+1} = c + T x_t + R w_t, w ~ N(0, Q)
 
-Kernels are numpy over one series. Tables of many series run them with one shuffle by series, ordered inside each;
-scalar models also exist as Column folds, which never leave the JVM. Missing observations are nulls or NaNs.
+Kernels are numpy over one series. Tables of many series run them with one shuffle by series, ordered inside each, or
+filter and smooth batches of series side by side (``side_by_side``); scalar models also exist as Column folds, which never
+leave the JVM. Missing observations are nulls or NaNs.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import side_by_side as B
+
 LN_2PI = math.log(2 * math.pi)
 MATRICES = ("x0", "P0", "c", "d", "T", "Z", "R", "H", "Q")
 AXES = {"x0": 1, "P0": 2, "c": 1, "d": 1, "T": 2, "Z": 2, "R": 2, "H": 2, "Q": 2}
@@ -352,6 +356,16 @@ def filter_series(df: DataFrame, model: StateSpace, series: str, time: list[str]
     return per_series(df, series, time, observed, kernel, f"t int, {arrays}, loglike double" + ", smoothed array<double>, smoothed_cov array<double>" * smoothed)
 
 
+def loglikes(df: DataFrame, model: StateSpace, series: str, time: list[str], observed: list[str], kinds: list[str]) -> DataFrame:
+    """(series, kind, loglike) by several filters, side by side on each series."""
+
+    def kernel(sizes: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, list]:
+        found = [B.filtered(model, sizes, ys, k, keep=False)["loglike"] for k in kinds]
+        return np.tile(np.arange(len(sizes)), len(kinds)), [pa.array(np.repeat(kinds, len(sizes)).tolist(), pa.string()), pa.array(np.concatenate(found))]
+
+    return B.mapped(B.gathered(df, series, time, observed), series, model.p, model.m, kernel, "kind string, loglike double")
+
+
 def loglike(df: DataFrame, model: StateSpace, series: str, time: list[str], observed: list[str], *, kind: str = "standard") -> DataFrame:
     """(series, loglike)"""
     return per_series(df, series, time, observed, lambda y: pd.DataFrame({"loglike": [kalman(model, y, kind).loglike.sum()]}), "loglike double")

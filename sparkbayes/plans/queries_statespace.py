@@ -112,11 +112,7 @@ def trend_model() -> S.StateSpace:
 @register("kalman_filter_kinds", " UNION ALL ".join(f"({_TREND.format(kind=k)})" for k in ("cholesky", "standard", "univariate")))
 def kalman_filter_kinds(spark, sf_dir):
     """A local linear trend by three filters, side by side on each series."""
-    import pandas as pd
-
-    model = trend_model()
-    kinds = ["cholesky", "standard", "univariate"]
-    got = S.per_series(events(spark, sf_dir), "user_id", TIME, ["y"], lambda y: pd.DataFrame({"kind": kinds, "loglike": [S.kalman(model, y, k).loglike.sum() for k in kinds]}), "kind string, loglike double")
+    got = S.loglikes(events(spark, sf_dir), trend_model(), "user_id", TIME, ["y"], ["cholesky", "standard", "univariate"])
     return got.select("user_id", r(F.col("loglike"), 3).alias("loglike"), "kind")
 
 
