@@ -368,7 +368,7 @@ def loglikes(df: DataFrame, model: StateSpace, series: str, time: list[str], obs
 
 def loglike(df: DataFrame, model: StateSpace, series: str, time: list[str], observed: list[str], *, kind: str = "standard") -> DataFrame:
     """(series, loglike)"""
-    return per_series(df, series, time, observed, lambda y: pd.DataFrame({"loglike": [kalman(model, y, kind).loglike.sum()]}), "loglike double")
+    return loglikes(df, model, series, time, observed, [kind]).drop("kind")
 
 
 def forecast_series(df: DataFrame, model: StateSpace, series: str, time: list[str], observed: list[str], steps: int) -> DataFrame:

@@ -97,3 +97,15 @@ def test_tables_of_series_in_any_order(spark):
         assert np.allclose(r["filtered"], want[q].filtered[t]) and np.allclose(r["smoothed_cov"], S.smooth(model, want[q])[1][t].ravel()) and np.isclose(r["loglike"], want[q].loglike[t])
     sums = S.loglikes(df, model, "q", ["t"], ["y"], ["standard", "cholesky"]).groupBy("q").agg(F.sum("loglike").alias("x")).collect()
     assert all(np.isclose(r["x"], 2 * want[r["q"]].loglike.sum()) for r in sums)
+
+
+def in_batches(df) -> bool:
+    plan = df._jdf.queryExecution().toString()
+    return "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_likelihoods_go_in_batches(spark):
+    df = spark.createDataFrame([("a", 0, 1.0)], "q string, t int, y double")
+    assert in_batches(S.loglike(df, made(4, 2, 1), "q", ["t"], ["y"], kind="convergent"))
+    with pytest.raises(Exception, match="no missing values"):
+        S.loglike(df.unionByName(df.select("q", "t", F.lit(None).cast("double").alias("y"))), made(4, 2, 1), "q", ["t"], ["y"], kind="convergent").collect()
