@@ -344,16 +344,17 @@ def filter_series(df: DataFrame, model: StateSpace, series: str, time: list[str]
     """(series, t, filtered, filtered_cov, predicted, predicted_cov, observed, observed_cov, loglike[, smoothed, smoothed_cov]); matrices as flat arrays."""
     names = ["filtered", "filtered_cov", "predicted", "predicted_cov", "observed", "observed_cov"]
 
-    def kernel(y: np.ndarray) -> pd.DataFrame:
-        f = kalman(model, y, kind)
-        out = {"t": np.arange(len(y))} | {k: [x.ravel() for x in getattr(f, k)] for k in names} | {"loglike": f.loglike}
+    def kernel(sizes: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, list]:
+        f = B.filtered(model, sizes, ys, kind)
+        out = [f[k] for k in names]
         if smoothed:
-            a, P = smooth(model, f)
-            out |= {"smoothed": list(a), "smoothed_cov": [x.ravel() for x in P]}
-        return pd.DataFrame(out)
+            out += B.smoothed(model, sizes, f)
+        rows, t = np.nonzero(np.arange(ys.shape[1])[None] < sizes[:, None])
+        told = [B.lists(x[rows if len(x) > 1 else 0, t]) for x in out]
+        return rows, [pa.array(t.astype(np.int32)), *told[: len(names)], pa.array(f["loglike"][rows, t]), *told[len(names) :]]
 
     arrays = ", ".join(f"{k} array<double>" for k in names)
-    return per_series(df, series, time, observed, kernel, f"t int, {arrays}, loglike double" + ", smoothed array<double>, smoothed_cov array<double>" * smoothed)
+    return B.mapped(B.gathered(df, series, time, observed), series, model.p, model.m, kernel, f"t int, {arrays}, loglike double" + ", smoothed array<double>, smoothed_cov array<double>" * smoothed)
 
 
 def loglikes(df: DataFrame, model: StateSpace, series: str, time: list[str], observed: list[str], kinds: list[str]) -> DataFrame:

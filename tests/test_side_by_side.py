@@ -109,3 +109,8 @@ def test_likelihoods_go_in_batches(spark):
     assert in_batches(S.loglike(df, made(4, 2, 1), "q", ["t"], ["y"], kind="convergent"))
     with pytest.raises(Exception, match="no missing values"):
         S.loglike(df.unionByName(df.select("q", "t", F.lit(None).cast("double").alias("y"))), made(4, 2, 1), "q", ["t"], ["y"], kind="convergent").collect()
+
+
+def test_outputs_go_in_batches(spark):
+    df = spark.createDataFrame([("a", 0, 1.0)], "q string, t int, y double")
+    assert in_batches(S.filter_series(df, made(4, 2, 1), "q", ["t"], ["y"], smoothed=True))
