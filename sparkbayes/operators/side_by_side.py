@@ -72,13 +72,13 @@ def batches(size: np.ndarray, apart: np.ndarray, weight: int) -> Iterator[np.nda
         lo = hi
 
 
-def side_by_side(lists: pa.Array, p: int, m: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, lengths, series x times x p) of batches of a column of ``gathered`` series; series without missing values are apart."""
+def side_by_side(lists: pa.Array, p: int, m: int = 1, *, apart: bool = True, points: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, lengths, series x times x p) of batches of a column of ``gathered`` series; with ``apart``, series without missing values are by themselves."""
     ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
     ends = ends - ends[0]
     size = np.diff(ends) // p
     holes = np.concatenate([[0], np.cumsum(np.isnan(flat))])[ends]
-    for some in batches(size, np.diff(holes) > 0, max(m, p) ** 2):
+    for some in batches(size, (np.diff(holes) > 0) & apart, points * max(m, p) ** 2):
         out = np.full((len(some), int(size[some].max()), p), np.nan)
         for i, s in enumerate(some):
             out[i, : size[s]] = flat[ends[s] : ends[s + 1]].reshape(-1, p)

@@ -1,8 +1,8 @@
 """Likelihoods of state-space models over tables of series, with their gradients by reverse accumulation.
 
 A look at a parameter vector is one pass: each task filters its series side by side, walks the filter backwards for the
-derivatives with respect to every matrix, and sends one sum for each of its batches. The chain rule from matrices to
-parameters needs no data and is done where the model is built. Several vectors share a pass, so a Hessian from
+derivatives with respect to every matrix, and sends one sum. The chain rule from matrices to
+parameters needs no data and is done where the model is built. Several vectors share a pass and its numpy calls, so a Hessian from
 differences of exact gradients costs no further one.
 """
 
@@ -17,108 +17,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .inference import Target
-from .statespace import LN_2PI, MATRICES, StateSpace
+from .side_by_side import LN_2PI, gathered, inverse, mul, side_by_side, sym, t_
+from .statespace import AXES, MATRICES, StateSpace
 
-SIDE = 64  # series filtered side by side
+__all__ = ["SeriesTarget", "Together", "backwards", "filtered", "filtered_together", "gathered", "likelihood_target", "side_by_side", "value_and_gradient", "values_and_gradients"]
 
 
-def sym(a: np.ndarray) -> np.ndarray:
-    return (a + np.swapaxes(a, -1, -2)) / 2
+class Together:
+    """Models of one builder at several points: matrices with a leading axis of points, and one of length one for the series."""
 
+    def __init__(self, models: Sequence[StateSpace]):
+        self.m, self.shapes = models[0].m, {k: getattr(models[0], k).shape for k in MATRICES}
+        self.values = {k: np.stack([getattr(x, k) for x in models]) for k in MATRICES}
+        self.varying = {k for k in MATRICES if len(self.shapes[k]) > AXES[k]}
 
-def t_(a: np.ndarray) -> np.ndarray:
-    return np.swapaxes(a, -1, -2)
+    def at(self, key: str, t: int) -> np.ndarray:
+        value = self.values[key]
+        return value[:, None, min(t, value.shape[1] - 1)] if key in self.varying else value[:, None]
 
 
-def filtered(model: StateSpace, ys: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """(log likelihoods, what the way back needs) of series (series, times, observed); NaN is missing, as is the padding of shorter series.
+def filtered_together(models: Together, ys: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """(log likelihoods by point and series, what the way back needs) of series (series, times, observed); NaN is missing, as is the padding of shorter series.
 
     A missing value's row of Z, d and y is zero and its variance one, so it adds nothing.
     """
     n_series, n, p = ys.shape
-    a, P = np.broadcast_to(model.x0, (n_series, model.m)), np.broadcast_to(model.P0, (n_series, model.m, model.m))
-    total, kept = np.zeros(n_series), []
+    a, P = models.at("x0", 0), models.at("P0", 0)
+    n_points = len(a)
+    a, P = np.broadcast_to(a, (n_points, n_series, models.m)), np.broadcast_to(P, (n_points, n_series, models.m, models.m))
+    total, kept = np.zeros((n_points, n_series)), []
     for t in range(n):
         there = ~np.isnan(ys[:, t])
         on = there.astype(float)
-        Z = model.at("Z", t) * on[:, :, None]
-        H = model.at("H", t) * on[:, :, None] * on[:, None, :] + np.eye(p) * (1 - on)[:, :, None]
-        v = np.where(there, ys[:, t] - model.at("d", t), 0.0) - (Z @ a[:, :, None])[:, :, 0]
-        M = P @ t_(Z)
-        S = sym(Z @ M + H)
-        Si = np.linalg.inv(S)
-        w = (Si @ v[:, :, None])[:, :, 0]
-        total -= 0.5 * (on.sum(1) * LN_2PI + np.linalg.slogdet(S)[1] + (v * w).sum(1))
-        af, Pf = a + (M @ w[:, :, None])[:, :, 0], sym(P - M @ Si @ t_(M))
+        Z = models.at("Z", t) * on[:, :, None]
+        H = models.at("H", t) * on[:, :, None] * on[:, None, :] + np.eye(p) * (1 - on)[:, :, None]
+        v = np.where(there, ys[:, t] - models.at("d", t), 0.0) - mul(Z, a[..., None])[..., 0]
+        M = mul(P, t_(Z))
+        Si, det = inverse(sym(mul(Z, M) + H))
+        w = mul(Si, v[..., None])[..., 0]
+        total -= 0.5 * (on.sum(1) * LN_2PI + det + (v * w).sum(-1))
+        af, Pf = a + mul(M, w[..., None])[..., 0], sym(P - mul(mul(M, Si), t_(M)))
         kept.append((on, Z, v, M, Si, w, a, P, af, Pf))
-        T, R, Q = model.at("T", t), model.at("R", t), model.at("Q", t)
-        a, P = model.at("c", t) + af @ T.T, sym(T @ Pf @ T.T + R @ Q @ R.T)
+        T, R, Q = models.at("T", t), models.at("R", t), models.at("Q", t)
+        a, P = models.at("c", t) + mul(T, af[..., None])[..., 0], sym(mul(mul(T, Pf), t_(T)) + R @ Q @ t_(R))
     return total, kept
 
 
-def backwards(model: StateSpace, kept: list[tuple]) -> dict[str, np.ndarray]:
-    """Derivatives of the summed log likelihood with respect to every matrix, in its own shape."""
-    out = {k: np.zeros_like(getattr(model, k)) for k in MATRICES}
+def backwards(models: Together, kept: list[tuple]) -> dict[str, np.ndarray]:
+    """Derivatives of the summed log likelihood at each point with respect to every matrix, in its own shape."""
+    out = {k: np.zeros_like(v) for k, v in models.values.items()}
 
     def add(key: str, t: int, value: np.ndarray) -> None:
-        whole = getattr(model, key).ndim > {"x0": 1, "P0": 2, "c": 1, "d": 1, "T": 2, "Z": 2, "R": 2, "H": 2, "Q": 2}[key]
-        if whole:
-            out[key][min(t, len(out[key]) - 1)] += value
+        if key in models.varying:
+            out[key][:, min(t, out[key].shape[1] - 1)] += value
         else:
             out[key] += value
 
-    m = model.m
-    n_series = len(kept[0][0]) if kept else 0
-    da, dP = np.zeros((n_series, m)), np.zeros((n_series, m, m))  # of the state after the last step: nothing depends on it
+    if not kept:
+        return out
+    da, dP = np.zeros(kept[0][6].shape), np.zeros(kept[0][7].shape)  # of the state after the last step: nothing depends on it
     for t in range(len(kept) - 1, -1, -1):
         on, Z, v, M, Si, w, a, P, af, Pf = kept[t]
-        T, R, Q = model.at("T", t), model.at("R", t), model.at("Q", t)
+        T, R, Q = models.at("T", t), models.at("R", t), models.at("Q", t)
         dP = sym(dP)
-        add("c", t, da.sum(0))
-        add("T", t, np.einsum("bi,bj->ij", da, af) + 2 * (dP @ T @ Pf).sum(0))
-        whole = dP.sum(0)
-        add("R", t, 2 * whole @ R @ Q)
-        add("Q", t, R.T @ whole @ R)
-        daf, dPf = da @ T, T.T @ dP @ T
+        add("c", t, da.sum(1))
+        add("T", t, t_(da) @ af + 2 * mul(mul(dP, T), Pf).sum(1))
+        whole = dP.sum(1)
+        add("R", t, 2 * whole @ R[:, 0] @ Q[:, 0])
+        add("Q", t, t_(R[:, 0]) @ whole @ R[:, 0])
+        daf, dPf = mul(da[..., None, :], T)[..., 0, :], mul(mul(t_(T), dP), T)
         # the update: af = a + M w, Pf = P - M Si M', w = Si v
-        dM = daf[:, :, None] * w[:, None, :] - 2 * dPf @ M @ Si
-        dw = (t_(M) @ daf[:, :, None])[:, :, 0]
-        dSi = sym(-t_(M) @ dPf @ M + dw[:, :, None] * v[:, None, :])
-        dv = (Si @ dw[:, :, None])[:, :, 0] - w
-        dS = -0.5 * Si + 0.5 * w[:, :, None] * w[:, None, :] - Si @ dSi @ Si
-        dZ = -dv[:, :, None] * a[:, None, :] + 2 * dS @ Z @ P + t_(dM) @ P
-        add("d", t, -(dv * on).sum(0))
-        add("Z", t, (dZ * on[:, :, None]).sum(0))
-        add("H", t, (dS * on[:, :, None] * on[:, None, :]).sum(0))
-        da = daf - (t_(Z) @ dv[:, :, None])[:, :, 0]
-        dP = dPf + t_(Z) @ dS @ Z + sym(dM @ Z)
-    out["x0"], out["P0"] = da.sum(0), sym(dP).sum(0)
+        dM = daf[..., :, None] * w[..., None, :] - 2 * mul(mul(dPf, M), Si)
+        dw = mul(t_(M), daf[..., None])[..., 0]
+        dSi = sym(dw[..., :, None] * v[..., None, :] - mul(mul(t_(M), dPf), M))
+        dv = mul(Si, dw[..., None])[..., 0] - w
+        dS = -0.5 * Si + 0.5 * w[..., :, None] * w[..., None, :] - mul(mul(Si, dSi), Si)
+        dZ = -dv[..., :, None] * a[..., None, :] + mul(2 * mul(dS, Z) + t_(dM), P)
+        add("d", t, -(dv * on).sum(1))
+        add("Z", t, (dZ * on[:, :, None]).sum(1))
+        add("H", t, (dS * on[:, :, None] * on[:, None, :]).sum(1))
+        da = daf - mul(t_(Z), dv[..., None])[..., 0]
+        dP = dPf + mul(mul(t_(Z), dS), Z) + sym(mul(dM, Z))
+    out["x0"], out["P0"] = da.sum(1), sym(dP).sum(1)
     return out
 
 
-def value_and_gradient(model: StateSpace, ys: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    total, kept = filtered(model, ys)
-    return float(total.sum()), backwards(model, kept)
+def values_and_gradients(models: Together, ys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    total, kept = filtered_together(models, ys)
+    return total.sum(1), backwards(models, kept)
 
 
-def gathered(df: DataFrame, series: str, time: Sequence[str], observed: Sequence[str]) -> DataFrame:
-    """(series, ys): each series' observations in order of time, one after another. Keep it stored: every look reads it."""
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(t) for t in time], F.array(*[F.col(o).cast("double") for o in observed]).alias("_y"))))
-    return df.groupBy(series).agg(rows.alias("_r")).select(series, F.flatten(F.transform("_r", lambda x: x["_y"])).alias("ys"))
+def filtered(model: StateSpace, ys: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """``filtered_together`` at one point: log likelihoods by series."""
+    total, kept = filtered_together(Together([model]), ys)
+    return total[0], kept
 
 
-def side_by_side(lists: pa.Array, p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Series of about equal length together, the shorter ones padded: (their places, series x times x p)."""
-    ends, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
-    ends = ends - ends[0]
-    size = np.diff(ends) // p
-    order = np.argsort(size, kind="stable")
-    for lo in range(0, len(order), SIDE):
-        some = order[lo : lo + SIDE]
-        out = np.full((len(some), int(size[some].max()), p), np.nan)
-        for i, s in enumerate(some):
-            out[i, : size[s]] = flat[ends[s] : ends[s + 1]].reshape(-1, p)
-        yield some, out
+def value_and_gradient(model: StateSpace, ys: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    value, grads = values_and_gradients(Together([model]), ys)
+    return float(value[0]), {k: v[0] for k, v in grads.items()}
 
 
 @dataclass
@@ -138,17 +135,15 @@ class SeriesTarget:
         models, column = self.models(points), self.column
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, together = None, Together(models)
             for batch in batches:
-                for _, ys in side_by_side(batch.column(column), models[0].p):
-                    own = []
-                    for model in models:
-                        if gradients:
-                            value, grads = value_and_gradient(model, ys)
-                            own.append(np.concatenate([[value], *(grads[k].ravel() for k in MATRICES)]))
-                        else:
-                            own.append(np.array([filtered(model, ys)[0].sum()]))
-                    total = np.concatenate(own) if total is None else total + np.concatenate(own)
+                for _, _, ys in side_by_side(batch.column(column), models[0].p, models[0].m, apart=False, points=len(models)):
+                    if gradients:
+                        value, grads = values_and_gradients(together, ys)
+                        own = np.concatenate([value[:, None], *(grads[k].reshape(len(models), -1) for k in MATRICES)], axis=1).ravel()
+                    else:
+                        own = filtered_together(together, ys)[0].sum(1)
+                    total = own if total is None else total + own
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["place", "value"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from dataclasses import replace
 
@@ -82,3 +83,18 @@ def test_a_node_of_a_model(spark, walks):
         M.with_statespace(model, "z", level, ["nope"], series="s", time=["t"], observed=["y"])
     with pytest.raises(NotImplementedError):
         M.marginalize(model, ["h"])
+
+
+def test_points_share_the_steps(monkeypatch):
+    """Five points over 300 series of 10 values cost 10 steps, and say what each says by itself."""
+    from sparkbayes.operators import side_by_side as B
+
+    rng = np.random.default_rng(3)
+    lists = pa.array([rng.normal(size=10).tolist() for _ in range(300)], pa.list_(pa.float64()))
+    models = [S.StateSpace(T=[[0.9]], Z=[[1.0]], R=[[1.0]], H=[[h]], Q=[[1.0]], x0=[0.0], P0=[[2.0]]) for h in (0.5, 0.6, 1.0, 2.0, 3.0)]
+    [(_, _, ys)] = [*B.side_by_side(lists, 1, 1, apart=False, points=len(models))]
+    want, calls = [G.value_and_gradient(x, ys) for x in models], []
+    monkeypatch.setattr(G, "inverse", lambda a: (calls.append(a.shape), B.inverse(a))[1])
+    value, grads = G.values_and_gradients(G.Together(models), ys)
+    assert len(calls) == 10
+    assert all(math.isclose(value[i], v) and all(np.allclose(grads[k][i], g[k]) for k in g) for i, (v, g) in enumerate(want))
