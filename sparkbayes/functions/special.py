@@ -67,17 +67,26 @@ def logsumexp(values: Column) -> Column:
     return F.when(top == NEG_INF, F.lit(NEG_INF)).otherwise(top + F.log(total))
 
 
-def gamma_p(a: Value, x: Value, terms: int = 300) -> Column:
-    """Regularised lower incomplete gamma function by its power series; good while x is below about terms / 2."""
+def bound(x: Column, of) -> Column:
+    """``of(x)`` with x worked out once for a row, however often it is read."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def gamma_p(a: Value, x: Value) -> Column:
+    """Regularised lower incomplete gamma function by its power series, summed from its smallest term that counts.
+
+    Terms behind the x-th fall off like those of a Poisson distribution of mean x, so x - a plus ten of its standard deviations
+    and some more are enough; where x is further than that above a, the function is one.
+    """
     a, x = col(a), col(x)
-    state = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        state,
-        lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"] * x / (a + k)).alias("total")),
-        lambda s: s["total"],
-    )
-    return F.when(x <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), series * F.exp(a * F.log(x) - x - lgamma(a + 1.0))))
+
+    def of(x: Column) -> Column:
+        spread = 10 * F.sqrt(x) + 40
+        terms = F.ceil(F.greatest(x - a, F.lit(0.0)) + spread).cast("int")
+        series = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1 + s * x / (a + k))
+        return F.when(x <= 0, F.lit(0.0)).when(x - a > spread, F.lit(1.0)).when(x.isNotNull(), F.least(F.lit(1.0), series * F.exp(a * F.log(x) - x - lgamma(a + 1.0))))
+
+    return bound(x.cast("double"), of)
 
 
 def erf(x: Value) -> Column:

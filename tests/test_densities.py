@@ -92,3 +92,17 @@ def test_expressions_compile_alike(spark):
     e = E.poisson(E.data("x"), E.param("r")) + E.bernoulli_logit(E.data("x"), E.param("r") * E.data("x"))
     x = [0.0, 1.0, 5.0]
     assert np.allclose(values(spark, lambda c: E.column(e, {"r": 0.3}), x), E.evaluate(e, {"r": 0.3}, {"x": np.array(x)}))
+
+
+def test_incomplete_gamma_takes_as_many_terms_as_it_needs(spark):
+    """Against closed forms, also where 300 terms were too few and where x is far above a."""
+    from sparkbayes.functions.special import gamma_p
+
+    xs = [1e-6, 0.00125, 0.5, 3.0, 12.5, 80.0, 400.0, 900.0, 1e6]
+    df = spark.createDataFrame([(x,) for x in [*xs, 0.0, -1.0, None]], "x double")
+    got = {r["x"]: r for r in df.select("x", gamma_p(1.0, F.col("x")).alias("one"), gamma_p(0.5, F.col("x")).alias("half"), gamma_p(900.0, F.col("x")).alias("far")).collect()}
+    for x in xs:
+        assert math.isclose(got[x]["one"], -math.expm1(-x), rel_tol=1e-10) and math.isclose(got[x]["half"], math.erf(math.sqrt(x)), rel_tol=1e-10)
+    assert got[0.0]["one"] == got[-1.0]["one"] == 0.0 and got[None]["one"] is None
+    total = sum(math.exp(k * math.log(900.0) - 900.0 - math.lgamma(k + 1)) for k in range(900))
+    assert math.isclose(got[900.0]["far"], 1 - total, rel_tol=1e-8) and got[1e6]["far"] == 1.0 and got[3.0]["far"] == 0.0
