@@ -13,10 +13,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .statespace import StateSpace, forecast, kalman, kind_of, psd_root, simulate, smooth
+from . import side_by_side
+from .statespace import MATRICES, StateSpace, forecast, kalman, kind_of, psd_root, simulate, smooth
 
 OUTPUTS = ("filtered", "predicted", "smoothed")
 
@@ -75,14 +77,14 @@ def forecasts(
     pick_start = _comparable(start)
     pick_end = _comparable(end)
 
-    def one(key, rows, values: dict, number: int) -> list[tuple]:
-        times, future = [_comparable(r["time"]) for r in rows], [r["future"] for r in rows]
-        known = future.index(True) if True in future else len(rows)
-        y = np.array([[np.nan if v is None else v for v in r["y"]] for r in rows[:known]], dtype=float).reshape(known, len(observed))
-        X = np.array([[np.nan if v is None else v for v in r["x"]] for r in rows], dtype=float) if regressors else None
+    def prepared(key, row: slice, flat: dict, values: dict) -> tuple[StateSpace, np.ndarray, int, int]:
+        """(model, observations, where the forecast starts, its steps) of one series."""
+        future, n = flat["future"][row], row.stop - row.start
+        known = int(np.argmax(future)) if future.any() else n
+        y, X = flat["y"][row][:known], flat["x"][row] if regressors else None
         if X is not None and np.isnan(X).any():
             raise ValueError(f"regressors of series {key} are missing")
-        at = known - 1
+        at, times = known - 1, [_comparable(x) for x in flat["told"][row]] if flat["told"] is not None else []
         if pick_start is not None:
             if pick_start not in times[:known]:
                 raise ValueError(f"series {key} has no row at {start}")
@@ -92,33 +94,77 @@ def forecasts(
                 raise ValueError(f"series {key} has no row at {end} after the start")
             steps = times.index(pick_end) - at
         else:
-            steps = periods if periods is not None else len(rows) - 1 - at
-        if X is not None and at + steps >= len(rows):
-            raise ValueError(f"series {key} has regressors for {len(rows) - 1 - at} of {steps} steps")
-        model = build(values, X)
-        a, P = starting_state(model, y, at, output)
-        when = [rows[at + 1 + s]["time"] if at + 1 + s < len(rows) else None for s in range(steps)]
-        if not paths:
-            mean, cov = forecast(model, a, P, steps, start=at)
-            return [(s + 1, w, m, c.ravel()) for s, (w, m, c) in enumerate(zip(when, mean, cov, strict=True))]
-        rng = np.random.default_rng([seed, number, zlib.crc32(str(key).encode())])
-        states, seen = path(model, a, P, at, steps, rng)
-        return [(s + 1, w, x, v) for s, (w, x, v) in enumerate(zip(when, states, seen, strict=True))]
+            steps = periods if periods is not None else n - 1 - at
+        if X is not None and at + steps >= n:
+            raise ValueError(f"series {key} has regressors for {n - 1 - at} of {steps} steps")
+        return build(values, X), y, at, steps
 
     names = ["mean", "cov"] if not paths else ["state", "observed"]
     head = [series] + (["draw"] if drawn else [])
 
+    def made(batch: pa.RecordBatch, some: np.ndarray, ends: np.ndarray, flat: dict, time_: pa.Array) -> pa.RecordBatch:
+        """Forecasts of some series of a batch, their filters side by side where the models' sizes agree."""
+        keys = [batch.column(series)[int(i)].as_py() for i in some]
+        ready = [prepared(key, slice(ends[i], ends[i + 1]), flat, {k: float(batch.column(k)[int(i)].as_py()) for k in parameters}) for key, i in zip(keys, some, strict=True)]
+        states: dict[int, tuple] = {}
+        for m in {x[0].m for x in ready}:
+            own = [j for j, x in enumerate(ready) if x[0].m == m]
+            found = starting_states([ready[j][0] for j in own], [ready[j][1] for j in own], [ready[j][2] for j in own], output)
+            states |= dict(zip(own, found, strict=True))
+        rows, step, when, columns = [], [], [], ([], [])
+        for j, (model, _, at, steps) in enumerate(ready):
+            if not paths:
+                told = forecast(model, *states[j], steps, start=at)
+            else:
+                number = int(batch.column("draw")[int(some[j])].as_py()) if drawn else 0
+                told = path(model, *states[j], at, steps, np.random.default_rng([seed, number, zlib.crc32(str(keys[j]).encode())]))
+            first, last = ends[some[j]], ends[some[j] + 1]
+            rows += [int(some[j])] * steps
+            step += range(1, steps + 1)
+            when += [int(first) + at + 1 + s if first + at + 1 + s < last else None for s in range(steps)]
+            for to, x in zip(columns, told, strict=True):
+                to += [np.ravel(v) for v in x]
+        told = [pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in columns]
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in head), pa.array(step, pa.int32()), time_.take(pa.array(when, pa.int64())), *told], names=[*head, "step", "time", *names])
+
     def run(batches):
-        for b in batches:
-            out = []
-            for i in range(len(b)):
-                values = {k: float(b[k].iloc[i]) for k in parameters}
-                number = int(b["draw"].iloc[i]) if drawn else 0
-                out += [(*(b[c].iloc[i] for c in head), *row) for row in one(b[series].iloc[i], list(b["rows"].iloc[i]), values, number)]
-            yield pd.DataFrame(out, columns=[*head, "step", "time", *names])
+        for batch in batches:
+            column = batch.column("rows")
+            ends = column.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            fields = column.flatten()
+            parts = dict(zip([f.name for f in fields.type], fields.flatten(), strict=True))
+            flat = {k: parts[k].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(fields), -1) for k in ("y", "x")}
+            flat["future"] = parts["future"].to_numpy(zero_copy_only=False)
+            flat["told"] = _times(parts["time"]) if pick_start is not None or pick_end is not None else None
+            size = np.diff(ends)
+            for some in side_by_side.batches(size, size < 0, 16):
+                yield made(batch, some, ends, flat, parts["time"])
 
     draw = ", draw long" if drawn else ""
-    return whole.mapInPandas(run, f"`{series}` {kind_of(df, series)}{draw}, step int, time {kind_of(df, time)}, {names[0]} array<double>, {names[1]} array<double>")
+    return whole.mapInArrow(run, f"`{series}` {kind_of(df, series)}{draw}, step int, time {kind_of(df, time)}, {names[0]} array<double>, {names[1]} array<double>")
+
+
+def starting_states(models: list[StateSpace], ys: list[np.ndarray], at: list[int], output: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``starting_state`` of many series, side by side. At its last row a series' smoothed state is the filtered one."""
+    sizes = np.array([len(y) for y in ys])
+    padded = np.full((len(ys), int(sizes.max()), models[0].p), np.nan)
+    for i, y in enumerate(ys):
+        padded[i, : len(y)] = y
+    model = side_by_side.Stacked(models, MATRICES)
+    f = side_by_side.filtered(model, sizes, padded)
+    a, P = f["filtered" if output == "smoothed" else output], f["filtered_cov" if output == "smoothed" else f"{output}_cov"]
+    if output == "smoothed" and (np.asarray(at) < sizes - 1).any():
+        a, P = side_by_side.smoothed(model, sizes, f)
+    return [(a[i, t], P[i if len(P) > 1 else 0, t]) for i, t in enumerate(at)]
+
+
+def _times(column: pa.Array) -> list:
+    """Times as the session shows them, without a zone."""
+    if pa.types.is_timestamp(column.type):
+        shown = column.to_pandas()
+        return [*(shown.dt.tz_localize(None) if column.type.tz else shown)]
+    return column.to_pylist()
 
 
 def path(model: StateSpace, a: np.ndarray, P: np.ndarray, at: int, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:

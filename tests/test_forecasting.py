@@ -107,3 +107,15 @@ def test_paths_have_the_forecasts_moments(spark, rows, ahead):
 def test_what_is_refused(rows, ahead, more, said):
     with pytest.raises(Exception, match=said):
         C.forecasts(rows, build, "s", "day", ["y"], **{"regressors": ["x"], "scenario": ahead} | more).collect()
+
+
+def test_starting_states_of_many_series():
+    """Side by side as each by itself, from any row."""
+    rng = np.random.default_rng(4)
+    ys = [rng.normal(size=(n, 1)) for n in (3, 9, 6)]
+    models = [S.StateSpace(T=np.eye(2), Z=rng.normal(size=(n + 2, 1, 2)), R=[[1.0], [0.0]], H=[[2.0]], Q=[[1.0]], x0=[1.0, 0.0], P0=np.diag([4.0, 3.0])) for n in (3, 9, 6)]
+    for output in C.OUTPUTS:
+        for at in ([2, 8, 5], [1, 4, 5]):
+            for (a, P), model, y, t in zip(C.starting_states(models, ys, at, output), models, ys, at, strict=True):
+                b, Q = C.starting_state(model, y, t, output)
+                assert np.allclose(a, b) and np.allclose(P, Q)
